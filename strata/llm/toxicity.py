@@ -7,7 +7,7 @@ attention pools their states and inputs, and a logistic unit scores the window.
 score of its highest window.
 
 Training runs on the driver on at most `toxic` + `clean` labelled documents (defaults 1,500 and 2,500, those of the
-smallest id hash whose text has at most 20,000 characters), held-out ids left out. The first component of both
+smallest id hash, of which texts of more than 20,000 characters are left out), held-out ids left out. The first component of both
 embeddings starts from smoothed log odds. Labels are of documents, so training goes in two rounds: a toxic document
 is represented by its highest window, by log odds, then by the network; a clean one by its highest and another.
 
@@ -290,9 +290,11 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Network:
     """The network for labels (doc_id, toxic); ids of the sample, bounded by its two limits, are broadcast."""
     known = picked(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    short = picked(docs, "doc_id", "text").where(F.length("text") <= MOST_CHARS).join(known, "doc_id").withColumn("order", F.xxhash64("doc_id"))
-    parts = [short.where(f"toxic = {c}").orderBy("order", "doc_id", "text").limit(n) for c, n in ((1, toxic), (0, clean))]
-    rows = parts[0].unionByName(parts[1]).select("text", "toxic").collect()
+    known = known.withColumn("order", F.xxhash64("doc_id"))
+    ids = [known.where(f"toxic = {c}").orderBy("order", "doc_id").limit(n) for c, n in ((1, toxic), (0, clean))]
+    sample = ids[0].unionByName(ids[1])  # at most toxic + clean rows: broadcast, so that texts stay where they are
+    short = picked(docs, "doc_id", "text").where(F.length("text") <= MOST_CHARS).join(F.broadcast(sample), "doc_id")
+    rows = sorted(short.select("order", "doc_id", "text", "toxic").collect())
     return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64))
 
 
