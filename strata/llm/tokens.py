@@ -8,11 +8,13 @@ applied), copies as their difference from the copied state: the table holds one
 is looked up by following a state's copies and an arc's inheritance through that table.
 
 The automaton is deterministic and accepts just the token sequences that the merges produce; each beginning of a word
-has one accepted sequence. A word is encoded by reading it from left to right: from each position reached, the arcs
-whose labels are spelled there are taken, and each position is reached by exactly one. Decoding emits arc labels.
+has one accepted sequence. A word is encoded by table-driven transitions from the first state: of the arcs whose labels are
+spelled at a position the longest that the state has is taken, stepping back from ends that lead nowhere. Decoding
+emits arc labels.
 
 Words come from the tokenizer file's own normalization and pattern; words are kept in a bounded table by worker.
-Nulls and edges: a null text is empty and has no tokens; white space alone has none.
+Nulls and edges: a null text is empty and has no tokens; white space alone has none. Letters and numbers are those
+of the installed `regex`, whose Unicode version is newer than the tokenizer's: code points new in it may split otherwise.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strata.llm.common import picked
+from strata.llm.common import picked, slices
 
-#: Chunks whose encoding a worker keeps; the table is emptied beyond that.
-KEPT = 300_000
+#: Chunks whose encoding a worker keeps, and entries of its transition table; either is emptied beyond that.
+KEPT, TABLE = 200_000, 1_000_000
+MIDDLE, LAST = 0, 1
 
 
 def byte_symbols() -> list[str]:
@@ -47,7 +50,6 @@ class Automaton:
         n = max(vocab.values()) + 1
         self.born, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
         self.cuts: dict[int, dict[int, int]] = {}
-        self.begins: set[str] = set()
         made = []
         for k, (a, b) in enumerate(merges):
             x, y, c = vocab[a], vocab[b], vocab[a + b]
@@ -58,10 +60,16 @@ class Automaton:
             made.append(c)
         base = [i for s, i in vocab.items() if len(s.removesuffix(end)) == 1]
         self.arcs = {self.label[i]: i for i in [*base, *made]}
-        for s in self.arcs:
-            s = s.removesuffix(end)
-            self.begins.update(s[:i] for i in range(1, len(s) + 1))
-        self.seen: dict[tuple[int, int], bool] = {}
+        # Labels spelled from a position on: a node has its successors by character, and the label that ends there
+        # inside a word under MIDDLE, at its end under LAST.
+        self.spelled: dict = {}
+        for s, i in self.arcs.items():
+            node = self.spelled
+            for c in s.removesuffix(end):
+                node = node.setdefault(c, {})
+            node[LAST if s.endswith(end) and s != end else MIDDLE] = i
+        self.table: dict[int, dict[int, bool]] = {}
+        self.size = 0
 
     def arc(self, last: int, until: int, t: int) -> bool:
         """Whether the state after label `last`, as of `until` merges, has an arc for label t."""
@@ -78,35 +86,66 @@ class Automaton:
                 return True
             until, last = since, right[last]
 
-    def step(self, last: int, t: int) -> bool:
-        key = (last, t)
-        if (got := self.seen.get(key)) is None:
-            if len(self.seen) > 2_000_000:
-                self.seen.clear()
-            got = self.seen[key] = self.arc(last, 1 << 60, t)
+    def row(self, last: int) -> dict[int, bool]:
+        """The transition table's row of the state after a label; its entries are filled as they are first asked for."""
+        got = self.table.get(last)
+        if got is None:
+            if self.size > TABLE:
+                self.table.clear()
+                self.size = 0
+            got = self.table[last] = {}
         return got
 
+    def labels_from(self, word: str, j: int) -> list[tuple[int, int]]:
+        """(end, label) of all labels spelled from a position, the longest last."""
+        out, node, n = [], self.spelled, len(word)
+        for i in range(j, n - 1):
+            node = node.get(word[i])
+            if node is None:
+                return out
+            if (t := node.get(MIDDLE)) is not None:
+                out.append((i + 1, t))
+        node = node.get(word[n - 1])
+        if node is not None and (t := node.get(LAST)) is not None:
+            out.append((n, t))
+        return out
+
     def encode(self, word: str) -> list[int]:
-        """The ids of one word, given as symbols without its end mark."""
-        n = len(word)
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        arcs, begins, end = self.arcs, self.begins, self.end
-        for j in range(n):
-            at = last[j]
-            if j and at < 0:
-                continue
-            for i in range(j + 1, n + 1):
-                s = word[j:i]
-                if s not in begins:
-                    break
-                t = arcs.get(s + end if i == n else s)
-                if t is not None and last[i] < 0 and (j == 0 or self.step(at, t)):
-                    last[i], start[i] = t, j
-        out = []
-        while n:
-            out.append(last[n])
-            n = start[n]
-        return out[::-1]
+        """The ids of one word, given as symbols without its end mark.
+
+        The accepted path is followed arc by arc, longest label first. A position is reached by one path at most, so
+        one that leads nowhere is never tried again.
+        """
+        whole = self.arcs.get(word + self.end)
+        if whole is not None:
+            return [whole]  # one arc from the first state spells it, and only one path does
+        n, path, ends, dead = len(word), [], [0], 0
+        options = [self.labels_from(word, 0)]
+        while options:
+            left, row = options[-1], self.row(path[-1]) if path else None
+            while left:
+                i, t = left.pop()
+                if dead >> i & 1:
+                    continue
+                if row is not None:
+                    ok = row.get(t)
+                    if ok is None:
+                        ok = row[t] = self.arc(path[-1], 1 << 60, t)
+                        self.size += 1
+                    if not ok:
+                        continue
+                path.append(t)
+                if i == n:
+                    return path
+                ends.append(i)
+                options.append(self.labels_from(word, i))
+                break
+            else:
+                options.pop()
+                dead |= 1 << ends.pop()
+                if path:
+                    path.pop()
+        return path
 
 
 class Codec:
@@ -125,16 +164,24 @@ class Codec:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.chunks = regex.compile(r"\s+")
         self.mark = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.symbol = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
         self.hint = min((s[:2] for s in self.special), default=None)
 
     def plain(self, chunk: str) -> list[int]:
-        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        low = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        if low and max(low) < "\u0250":  # letters alone, or with a mark behind them, are what the pattern finds there
+            if low.isalpha():
+                return self.automaton.encode(self.spelling(low))
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                return self.automaton.encode(self.spelling(low[:-1])) + self.automaton.encode(low[-1])
         out: list[int] = []
-        for w in self.pattern.findall(text.lower()):
-            out += self.automaton.encode("".join([self.symbol[b] for b in w.encode("utf-8", "surrogatepass")]))
+        for w in self.pattern.findall(low):
+            out += self.automaton.encode(self.spelling(w))
         return out
 
+    def spelling(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a piece without white space; special tokens are found in the text as it is."""
         if self.mark is None or self.hint not in chunk:
@@ -182,13 +229,6 @@ def codec(path: str | None = None) -> Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def slices(batches, rows: int = 256):
-    """Batches in slices, so that what a worker holds in lists stays small."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, ids_sha256, decoded, decoded_sha256) for each document."""
     rows = picked(docs, "doc_id", "text")
