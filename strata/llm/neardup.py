@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import checkpoints, packed, picked, unpacked
+from strata.llm.common import checkpoints, packed, picked, slices, unpacked
 
 WORDS, SEED, MOST_BITS, BYTES = 4, 42, 4, 8
 LEAST_SHARED = BYTES - MOST_BITS
@@ -76,7 +76,7 @@ def with_fingerprint(rows: DataFrame) -> DataFrame:
     schema = rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t) for t in b.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in keep), pa.array(fps)], names=[*keep, "fp"])
 
@@ -193,8 +193,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the least doc_id (a null id only where there is no other), with its own columns."""
-    rows = packed(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    first = Window.partitionBy("root").orderBy(F.asc_nulls_last("doc_id"), "tie")
-    out = grouped(rows).withColumn("rank", F.row_number().over(first)).where("rank = 1")
-    return unpacked(out, docs)
+    """One document of each component, that of the least doc_id (a null id only where there is no other), with its own columns.
+
+    Survivors are chosen among narrow rows, named by a digest of id and text; the documents meet them by that digest
+    and are shuffled once. Rows equal in both are one.
+    """
+    name = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+    first = Window.partitionBy("root").orderBy(F.asc_nulls_last("doc_id"), "name")
+    narrow = grouped(picked(docs, "doc_id", "text").withColumn("name", name))
+    chosen = narrow.withColumn("rank", F.row_number().over(first)).where("rank = 1").select("name")
+    rows = packed(docs, "doc_id", "text").select("row", name.alias("name")).join(chosen, "name")
+    one = Window.partitionBy("name").orderBy(F.lit(1))
+    return unpacked(rows.withColumn("rank", F.row_number().over(one)).where("rank = 1"), docs)
