@@ -26,7 +26,7 @@ from strata.llm.common import checkpoints, picked
 SEGMENT = 16
 K, EVERY = 10, 20
 #: Entries and queries in a block.
-ENTRIES, QUERIES = 50_000, 256
+ENTRIES, QUERIES = 50_000, 128
 
 #: For each radius, the 16-bit masks of that many ones.
 MASKS = [np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT), r)], dtype=np.uint16) for r in range(SEGMENT + 1)]
@@ -107,10 +107,12 @@ def nearest_ids(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     queries = asked.select("code").distinct()
     parts = max(1, -(-queries.count() // QUERIES))
     queries = queries.withColumn("part", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(parts)).cast("int"))
-    # Blocks as packed rows: a join of blocks, keyed by the entries' block.
-    shelf = dealt.groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("entries"))
-    trays = queries.groupBy("part").agg(F.collect_list("code").alias("asked")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = trays.repartition(max(1, min(parts * blocks, 4 * spark.sparkContext.defaultParallelism * max(1, blocks))), "part", "block").join(shelf.hint("shuffle_hash"), "block")
+    # Blocks as packed rows, dealt by the entries' block and a lane of queries: a block of entries is copied to each
+    # lane, so lanes are as few as keep all cores busy, or as hold 200 blocks of queries.
+    lanes = max(-(-parts // 200), min(parts, -(-2 * spark.sparkContext.defaultParallelism // blocks)))
+    shelf = dealt.groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("entries")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    trays = queries.groupBy("part").agg(F.collect_list("code").alias("asked")).select("asked", (F.col("part") % lanes).alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = trays.repartition(lanes * blocks, "block", "lane").join(shelf.repartition(lanes * blocks, "block", "lane").hint("shuffle_hash"), ["block", "lane"])
 
     def search(batches):
         last = None
