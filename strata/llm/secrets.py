@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import packed, picked, unpacked
+from strata.llm.common import packed, picked, slices, unpacked
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -215,7 +215,7 @@ def secret_spans(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_cnn"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [s for part in blocks(b.column(1).to_pylist()) for s in scan(part, net)]
             count = lambda k: pa.array([sum(x[2] == k for x in s) for s in found], pa.int64())
             base = pa.array([sha256(joined(x for x in s if x[2] != "cnn").encode()).hexdigest() for s in found], pa.string())
@@ -239,7 +239,7 @@ def redacted(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     rows, net = packed(docs, "text"), model(recall)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index("text")
             texts = b.column(at).to_pylist()
             found = [s for part in blocks(texts) for s in scan(part, net)]
