@@ -8,7 +8,8 @@ segments up to radius r - 1, and a of them at r, every code within m * r + a - 1
 its k-th verified distance is within that bound, so ties are complete too. The best of all blocks are then merged.
 
 Nulls and edges: rows with a null vector or id are in no result; null components count as zero; shorter vectors are padded with
-zero bits; ties go to the smaller id; a row is no neighbour of its own id; fewer than k others give fewer rows.
+zero bits; ties go to the smaller id; rows of one id and one code count once; a row is no neighbour of its own id, and an id of
+several codes is asked and found by each; fewer than k others give fewer rows.
 """
 
 from __future__ import annotations
@@ -144,10 +145,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     checkpoints(vectors.sparkSession)
     rows = picked(vectors, "vec_id", "embedding").where("vec_id is not null and embedding is not null")
     bits = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
-    codes = with_codes(rows, bits).checkpoint()
+    codes = with_codes(rows, bits).distinct().checkpoint()
     asked = codes.where(F.col("id") % every == 0)
-    found = nearest_ids(codes, asked, k + 1)
-    near = asked.distinct().join(found, "code")
+    own = codes.groupBy("id").count().agg(F.max("count")).first()[0] or 1  # entries that a row's own id can take
+    found = nearest_ids(codes, asked, k + own)
+    near = asked.join(found, "code")
     others = F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k)
     out = near.select("id", F.posexplode(others).alias("at", "x"))
     return out.select(F.col("id").alias("vec_id"), (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.col("x.distance").alias("distance"))

@@ -33,6 +33,8 @@ BLOCK = frozenset("html head title body p div ul ol li dl dt dd h1 h2 h3 h4 h5 h
 #: Tags whose start ends an open tag of the same kind, up to the container that bounds it.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 BOUNDS = frozenset("ul ol dl table article section div main aside nav header footer body blockquote form figure td li html".split())
+#: Tags that say by themselves what they hold, as a name does.
+BOXES = frozenset("nav header footer aside main article section form button".split())
 TELLING = re.compile(r"©|\b(?:copyright|cookies?|subscribe|newsletter|comments?|repl(?:y|ies)|share|log ?in|sign (?:up|in)|advert\w*|sponsored|related|read more|privacy|rights reserved|posted by|says)\b", re.IGNORECASE)
 
 
@@ -95,15 +97,13 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], flo
 def features(found) -> list[list[str]]:
     """The names of the features that hold for each block."""
     out = []
-    for i, (text, above, linked, seen) in enumerate(found):
+    for text, above, linked, seen in found:
         f = {f"in:{t}" for t, _ in above if t in BLOCK} | {f"name:{w}" for _, names in above if names for w in PART.findall(names)}
         own = next((t for t, _ in reversed(above) if t in BLOCK), "none")
+        box = next(((t, names) for t, names in reversed(above) if t in BOXES or names), ("none", ""))
+        f |= {f"box:{box[0]}", *(f"near:{w}" for w in PART.findall(box[1]))}
         f |= {f"own:{own}", f"size:{min(6, len(text).bit_length() // 2)}", f"links:{int(linked * 4)}", f"ends:{text[-1] in '.!?…»”'}", f"seen:{seen}", "bias"}
         f |= {f"says:{w[0].lower()}" for w in TELLING.finditer(text)} if len(text) < 400 else set()
-        if i == 0:
-            f.add("first")
-        if i == len(found) - 1:
-            f.add("last")
         out.append(sorted(f))
     return out
 
@@ -171,12 +171,12 @@ class Field:
                     x -= rate / (1 + k) * (mx / (1 - 0.9**step)) / (np.sqrt(vx / (1 - 0.999**step)) + 1e-8)
 
 
-def labelled_pages(n: int = 400, seed: int = 9) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 700, seed: int = 9) -> list[tuple[str, list[str]]]:
     """(html, texts of the article's blocks in order): pages laid out at random from common parts."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("th", "en", "er", "on", "re", "st", "an", "ou", "le", "ch", "ung", "ción", "ment", "é")) for _ in range(r.randint(1, 4)))
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
-    sentence = lambda a=6, b=30: say(a, b).capitalize() + r.choice((".", ".", "!", "?"))
+    sentence = lambda a=6, b=30: say(a, b).capitalize() + r.choice((".", ".", ".", ".", "!", "?", "", ",", " |"))
     link = lambda: f'<a href="/{word()}">{say(1, 3)}</a>'
     named = lambda *names: r.choice(("class", "id")) + f'="{r.choice(names)}"'
     items = lambda tag="li": "".join(f"<{tag}>{link()}</{tag}>" for _ in range(r.randint(2, 8)))
@@ -201,13 +201,15 @@ def labelled_pages(n: int = 400, seed: int = 9) -> list[tuple[str, list[str]]]:
             "footer": lambda: r.choice((f"<footer>&copy; {word()}.example &middot; {sentence()}</footer>", f'<div {named("footer", "site-footer", "bottom", "copyright")}><p>&copy; 20{r.randint(10, 29)} {say(1, 4)}</p><ul>{items()}</ul></div>', f"<footer><p>{sentence()}</p><ul>{items()}</ul></footer>")),
             "share": lambda: f'<div {named("share", "social", "share-buttons", "tags")}>{items("span")}</div>',
         }
-        title = keep(say(2, 10))
-        body = f"<h1>{title}</h1>" if r.random() < 0.9 else f"<h2>{title}</h2>"
+        body, x = "", r.random()
+        if x < 0.8:
+            level = 1 if x < 0.7 else 2
+            body = f"<h{level}>{keep(say(2, 10))}</h{level}>"
         for k in range(r.randint(1, 14)):
             x = r.random()
             if x < 0.62:
                 short = r.random() < 0.25
-                body += f"<p>{keep(sentence(1, 2) if short else sentence(3, 90))}" + ("</p>" if r.random() < 0.85 else "")
+                body += f"<p>{keep(sentence(1, 2) if short else sentence(3, 90 if r.random() < 0.8 else 500))}" + ("</p>" if r.random() < 0.85 else "")
             elif x < 0.70:
                 level = r.randint(2, 4)
                 body += f"<h{level}>{keep(say(2, 8))}</h{level}>"
@@ -219,17 +221,23 @@ def labelled_pages(n: int = 400, seed: int = 9) -> list[tuple[str, list[str]]]:
                 body += f"<p><b>{keep(sentence(1, 30))}<br>"
             elif x < 0.87:
                 body += f"<table><tr><td>{keep(say(1, 5))}</td><td>{keep(say(1, 5))}</td></tr></table>"
-            elif x < 0.94:
+            elif x < 0.96:
                 body += junk[r.choice(("ad", "share", "side", "notice", "form"))]()
             else:
                 body += f"<div>{keep(sentence(3, 60))}</div>"
+        if not main:
+            body += f"<p>{keep(sentence())}</p>"
         wrap = r.choice(("article", "article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div id="main"'))
         body = f"<{wrap}>{body}</{wrap.split()[0]}>"
         if r.random() < 0.2:
             body = f"<main>{body}</main>"
-        top = [junk[k]() for k in ("nav", "header", "ad", "notice", "form", "side") if r.random() < (0.85 if k == "nav" else 0.4)]
+        if r.random() < 0.1:  # a bare page
+            out.append((r.choice(("", "<html><body>")) + body, main))
+            continue
+        top = [junk[k]() for k in ("nav", "header", "ad", "notice", "form", "side") if r.random() < (0.8 if k == "nav" else 0.4)]
         end = [junk[k]() for k in ("side", "ad", "share", "comments", "form", "nav", "footer", "notice") if r.random() < (0.9 if k == "footer" else 0.35)]
-        out.append((f"<!DOCTYPE html><html><head><title>{say(2, 8)}</title><style>p{{margin:0}}</style><script>x('</p>')</script></head><body>{''.join(top)}{body}{''.join(end)}</body></html>", main))
+        name = f"<title>{say(2, 8)}</title>" if r.random() < 0.8 else ""
+        out.append((f"<!DOCTYPE html><html><head>{name}<style>p{{margin:0}}</style><script>x('</p>')</script></head><body>{''.join(top)}{body}{''.join(end)}</body></html>", main))
     return out
 
 
