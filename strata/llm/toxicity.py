@@ -28,6 +28,8 @@ WINDOW, STRIDE, GRAM = 48, 32, 5
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 17, 6, 4, 8
 INPUT = WORD_DIM + GRAM_DIM
 TOXIC, CLEAN, MOST_CHARS = 1_500, 2_500, 20_000
+#: Documents' worth of evidence that log odds are shrunk by: copies of one document shouldn't make its words telling.
+SHRINK = 12
 #: Bytes of text handled at once.
 CHUNK = 1 << 19
 _MARKS = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
@@ -195,7 +197,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 4, batch
         pairs = np.unique(docs * rows + ids)
         count = [np.bincount(pairs[y[pairs // rows] == c] % rows, minlength=rows) for c in (0, 1)]
         odds = np.log((count[1] + 0.1) / (y.sum() + 1)) - np.log((count[0] + 0.5) / ((1 - y).sum() + 1))
-        table[:, 0] = np.where(count[0] + count[1] > 2, np.clip(odds, -1, 4), 0)
+        seen = count[0] + count[1]
+        table[:, 0] = np.where(seen > 2, np.clip(odds, -1, 4) * seen / (seen + SHRINK), 0)
     text, start, n = words.windows()
     steps = np.arange(WINDOW)
     x = net.inputs(words)
