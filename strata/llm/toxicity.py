@@ -7,7 +7,7 @@ attention pools their states and inputs, and a logistic unit scores the window.
 score of its highest window.
 
 Training runs on the driver on at most `toxic` + `clean` labelled documents (defaults 1,500 and 2,500, those of the
-smallest id hash, of which texts of more than 20,000 characters are left out), held-out ids left out. The first component of both
+smallest id hash, of which texts of more than 10,000 characters are left out), held-out ids left out. The first component of both
 embeddings starts from smoothed log odds. Labels are of documents, so training goes in two rounds: a toxic document
 is represented by its highest window, by log odds, then by the network; a clean one by its highest and another.
 
@@ -27,7 +27,7 @@ from strata.llm.common import picked, slices
 WINDOW, STRIDE, GRAM = 48, 32, 5
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 17, 6, 4, 8
 INPUT = WORD_DIM + GRAM_DIM
-TOXIC, CLEAN, MOST_CHARS = 1_500, 2_500, 20_000
+TOXIC, CLEAN, MOST_CHARS = 1_500, 2_500, 10_000
 #: Documents' worth of evidence that log odds are shrunk by: copies of one document shouldn't make its words telling.
 SHRINK = 12
 #: Bytes of text handled at once.
@@ -38,7 +38,7 @@ _POWERS = np.array([pow(0x9E3779B1, i + 1, 1 << 32) for i in range(64)], dtype=n
 
 def mixed(h: np.ndarray, bits: int) -> np.ndarray:
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return ((h ^ (h >> np.uint32(13))) * np.uint32(0x297A2D39) >> np.uint32(32 - bits)).astype(np.int64)
+    return ((h ^ (h >> np.uint32(13))) * np.uint32(0x297A2D39) >> np.uint32(32 - bits)).astype(np.int32)
 
 
 class Words:
@@ -66,7 +66,16 @@ class Words:
             spots = np.repeat(starts - 1, count) + (np.arange(self.gram_first[-1]) - np.repeat(self.gram_first[:-1], count))
             self.gram = mixed(g[spots], 17)
         else:
-            self.word, self.gram, self.gram_first = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+            self.word, self.gram, self.gram_first = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Words:
+        """The same for many texts, read in runs of about CHUNK characters: building takes many times a run's size."""
+        parts = [cls(texts[i:j]) for i, j in runs(texts)] or [cls([])]
+        out, shift = cls([]), lambda key: np.concatenate([[0], *(getattr(p, key)[1:] + at for p, at in zip(parts, np.cumsum([0] + [getattr(p, key)[-1] for p in parts])))]).astype(np.int64)
+        out.first, out.gram_first = shift("first"), shift("gram_first")
+        out.word, out.gram = np.concatenate([p.word for p in parts]), np.concatenate([p.gram for p in parts])
+        return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, words) of each window; every text has one at least, and all its words are in one."""
@@ -78,6 +87,18 @@ class Words:
         return text, start, np.minimum(WINDOW, self.first[1:][text] - start)
 
 
+def runs(texts: list[str | None]):
+    """(begin, end) of runs of texts of about CHUNK characters; a longer text is a run of its own."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHUNK):
+            size += len(texts[j] or "")
+            j += 1
+        yield i, j
+        i = j
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -187,14 +208,14 @@ def best_window(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 4, batch: int = 64, rate: float = 0.01) -> Network:
     """The network fitted to labelled texts, as the module says."""
-    net, words, r = Network(seed), Words(texts), np.random.default_rng(seed)
+    net, words, r = Network(seed), Words.of(texts), np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         net.scale = (0.0, -40.0 if not len(y) or y.max() == 0 else 40.0)
         return net
     of = np.repeat(np.arange(len(y)), np.diff(words.first))
     gram_of = np.repeat(of, np.diff(words.gram_first))
     for table, ids, docs, rows in ((net.word, words.word, of, WORD_ROWS), (net.gram, words.gram, gram_of, GRAM_ROWS)):
-        pairs = np.unique(docs * rows + ids)
+        pairs = np.unique(docs * rows + ids.astype(np.int64))
         count = [np.bincount(pairs[y[pairs // rows] == c] % rows, minlength=rows) for c in (0, 1)]
         odds = np.log((count[1] + 0.1) / (y.sum() + 1)) - np.log((count[0] + 0.5) / ((1 - y).sum() + 1))
         seen = count[0] + count[1]
@@ -271,17 +292,11 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def document_scores(texts: list[str | None], net: Network) -> list[float]:
     """The calibrated score of each text's highest window; texts are handled in runs of about CHUNK bytes."""
     out: list[np.ndarray] = []
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHUNK):
-            size += len(texts[j] or "")
-            j += 1
+    for i, j in runs(texts):
         text, logit = net.scores(Words(texts[i:j]))
         top = np.full(j - i, -np.inf)
         np.maximum.at(top, text, logit)
         out.append(1 / (1 + np.exp(-np.clip(net.scale[0] * top + net.scale[1], -40, 40))))
-        i = j
     return np.concatenate(out).tolist() if out else []
 
 
