@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -173,9 +175,11 @@ def scan(texts: list[str], net: CharCnn) -> list[list[tuple[int, int, str]]]:
     spans = [base_spans(t) for t in texts]
     where, windows = [], []
     for i, t in enumerate(texts):
-        taken = spans[i]
+        starts = [s for s, _, _ in spans[i]]
+        reach = list(accumulate((e for _, e, _ in spans[i]), max))
         for a, b in candidates(t):
-            if not any(s < b and e > a for s, e, _ in taken):
+            before = bisect_left(starts, b)  # base spans that start before the candidate ends
+            if not before or reach[before - 1] <= a:
                 v = views(t, a, b)
                 where += [(i, a, b)] * len(v)
                 windows += v
