@@ -28,6 +28,13 @@ def visible_at(log: DataFrame, seq: int | None = None) -> DataFrame:
     return latest_versions(log, seq).where(F.col("kind") == SET).drop("kind")
 
 
+def live_rows(log: DataFrame | None, plain: DataFrame | None) -> DataFrame:
+    """Live (key, seq, value) rows of a log, and of rows of other keys that are known to be the newest: those aren't shuffled."""
+    parts = [] if log is None else [visible_at(log)]
+    parts += [] if plain is None else [plain.select("key", "seq", "value")]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def in_bounds(lower=None, upper=None) -> Column:
     """lower <= key < upper; None leaves a side open, an empty upper bound admits nothing."""
     keep = F.lit(True)
@@ -67,10 +74,11 @@ def get(log: DataFrame, key, seq: int | None = None) -> DataFrame:
     return row.select(F.lit(key).alias("key"), found.alias("found"), F.when(found, F.col("m.value")).alias("value"))
 
 
-def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None) -> DataFrame:
+def multi_get(log: DataFrame | None, keys: DataFrame, seq: int | None = None, plain: DataFrame | None = None) -> DataFrame:
     """A row (key, found, value) for each distinct requested key; Spark broadcasts the keys only below its size limit."""
     wanted = keys.select("key").distinct()
-    live = visible_at(log.join(wanted, "key", "left_semi"), seq).select("key", "value", F.lit(True).alias("__hit"))
+    asked = lambda rows: None if rows is None else as_of(rows.join(wanted, "key", "left_semi"), seq)
+    live = live_rows(asked(log), asked(plain)).select("key", "value", F.lit(True).alias("__hit"))
     return wanted.join(live, "key", "left").select("key", F.coalesce("__hit", F.lit(False)).alias("found"), "value")
 
 

@@ -9,21 +9,26 @@ from __future__ import annotations
 
 import json
 import os
+import socket
+import time
 from collections import Counter
 from itertools import count
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata import errors, schema as S
 from strata.functions import keys as K
 from strata.operators import reads, storage, versions
-from strata.plans import compaction
+from strata.plans import compaction, reading
 from strata.sources import manifest as M
 from strata.sources.files import files_for
 
-LOCK, RUNS, PINS = "LOCK", "runs", "pins"
+LOCK, BROKEN, RUNS, PINS = "LOCK", "broken", "runs", "pins"
+#: Failures of automatic maintenance in a row that make a store read-only.
+MOST_FAILURES = 3
 
 
 class Batch:
@@ -76,8 +81,16 @@ class View:
             raise errors.ClosedError("view")
         return reads.as_of(self.store.read(r for r in self.state.runs() if r.meets(lower, upper)), self.seq)
 
+    def parts(self, lower: bytes | None = None, upper: bytes | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+        """(log, plain): rows in [lower, upper) among which the newest must be found, and rows that are it; None for no runs."""
+        if self.closed:
+            raise errors.ClosedError("view")
+        plain, mixed = reading.split_plain([r for r in self.state.runs() if r.meets(lower, upper)])
+        rows = lambda runs: reads.as_of(self.store.read(runs).where(reads.in_bounds(lower, upper)), self.seq)
+        return rows(mixed) if mixed or not plain else None, rows(plain) if plain else None
+
     def scan(self, lower: bytes | None = None, upper: bytes | None = None) -> DataFrame:
-        return reads.range_scan(self.log(lower, upper), lower, upper).select("key", "value")
+        return reads.live_rows(*self.parts(lower, upper)).select("key", "value")
 
     def get(self, key: bytes) -> bytes:
         row = reads.get(self.log(key, key + b"\0"), key).first()
@@ -86,7 +99,8 @@ class View:
         return bytes(row["value"])
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        return reads.multi_get(self.log(), keys)
+        log, plain = self.parts()
+        return reads.multi_get(log, keys, plain=plain)
 
     def cursor(self, lower: bytes | None = None, upper: bytes | None = None) -> Cursor:
         return Cursor(self, lower, upper)
@@ -150,9 +164,10 @@ class Snapshot(View):
 class Store:
     """An open store; one writer holds its lease."""
 
-    def __init__(self, spark: SparkSession, path: str, options: S.Options | None = None, files=None):
+    def __init__(self, spark: SparkSession, path: str, options: S.Options | None = None, files=None, clock=time.monotonic):
         self.spark, self.files, self.options = spark, files or files_for(spark, path), (options or S.Options()).resolved()
-        if not self.files.create(LOCK, json.dumps({"pid": os.getpid()})):
+        self.clock, self.pending, self.pending_bytes, self.synced, self.failures = clock, [], 0, clock(), 0
+        if not self._lock():
             raise errors.LockedError(path)
         try:
             state = M.load(self.files)
@@ -170,6 +185,28 @@ class Store:
         self.counters: Counter = Counter()
         self._pins = count(1)
 
+    def _lock(self) -> bool:
+        """Take the lease, also from a process of this host that is no more.
+
+        A dead holder's lease, named by its token, is broken by who creates the file of that name: one process only, ever.
+        """
+        mine = json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "token": uuid4().hex})
+        if self.files.create(LOCK, mine):
+            return True
+        try:
+            held = json.loads(self.files.read(LOCK))
+            if held["host"] != socket.gethostname():
+                return False
+            os.kill(held["pid"], 0)
+            return False
+        except ProcessLookupError:
+            if not self.files.create(f"{BROKEN}/{held['token']}", mine):
+                return False
+            self.files.delete(LOCK)
+            return self.files.create(LOCK, mine)
+        except (OSError, ValueError, KeyError):
+            return False
+
     # Reading.
 
     def read(self, runs) -> DataFrame:
@@ -179,6 +216,7 @@ class Store:
     def view(self, seq: int | None = None) -> View:
         """Reads as of a sequence number, by default the newest."""
         self._open()
+        self.sync()
         return View(self, self.state, self.state.last_seq if seq is None else seq)
 
     def get(self, key: bytes) -> bytes:
@@ -193,6 +231,7 @@ class Store:
 
     def snapshot(self) -> Snapshot:
         self._open()
+        self.sync()
         pin = f"{PINS}/{os.getpid()}-{next(self._pins)}-{self.state.version}.json"
         self.files.create(pin, json.dumps({"seq": self.state.last_seq, "version": self.state.version}))
         self.handles += 1
@@ -215,7 +254,12 @@ class Store:
         self.write(Batch().delete(key))
 
     def write(self, batch: Batch) -> None:
-        """Commit a batch; an empty one takes no sequence number."""
+        """Commit a batch; an empty one takes no sequence number.
+
+        With SYNC_ALWAYS it is durable on return. Otherwise batches are held on the driver and committed together, by
+        sync(): once memtable_bytes are held, sync_interval_ms have passed (SYNC_INTERVAL), or something is read, flushed
+        or closed. A crash loses the batches held, each as a whole.
+        """
         if batch.error:
             raise batch.error
         if len(batch) > S.MAX_BATCH_ENTRIES or batch.encoded_bytes() > S.MAX_BATCH_BYTES:
@@ -223,9 +267,23 @@ class Store:
         self._writable()
         if not batch.rows:
             return
-        base = self.state.last_seq
-        rows = [(k, base + i + 1, kind, v) for i, (kind, k, v) in enumerate(batch.rows)]
-        self._commit(self.spark.createDataFrame(rows, S.LOG).coalesce(1), batch.encoded_bytes())
+        self.pending += batch.rows
+        self.pending_bytes += batch.encoded_bytes()
+        mode = self.options.sync
+        late = mode == S.SYNC_INTERVAL and (self.clock() - self.synced) * 1000 >= self.options.sync_interval_ms
+        if mode == S.SYNC_ALWAYS or late or self.pending_bytes >= self.options.memtable_bytes:
+            self.sync()
+
+    def sync(self) -> None:
+        """Commit the batches held; a store that failed keeps them unseen."""
+        if not self.pending or self.failure:
+            return
+        kinds, keys, values = zip(*self.pending)
+        seqs = range(self.state.last_seq + 1, self.state.last_seq + 1 + len(keys))
+        columns = [pa.array(keys, pa.binary()), pa.array(seqs, pa.int64()), pa.array(kinds, pa.int8()), pa.array(values, pa.binary())]
+        payload, self.pending, self.pending_bytes = self.pending_bytes, [], 0
+        self._commit(self.spark.createDataFrame(pa.table(columns, names=S.LOG.names)).coalesce(1), payload)
+        self.synced = self.clock()
 
     def write_frame(self, rows: DataFrame, stream: tuple[str, int] | None = None) -> None:
         """Commit rows (ordinal, key, kind, value) of any number as one batch, numbered in the order of `ordinal`.
@@ -244,6 +302,7 @@ class Store:
             raise errors.CorruptionError(f"{bad['kind']} entries of no kind")
         if not bad["n"]:
             return
+        self.sync()
         numbered = versions.assign_seq(rows, self.state.last_seq + 1)
         value = F.when(F.col("kind") == S.SET, F.coalesce(F.col("value"), F.lit(b"")))
         log = numbered.select("key", "seq", F.col("kind").cast("byte").alias("kind"), value.alias("value"))
@@ -261,22 +320,37 @@ class Store:
         self.counters["log_bytes"] += payload
         held = sum(r.size for r in self.state.tail)
         if held >= self.options.memtable_bytes:
+            self._maintain()
+
+    def _maintain(self) -> None:
+        """Flush, and compact if that is due. The commit before stands whether or not this works.
+
+        After a failure the newest manifest says what took place, since no one else holds the lease; the next commit
+        tries again. MOST_FAILURES in a row make the store read-only.
+        """
+        try:
             self.flush()
             if self.options.auto_compact and compaction.pick(self.state, self.options) is not None:
                 self.compact()
-
-    def _write_run(self, rows: DataFrame, num: int, whole: bool) -> list[M.Run]:
-        """Write rows as Parquet and describe them: as one run, or each file as a run of its own."""
+            self.failures = 0
+        except Exception:
+            self.failures += 1
+            self.counters["failed_maintenance"] += 1
+            if self.failures < MOST_FAILURES:
+                self.state, self.failure = M.load(self.files), None
+
+    def _write_run(self, rows: DataFrame, num: int, whole: bool, single: bool = False) -> list[M.Run]:
+        """Write rows as Parquet and describe them: as one run, or each file as a run of its own; single: one version a key."""
         folder = f"{RUNS}/{num:06d}-{uuid4().hex[:8]}"  # a number may come again after a failed commit
         rows.write.option("parquet.bloom.filter.enabled#key", "true").parquet(self.files.path(folder))
         sizes = {n: s for n, s in self.files.list(folder).items() if n.endswith(".parquet")}
         back = self.spark.read.schema(S.LOG).parquet(self.files.path(folder)).withColumn("file", F.col("_metadata.file_name"))
         by = [] if whole else ["file"]
-        stats = back.groupBy(*by).agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"), F.min("seq").alias("a"), F.max("seq").alias("b")).where("n > 0").collect()
+        stats = back.groupBy(*by).agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"), F.min("seq").alias("a"), F.max("seq").alias("b"), F.count_if(F.col("kind") != S.SET).alias("dead")).where("n > 0").collect()
         out = []
         for i, r in enumerate(sorted(stats, key=lambda r: bytes.fromhex(r["lo"]))):
             path = folder if whole else f"{folder}/{r['file']}"
-            out.append(M.Run(num + i, path, sum(s for n, s in sizes.items() if n.startswith(path)), r["n"], r["lo"], r["hi"], r["a"], r["b"]))
+            out.append(M.Run(num + i, path, sum(s for n, s in sizes.items() if n.startswith(path)), r["n"], r["lo"], r["hi"], r["a"], r["b"], single and not r["dead"]))
         return out
 
     # Maintenance.
@@ -284,6 +358,7 @@ class Store:
     def flush(self) -> None:
         """Make one level-0 run of all deltas."""
         self._writable()
+        self.sync()
         if not self.state.tail:
             return
         with self._sticky():
@@ -317,7 +392,7 @@ class Store:
             kept = versions.gc_versions(versions.dedupe_replay(self.read([*mine, *below])), min(oldest, state.last_seq))
             kept = versions.drop_tombstones(kept, min(oldest, state.last_seq), compaction.deeper_ranges(state, level + 1))
             files = max(1, -(-sum(r.size for r in (*mine, *below)) // self.options.target_file_bytes))
-            made = self._write_run(self._clustered(kept, files), num, whole=False)
+            made = self._write_run(self._clustered(kept, files), num, whole=False, single=oldest >= state.last_seq)
             levels = [tuple(r for r in x if r.num not in used) for x in state.levels]
             levels[level + 1] = tuple(sorted((*levels[level + 1], *made), key=lambda r: bytes.fromhex(r.lo)))
             cursors = state.cursors | {str(level): compaction.key_range(mine)[0].hex()}
@@ -348,6 +423,7 @@ class Store:
         self._open()
         if self.handles:
             raise errors.OpenHandlesError(f"{self.handles} open")
+        self.sync()
         self.closed = True
         self.files.delete(LOCK)
 
@@ -377,8 +453,9 @@ class Store:
         leveled = self.manifest().where("level > 0")
         out = out.unionByName(storage.disjoint_violations(leveled).select(F.lit("disjoint").alias("tag"), F.col("path").alias("detail")))
         for r in (r for r in state.runs() if size(r.path)):
-            got = self.read([r]).agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"), F.max("seq").alias("s"), F.count_distinct("key", "seq").alias("d"))
+            got = self.read([r]).agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"), F.max("seq").alias("s"), F.count_distinct("key", "seq").alias("d"), F.count_distinct("key").alias("keys"), F.count_if(F.col("kind") == S.SET).alias("sets"))
             ok = (F.col("n") == r.entries) & (F.col("lo") == r.lo) & (F.col("hi") == r.hi) & (F.col("s") == r.max_seq) & (F.col("d") == F.col("n"))
+            ok = ok & (~F.lit(r.plain) | ((F.col("keys") == F.col("n")) & (F.col("sets") == F.col("n"))))
             out = out.unionByName(got.where(~F.coalesce(ok, F.lit(False))).select(F.lit("content").alias("tag"), F.lit(r.path).alias("detail")))
         return out
 
@@ -410,9 +487,9 @@ class _Sticky:
         return False
 
 
-def open_store(spark: SparkSession, path: str, options: S.Options | None = None, files=None) -> Store:
+def open_store(spark: SparkSession, path: str, options: S.Options | None = None, files=None, clock=time.monotonic) -> Store:
     """Open or create the store below a path. A run that no manifest names was never committed; it is removed."""
-    store = Store(spark, path, options, files)
+    store = Store(spark, path, options, files, clock)
     if not store.pins():
         for n in store.unused({r.path for r in store.state.runs()}):
             store.files.delete(n)
