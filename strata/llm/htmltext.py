@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 
 from strata.llm.common import picked, slices
 
+#: The rest of a tag: a quote opens a value only right after an equals sign, elsewhere it is a character like others.
+REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|object|select|textarea)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>?",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|object|select|textarea)\b{REST}>.*?(?:</\1\s*+>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({REST})(>|\Z)|<[!?/][^>]*+>?",
     re.DOTALL | re.IGNORECASE,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -41,7 +43,7 @@ TELLING = re.compile(r"©|\b(?:copyright|cookies?|subscribe|newsletter|comments?
 def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], float, bool]]:
     """(text, ancestors as (tag, names) from the root, share of characters in links, after a heading) of each leaf block with text."""
     page = page or ""
-    out, stack, parts, linked, seen = [], [], [], 0, False
+    out, stack, parts, linked, seen, links = [], [], [], 0, False, 0
 
     def close() -> None:
         nonlocal parts, linked
@@ -55,9 +57,14 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], flo
         if raw:
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
-            if any(t == "a" for t, _ in stack):
+            if links:
                 linked += len(raw.strip())
 
+    def leave(i: int) -> None:
+        nonlocal links
+        links -= sum(t == "a" for t, _ in stack[i:])
+        del stack[i:]
+
     at = 0
     for m in TOKEN.finditer(page):
         read(page[at : m.start()])
@@ -66,6 +73,9 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], flo
         if not tag:
             parts.append(" " if m[1] else "")
             continue
+        if not m[5]:  # a tag that never ends is text
+            read(m[0])
+            continue
         if tag == "br":
             parts.append(" ")
         elif m[2]:
@@ -73,7 +83,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], flo
                 close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    leave(i)
                     break
             seen = seen or tag == "h1"
         else:
@@ -82,13 +92,14 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, str], ...], flo
                 ends = CLOSES.get(tag, {"p"})
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ends:
-                        del stack[i:]
+                        leave(i)
                         break
                     if stack[i][0] in BOUNDS:
                         break
             if tag not in VOID and not m[4].endswith("/"):
                 names = " ".join(a or b or c for a, b, c in NAMED.findall(m[4])).lower() if "=" in m[4] else ""
                 stack.append((tag, names))
+                links += tag == "a"
     read(page[at:])
     close()
     return out

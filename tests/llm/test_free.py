@@ -240,3 +240,27 @@ def test_bpe_digests(request, library, which):
     assert Counter(tuple(r) for r in tokens.digests(docs).collect()) == want
     full = tokens.encoded(docs).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in full) == want and all(len(r.ids) == r.n_tokens for r in full)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=don't>It is fine.</p><p>And it's so.</p>", ["It is fine.", "And it's so."]),
+        ("<p title=\"a > b\">x</p><p title='c > d' id=e>y</p>", ["x", "y"]),
+        ('<p title="never closed>x</p>', ["x"]),
+        ("<p>kept</p>and <a href=x", ["kept", "and <a href=x"]),
+        ("<p>1 < 2 and 3 > 2</p>", ["1 < 2 and 3 > 2"]),
+    ],
+)
+def test_html_quotes_and_unfinished_tags(page, want):
+    assert [b[0] for b in htmltext.blocks(page)] == want
+
+
+def test_html_takes_time_in_proportion():
+    for page in ("<p>x</p>" + "<a " * 300_000, "<p>" + "<b>x " * 100_000, "<p>" + "<a>x" * 100_000, "<" * 500_000, "<p>" + "<a href='" * 100_000):
+        assert htmltext.blocks(page)  # minutes, were it to grow as the square
+
+
+def test_html_link_share_ends_with_the_link():
+    share = {b[0]: b[2] for b in htmltext.blocks("<p><a href=x>one</a></p><p>two</p><p><a>th<b>ree</p><p>four</p>")}
+    assert share == {"one": 1.0, "two": 0.0, "three": 1.0, "four": 0.0}
