@@ -175,6 +175,8 @@ class Store:
                 if self.files.list(RUNS):
                     raise errors.CorruptionError("runs without a manifest")
                 state = M.install(self.files, M.State())
+            for pin in self.files.list(PINS):  # of holders before this one: their snapshots ended with them
+                self.files.delete(pin)
             there = self.files.list(RUNS)
             if lost := [r.path for r in state.runs() if not any(n == r.path or n.startswith(r.path + "/") for n in there)]:
                 raise errors.CorruptionError(f"missing {lost}")
@@ -490,7 +492,6 @@ class _Sticky:
 def open_store(spark: SparkSession, path: str, options: S.Options | None = None, files=None, clock=time.monotonic) -> Store:
     """Open or create the store below a path. A run that no manifest names was never committed; it is removed."""
     store = Store(spark, path, options, files, clock)
-    if not store.pins():
-        for n in store.unused({r.path for r in store.state.runs()}):
-            store.files.delete(n)
+    for n in store.unused({r.path for r in store.state.runs()}):
+        store.files.delete(n)
     return store

@@ -136,7 +136,9 @@ def test_lease_of_a_dead_process_is_broken_once(spark, tmp_path):
     dead = subprocess.run([sys.executable, "-c", "import os; print(os.getpid())"], capture_output=True, text=True, check=True).stdout
     stale = {"host": socket.gethostname(), "pid": int(dead), "token": "t1"}
     files.create("LOCK", json.dumps(stale))
+    files.create(f"pins/{int(dead)}-1-0.json", json.dumps({"seq": 0, "version": 0}))
     store = open_store(spark, str(tmp_path / "db"))
+    assert not store.pins() and store.oldest_snapshot() == S.MAX_SEQ
     with pytest.raises(errors.LockedError):
         open_store(spark, str(tmp_path / "db"))
     store.close()
