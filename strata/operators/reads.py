@@ -83,9 +83,17 @@ def multi_get(log: DataFrame | None, keys: DataFrame, seq: int | None = None, pl
 
 
 def neighbours(view: DataFrame, bucket: Column) -> DataFrame:
-    """Each live row with its next key inside a key bucket; null at the end of a bucket."""
-    w = Window.partitionBy(bucket).orderBy("key")
-    return view.withColumn("next_key", F.lead("key").over(w))
+    """Each live row with the next key of the whole key order; null for the last.
+
+    Buckets must follow the key order and not be null. The next key is looked for inside each bucket; the last row of a
+    bucket takes the least key of the next one that has rows, from a window over the buckets' least keys alone.
+    """
+    rows = view.withColumn("__bucket", bucket)
+    firsts = rows.groupBy("__bucket").agg(F.min("key").alias("__first"))
+    after = firsts.select("__bucket", F.lead("__first").over(Window.orderBy("__bucket")).alias("__after"))
+    inside = Window.partitionBy("__bucket").orderBy("key")
+    out = rows.join(after, "__bucket")
+    return out.withColumn("next_key", F.coalesce(F.lead("key").over(inside), "__after")).drop("__bucket", "__after")
 
 
 def oldest_snapshot(pins: DataFrame) -> DataFrame:
