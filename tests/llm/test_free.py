@@ -264,3 +264,31 @@ def test_html_takes_time_in_proportion():
 def test_html_link_share_ends_with_the_link():
     share = {b[0]: b[2] for b in htmltext.blocks("<p><a href=x>one</a></p><p>two</p><p><a>th<b>ree</p><p>four</p>")}
     assert share == {"one": 1.0, "two": 0.0, "three": 1.0, "four": 0.0}
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>one</p><svg-icon name=x></svg-icon><p>two</p>", ["one", "two"]),
+        ("<p>one</p><select-box>in</select-box><p>two</p><svg><text>no</text></svg><p>three</p>", ["one", "in", "two", "three"]),
+        ("<p>one</p><object:x>a</object:x><p>two</p>", ["one", "a", "two"]),
+        ("<p>one</p><svg/><p>two</p>", ["one", "two"]),
+        ('<p>a<SVG class="i > j"\n/>b</p><p>two</p><svg a="/"><text>no</text></svg><p>three</p>', ["a b", "two", "three"]),
+        ("<p>one</p><svg\nwidth=1><path/><text>no</text></svg ><p>two</p>", ["one", "two"]),
+        ("<p>one</p><script src=x />no</script><p>two</p>", ["one", "two"]),
+    ],
+)
+def test_html_keeps_text_after_custom_and_self_closed_elements(page, want):
+    assert [b[0] for b in htmltext.blocks(page)] == want
+
+
+def test_html_main_text_after_custom_and_self_closed_elements(spark):
+    page = "<html><body><article><h1>The title</h1>%s<p>First one here, of some words.</p><p>Second one here, of some words.</p></article></body></html>"
+    rows = [(i, "u", page % x) for i, x in enumerate(("", "<svg-icon name=x></svg-icon>", "<svg viewBox='0 0 1 1'/>"))]
+    got = {r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"The title First one here, of some words. Second one here, of some words."}
+
+
+def test_html_self_closed_elements_take_time_in_proportion():
+    for page in ("<p>x</p>" + "<svg " * 200_000, "<p>x</p>" + "<svg a=b/>" * 100_000, "<p>x</p>" + "<svg>" * 200_000):
+        assert htmltext.blocks(page)
