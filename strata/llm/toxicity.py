@@ -7,8 +7,8 @@ attention pools their states and inputs, and a logistic unit scores the window.
 score of its highest window.
 
 Training runs on the driver on at most `toxic` + `clean` labelled documents (defaults 1,500 and 2,500, those of the
-smallest id hash, of which texts of more than 10,000 characters are left out), held-out ids left out. The first component of both
-embeddings starts from smoothed log odds. Labels are of documents, so training goes in two rounds: a toxic document
+smallest id hash), whole texts of any length, held-out ids left out; its memory grows with the sample's characters.
+The first component of both embeddings starts from smoothed log odds. Labels are of documents, so training goes in two rounds: a toxic document
 is represented by its highest window, by log odds, then by the network; a clean one by its highest and another.
 
 Nulls and edges: a null or wordless text is one empty window and gets a score like any other; labels that are null or
@@ -27,7 +27,7 @@ from strata.llm.common import picked, slices
 WINDOW, STRIDE, GRAM = 48, 32, 5
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 17, 6, 4, 8
 INPUT = WORD_DIM + GRAM_DIM
-TOXIC, CLEAN, MOST_CHARS = 1_500, 2_500, 10_000
+TOXIC, CLEAN = 1_500, 2_500
 #: Documents' worth of evidence that log odds are shrunk by: copies of one document shouldn't make its words telling.
 SHRINK = 12
 #: Bytes of text handled at once.
@@ -311,8 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
     known = known.withColumn("order", F.xxhash64("doc_id"))
     ids = [known.where(f"toxic = {c}").orderBy("order", "doc_id").limit(n) for c, n in ((1, toxic), (0, clean))]
     sample = ids[0].unionByName(ids[1])  # at most toxic + clean rows: broadcast, so that texts stay where they are
-    short = picked(docs, "doc_id", "text").where(F.length("text") <= MOST_CHARS).join(F.broadcast(sample), "doc_id")
-    rows = sorted(short.select("order", "doc_id", "text", "toxic").collect())
+    whole = picked(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    rows = sorted(whole.select("order", "doc_id", "text", "toxic").collect())
     return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64))
 
 

@@ -292,3 +292,16 @@ def test_html_main_text_after_custom_and_self_closed_elements(spark):
 def test_html_self_closed_elements_take_time_in_proportion():
     for page in ("<p>x</p>" + "<svg " * 200_000, "<p>x</p>" + "<svg a=b/>" * 100_000, "<p>x</p>" + "<svg>" * 200_000):
         assert htmltext.blocks(page)
+
+
+def test_toxicity_trains_on_long_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append((texts, y.tolist())))
+    docs = [(i, f"{i} " + "word " * (60 if i % 2 else 9_000)) for i in range(60)]
+    marks = spark.createDataFrame([(i, int(i % 4 < 2)) for i, _ in docs], "doc_id long, toxic int")
+    frame = spark.createDataFrame([*docs, (None, "x"), (7, None)], "doc_id long, text string")
+    kept = {t: int(i % 4 < 2) for i, t in docs if zlib.crc32(str(i).encode()) % 5}
+    toxicity.fit(frame, marks)
+    assert dict(zip(*seen[0])) == kept and len(seen[0][0]) == len(kept)
+    toxicity.fit(frame, marks, 5, 9)
+    assert sorted(seen[1][1]) == [0] * 9 + [1] * 5 and set(seen[1][0]) <= set(kept)
