@@ -117,7 +117,7 @@ class CharCnn:
             a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, grad), -1, 1)
         self.platt = (float(a), float(b))
         found = np.sort(self.score(x)[y == 1])
-        self.threshold = max(0.5, float(found[int((1 - recall) * len(found))]))
+        self.threshold = float(found[int((1 - recall) * len(found))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         a, b = self.platt

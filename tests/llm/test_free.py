@@ -305,3 +305,12 @@ def test_toxicity_trains_on_long_documents(spark, monkeypatch):
     assert dict(zip(*seen[0])) == kept and len(seen[0][0]) == len(kept)
     toxicity.fit(frame, marks, 5, 9)
     assert sorted(seen[1][1]) == [0] * 9 + [1] * 5 and set(seen[1][0]) <= set(kept)
+
+
+def test_cnn_threshold_keeps_the_recall_below_one_half():
+    found, net = secrets.labelled_findings(400, seed=3), secrets.CharCnn()
+    y = np.array([float(i % 9 == 0) for i in range(len(found))])  # labels that say nothing: no score comes near one half
+    x = secrets.codes([secrets.views(t, a, b)[0] for t, a, b, _ in found])
+    net.calibrate(x, y, 0.9)
+    s = net.score(x)[y == 1]
+    assert net.threshold < 0.5 and np.mean(s >= net.threshold) >= 0.9
