@@ -3,8 +3,8 @@
 Candidates are runs of 16 or more token characters with a letter and a digit. The network (embedding, one convolution,
 max pooling, a dense layer; numpy) reads each candidate with the text before and after it; long candidates are read
 whole, in overlapping windows, the greatest score counting. It is trained on the driver on labelled findings made from
-a seed: keys of known shapes and assigned values against identifiers, paths, versions, numbers, words, addresses. The
-scores of a held-out third are calibrated by Platt scaling, and the threshold is the highest that keeps the required
+a seed, all windows of each: keys of known shapes and assigned values against identifiers, paths, versions, numbers,
+words, addresses. The greatest scores of a held-out third are calibrated by Platt scaling, and the threshold is the highest that keeps the required
 recall there. Spans that touch a base span are not added.
 
 Nulls and edges: a null text is empty; spans are code points, end exclusive; repeated rows give repeated results.
@@ -106,9 +106,13 @@ class CharCnn:
                     m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.999 * s[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton steps, then the highest threshold that keeps the recall."""
-        z, (a, b) = self.forward(x)[3], (1.0, 0.0)
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, first: np.ndarray | None = None) -> None:
+        """Platt scaling by Newton steps, then the highest threshold that keeps the recall.
+
+        `first` has the first window of each finding (None: a window each); the highest of a finding counts, as in scan().
+        """
+        first = np.arange(len(x)) if first is None else first
+        z, (a, b) = np.maximum.reduceat(self.forward(x)[3], first), (1.0, 0.0)
         for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             w = q * (1 - q) + 1e-9
@@ -116,7 +120,7 @@ class CharCnn:
             hess = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-2]])
             a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, grad), -1, 1)
         self.platt = (float(a), float(b))
-        found = np.sort(self.score(x)[y == 1])
+        found = np.sort(np.maximum.reduceat(self.score(x), first)[y == 1])
         self.threshold = float(found[int((1 - recall) * len(found))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -141,6 +145,9 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int,
         lambda: "/usr/" + "/".join(pick(lower, r.randint(3, 8)) for _ in range(3)) + pick(digits, 2), lambda: pick(digits, r.randint(8, 14)) + pick(lower, 1) + "-" + pick(digits, 6),
         lambda: "-".join(pick(digits + "abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: word() + word() + word() + word() + pick(digits, 2), lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-{r.randint(10, 59)}Z",
         lambda: "=" * r.randint(10, 20) + pick(lower, 4) + pick(digits, 2) + "=" * 8, lambda: pick(lower, 1) * r.randint(14, 30) + pick(digits, 3), lambda: word().capitalize() + word() + "Of" + word().capitalize() + word() + pick(digits, r.randint(1, 3)),
+        # Longer than a window: without them, windows inside a candidate would all be secrets' windows.
+        lambda: "-".join(pick(lower, r.randint(2, 9)) for _ in range(r.randint(9, 12))) + "-" + pick(digits, 2), lambda: "/srv/" + "/".join(pick(lower, r.randint(3, 9)) for _ in range(r.randint(8, 12))) + pick(digits, 2),
+        lambda: "_".join(pick(lower, r.randint(3, 9)) + pick(digits, r.randint(0, 2)) for _ in range(r.randint(8, 12))) + "1",
     )
     lead = ("key: ", "secret=", 'token "', "Authorization: Bearer ", "export KEY=", "")
     out = []
@@ -154,6 +161,13 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int,
     return out
 
 
+def windowed(found: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of labelled findings, the first window of each finding, and the findings' labels."""
+    seen = [views(t, a, b) for t, a, b, _ in found]
+    first = np.cumsum([0, *map(len, seen)])[:-1]
+    return codes([w for v in seen for w in v]), first, np.array([f[3] for f in found], dtype=float)
+
+
 _MODELS: dict[float, CharCnn] = {}
 
 
@@ -161,11 +175,12 @@ def model(recall: float = RECALL) -> CharCnn:
     """The network, trained once a process on two thirds of the findings and calibrated on the rest."""
     if recall not in _MODELS:
         found = labelled_findings()
-        x, y = codes([views(t, a, b)[0] for t, a, b, _ in found]), np.array([f[3] for f in found], dtype=float)
-        held = np.arange(len(y)) % 6 >= 4
+        held = [f for i, f in enumerate(found) if i % 6 >= 4]
         net = CharCnn()
-        net.fit(x[~held], y[~held])
-        net.calibrate(x[held], y[held], recall)
+        x, first, y = windowed([f for i, f in enumerate(found) if i % 6 < 4])
+        net.fit(x, np.repeat(y, np.diff(np.append(first, len(x)))))
+        x, first, y = windowed(held)
+        net.calibrate(x, y, recall, first)
         _MODELS[recall] = net
     return _MODELS[recall]
 

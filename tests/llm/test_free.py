@@ -314,3 +314,17 @@ def test_cnn_threshold_keeps_the_recall_below_one_half():
     net.calibrate(x, y, 0.9)
     s = net.score(x)[y == 1]
     assert net.threshold < 0.5 and np.mean(s >= net.threshold) >= 0.9
+
+
+def test_cnn_is_fitted_and_calibrated_on_all_windows(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(secrets, "_MODELS", {})
+    fit = secrets.CharCnn.fit
+    monkeypatch.setattr(secrets.CharCnn, "fit", lambda self, x, y: (seen.update(n=len(x)), fit(self, x, y))[1])
+    net, found = secrets.model(), secrets.labelled_findings()
+    assert seen["n"] == sum(len(secrets.views(*f[:3])) for i, f in enumerate(found) if i % 6 < 4)
+    best = lambda f: max(net.score(secrets.codes(secrets.views(*f[:3]))))
+    s = np.array([best(f) for i, f in enumerate(found) if i % 6 >= 4 and f[3]])
+    assert 0.98 <= np.mean(s >= net.threshold) < 0.985  # the threshold is that of the scores that scan() gives
+    plain = [best(f) for f in secrets.labelled_findings(1500, seed=98) if not f[3] and f[2] - f[1] > secrets.BODY]
+    assert len(plain) > 50 and np.mean(np.array(plain) >= net.threshold) < 0.02
