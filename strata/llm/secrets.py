@@ -4,8 +4,10 @@ Candidates are runs of 16 or more token characters with a letter and a digit. Th
 max pooling, a dense layer; numpy) reads each candidate with the text before and after it; long candidates are read
 whole, in overlapping windows, the greatest score counting. It is trained on the driver on labelled findings made from
 a seed, all windows of each: keys of known shapes and assigned values against identifiers, paths, versions, numbers,
-words, addresses. The greatest scores of a held-out third are calibrated by Platt scaling, and the threshold is the highest that keeps the required
-recall there. Spans that touch a base span are not added.
+words, addresses. The greatest scores of a held-out third are calibrated by Platt scaling, and the threshold is the
+highest that keeps the required recall there. A candidate that base spans cover is not scored; one that reaches beyond
+them is scored and reported whole, but it ends where an assignment (password=...) begins. Runs of under 16 characters,
+of letters only or without a letter are not scored.
 
 Nulls and edges: a null text is empty; spans are code points, end exclusive; repeated rows give repeated results.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from hashlib import sha256
 from itertools import accumulate
 
@@ -47,7 +49,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if not m[0].isalpha() and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+    return [m.span() for m in CANDIDATE.finditer(text) if mixed(m[0])]
+
+
+def mixed(run: str) -> bool:
+    return not run.isalpha() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
+def open_candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The candidates that reach beyond the base spans they touch; one that an assignment begins in ends there.
+
+    An assignment that begins in a candidate covers the rest of it; what stands before is a candidate if it is one by itself.
+    """
+    starts, reach = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
+    out = []
+    for a, b in candidates(text):
+        i, j = bisect_right(reach, a), bisect_left(starts, b)
+        if i < j and spans[i][0] <= a and spans[i][1] >= b:
+            continue
+        inside, at, end = spans[i:j], a, b
+        for s, e, kind in inside:
+            if kind == "assign":
+                end = min(end, s)
+            if s <= at:
+                at = max(at, e)
+        if at < end and (end == b or CANDIDATE.fullmatch(text, a, end) and mixed(text[a:end])):
+            out.append((a, end))
+    return out
 
 
 def views(text: str, start: int, end: int) -> list[str]:
@@ -190,14 +218,10 @@ def scan(texts: list[str], net: CharCnn) -> list[list[tuple[int, int, str]]]:
     spans = [base_spans(t) for t in texts]
     where, windows = [], []
     for i, t in enumerate(texts):
-        starts = [s for s, _, _ in spans[i]]
-        reach = list(accumulate((e for _, e, _ in spans[i]), max))
-        for a, b in candidates(t):
-            before = bisect_left(starts, b)  # base spans that start before the candidate ends
-            if not before or reach[before - 1] <= a:
-                v = views(t, a, b)
-                where += [(i, a, b)] * len(v)
-                windows += v
+        for a, b in open_candidates(t, spans[i]):
+            v = views(t, a, b)
+            where += [(i, a, b)] * len(v)
+            windows += v
     best: dict[tuple[int, int, int], float] = {}
     for k in range(0, len(windows), 512):
         for w, s in zip(where[k : k + 512], net.score(codes(windows[k : k + 512])).tolist()):
