@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_runs(batches, column: int, chars: int):
+    """Arrow batches in slices of about `chars` bytes of a text column; a longer text is a slice of its own."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + chars, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in slices, so that what a Python worker holds as lists stays small."""
     for b in batches:

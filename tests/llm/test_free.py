@@ -228,7 +228,34 @@ def test_bpe_automaton(library):
     for w in words:
         ids = library.encode(w, add_special_tokens=False).ids
         assert c.encode(w) == ids and c.decode(ids) == library.decode(ids, skip_special_tokens=False)
-    assert len(c.automaton.arcs) == len(c.automaton.vocab)  # every merge's gadget had a path
+    assert len(c.automaton.labels) == len(library.get_vocab()) - len(c.special)  # every merge's gadget had a path
+
+
+def test_bpe_table_has_the_arcs_of_the_gadgets():
+    a, r = tokens.codec().automaton, np.random.default_rng(4)
+    last, t = r.integers(0, len(a.born), 50_000), r.integers(0, len(a.born), 50_000)
+    assert a.allowed(last, t).tolist() == [a.arc(int(x), 1 << 60, int(y)) for x, y in zip(last, t)]
+    cuts = [(x, y) for x, own in a.cuts.items() for y in own]
+    assert not a.allowed(*np.array(cuts).T).any()
+    small = tokens.Automaton({"a": 0, "b": 1, "a</w>": 2, "b</w>": 3, "aa": 4, "ab</w>": 5, "aaaa": 6}, [("a", "a"), ("a", "b</w>"), ("aa", "aa")], "</w>")
+    assert small.encode([b"aaab", b"aaaaaab", b"ab", b"b"])[0].tolist() == [4, 5, 6, 4, 3, 5, 3]
+
+
+def test_bpe_code_points_and_chunks(library):
+    points = [chr(c) for c in [*range(1, 0x3000), *range(0xA600, 0xAC00), *range(0x10000, 0x11000), *range(0x16E00, 0x17000), *range(0x1E600, 0x1E700)]]
+    texts = [f"a{x}b {x} {x}. {x}{x}" for x in points]
+    c = tokens.codec()
+    ids, ends = c.encode_texts(tokens.pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_bpe_table_of_words_may_be_emptied(library, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 3)
+    monkeypatch.setattr(tokens, "GROUP", 5)
+    monkeypatch.setattr(tokens, "BLOCK", 2)
+    for t in ("one two three four five", "two <|endoftext|> six seven", "x" * 50 + " one"):
+        assert tokens.codec().encode(t) == library.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("which", ["hard", "docs", "none"])
@@ -239,7 +266,8 @@ def test_bpe_digests(request, library, which):
         want[r["doc_id"], len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter(tuple(r) for r in tokens.digests(docs).collect()) == want
     full = tokens.encoded(docs).collect()
-    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in full) == want and all(len(r.ids) == r.n_tokens for r in full)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in full) == Counter(x[:3] for x in want.elements()) and all(len(r.ids) == r.n_tokens for r in full)
+    assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in tokens.decoded(docs).collect()) == Counter((x[0], x[1], x[3]) for x in want.elements())
 
 
 @pytest.mark.parametrize(
