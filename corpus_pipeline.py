@@ -32,7 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.encoded(docs).drop("decoded")
+    return tokens.encoded(docs)
 
 
 STAGES = [("quality_rules", rules), ("near_dedup", dedup), ("secret_scan", redact), ("mixing", mix), ("bpe", encode)]
