@@ -2,12 +2,14 @@
 
 A page is read in one pass into leaf blocks: runs of text between block-level tags, each with its open ancestors.
 Scripts, styles, comments and the like are no blocks; one that is never closed reaches to the end of the page, a
-self-closed svg is empty, and custom elements (svg-icon, select-box) are tags like others. Features are ancestor tags, words of their classes and ids, the
-block's own tag, its length, link share, closing punctuation and a few telling words, and the place after the first
-heading. The field has two labels (article, rest) and is trained on the driver, by Adam on the exact likelihood
-(forward-backward in numpy), on labelled pages laid out from a seed in many ways; pages are decoded by Viterbi.
-
-Nulls and edges: a null html is empty and gives an empty text; unclosed and stray tags are tolerated; no other text is left out.
+self-closed svg is empty, and custom elements (svg-icon, select-box) are tags like others. Features are ancestor tags,
+words of their classes and ids, the block's own tag, its length, link share, closing punctuation and a few telling
+words, and the place after the first heading. The field has two labels (article, rest) and is trained on the driver, by Adam on the exact likelihood
+(forward-backward in numpy), on labelled pages laid out from a seed in many ways, with as many boxes inside articles as
+around them and with pages that have no boxes or no tags; pages are decoded by Viterbi.
+
+Nulls and edges: a null html is empty and gives an empty text; unclosed and stray tags are tolerated; text without
+tags is an article; pages of any length are read whole; repeated rows give repeated results; no other text is left out.
 """
 
 from __future__ import annotations
@@ -158,7 +160,7 @@ class Field:
         pair = np.exp(f[:-1, :, None] + self.t + (e + b)[1:, None, :] - z).sum(axis=0) if n > 1 else np.zeros((2, 2))
         return z, np.exp(f + b - z), pair
 
-    def fit(self, pages, epochs: int = 6, rate: float = 0.08, decay: float = 2e-5) -> None:
+    def fit(self, pages, epochs: int = 6, rate: float = 0.08, decay: float = 3e-4) -> None:
         """Adam on the likelihood of labelled pages [(features, labels)], a page a step."""
         m = [np.zeros_like(x) for x in (self.w, self.t, self.s)]
         v = [np.zeros_like(x) for x in m]
@@ -170,7 +172,7 @@ class Field:
                 e = np.array([self.w[i].sum(axis=0) for i in ids])
                 _, p, pair = self.expected(e)
                 hot = np.eye(2)[labels]
-                g = [decay * self.w * len(pages), pair.copy(), p[0] - hot[0]]
+                g = [decay * self.w, pair.copy(), p[0] - hot[0]]
                 for i, d in zip(ids, p - hot):
                     g[0][i] += d
                 for a, b in zip(labels, labels[1:]):
@@ -183,74 +185,160 @@ class Field:
                     x -= rate / (1 + k) * (mx / (1 - 0.9**step)) / (np.sqrt(vx / (1 - 0.999**step)) + 1e-8)
 
 
-def labelled_pages(n: int = 700, seed: int = 9) -> list[tuple[str, list[str]]]:
-    """(html, texts of the article's blocks in order): pages laid out at random from common parts."""
-    r = random.Random(seed)
-    word = lambda: "".join(r.choice(("th", "en", "er", "on", "re", "st", "an", "ou", "le", "ch", "ung", "ción", "ment", "é")) for _ in range(r.randint(1, 4)))
-    say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
-    sentence = lambda a=6, b=30: say(a, b).capitalize() + r.choice((".", ".", ".", ".", "!", "?", "", ",", " |"))
-    link = lambda: f'<a href="/{word()}">{say(1, 3)}</a>'
-    named = lambda *names: r.choice(("class", "id")) + f'="{r.choice(names)}"'
-    items = lambda tag="li": "".join(f"<{tag}>{link()}</{tag}>" for _ in range(r.randint(2, 8)))
-    out = []
-    for _ in range(n):
-        main: list[str] = []
-
-        def keep(text: str) -> str:
-            main.append(text)
-            return text
-
-        junk = {
-            "nav": lambda: r.choice((f"<nav><ul>{items()}</ul></nav>", f'<div {named("menu", "navbar", "nav top", "breadcrumb", "main-nav")}>{items("span")}</div>', f'<ul {named("menu", "navigation")}>{items()}</ul>')),
-            "header": lambda: r.choice((f"<header><h2>{say(1, 4)}</h2><p>{sentence(2, 8)}</p></header>", f'<div {named("header", "site-header", "masthead", "topbar")}>{say(2, 6)} {link()}</div>')),
-            "ad": lambda: r.choice((f'<div {named("ad", "ads", "advert", "banner ad", "sponsored", "promo", "advertisement")}>{sentence()}</div>', f'<aside class="ad"><p>{sentence()}</p></aside>', f'<section class="sponsored"><p>Advertisement</p><p>{sentence()}</p></section>')),
-            "side": lambda: r.choice((f"<aside><h3>{say(1, 3)}</h3><ul>{items()}</ul></aside>", f'<div {named("sidebar", "side", "related", "widget", "trending")}><h3>{say(1, 3)}</h3><p>{sentence()}</p><ul>{items()}</ul></div>', f"<aside><p>{sentence(8, 40)}</p></aside>")),
-            "notice": lambda: f'<div {named("notice", "cookie-banner", "alert", "cookies", "consent", "gdpr", "popup", "modal")}><p>{r.choice(("We use cookies. ", "", "Cookie notice: "))}{sentence()}</p><button>{say(1, 2)}</button></div>',
-            "form": lambda: r.choice((f'<form action="/s"><label>{say(1, 3)}</label><input name="q"><button>{say(1, 2)}</button></form>', f'<div {named("newsletter", "signup", "subscribe", "login", "search")}><form><p>{sentence()}</p><input><button>Subscribe</button></form></div>')),
-            "comments": lambda: r.choice((
-                f'<section {named("comments", "comment-list", "reader-comments", "discussion", "responses")}><h3>Comments</h3>' + "".join(f'<div class="comment"><b>{word()}</b><p>{sentence(5, 60)}</p></div>' for _ in range(r.randint(1, 5))) + "</section>",
-                f'<div {named("comments", "commentlist", "disqus", "replies")}><ol>' + "".join(f"<li><p>{sentence(5, 60)}</p></li>" for _ in range(r.randint(1, 5))) + "</ol></div>")),
-            "footer": lambda: r.choice((f"<footer>&copy; {word()}.example &middot; {sentence()}</footer>", f'<div {named("footer", "site-footer", "bottom", "copyright")}><p>&copy; 20{r.randint(10, 29)} {say(1, 4)}</p><ul>{items()}</ul></div>', f"<footer><p>{sentence()}</p><ul>{items()}</ul></footer>")),
-            "share": lambda: f'<div {named("share", "social", "share-buttons", "tags")}>{items("span")}</div>',
-        }
-        body, x = "", r.random()
-        if x < 0.8:
-            level = 1 if x < 0.7 else 2
-            body = f"<h{level}>{keep(say(2, 10))}</h{level}>"
-        for k in range(r.randint(1, 14)):
-            x = r.random()
-            if x < 0.62:
-                short = r.random() < 0.25
-                body += f"<p>{keep(sentence(1, 2) if short else sentence(3, 90 if r.random() < 0.8 else 500))}" + ("</p>" if r.random() < 0.85 else "")
-            elif x < 0.70:
-                level = r.randint(2, 4)
-                body += f"<h{level}>{keep(say(2, 8))}</h{level}>"
-            elif x < 0.76:
-                body += "<ul>" + "".join(f"<li>{keep(sentence(2, 14))}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-            elif x < 0.80:
-                body += f"<blockquote>{keep(sentence())}</blockquote>"
-            elif x < 0.84:
-                body += f"<p><b>{keep(sentence(1, 30))}<br>"
-            elif x < 0.87:
-                body += f"<table><tr><td>{keep(say(1, 5))}</td><td>{keep(say(1, 5))}</td></tr></table>"
-            elif x < 0.96:
-                body += junk[r.choice(("ad", "share", "side", "notice", "form"))]()
-            else:
-                body += f"<div>{keep(sentence(3, 60))}</div>"
-        if not main:
-            body += f"<p>{keep(sentence())}</p>"
-        wrap = r.choice(("article", "article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'div id="main"'))
-        body = f"<{wrap}>{body}</{wrap.split()[0]}>"
+class Layouts:
+    """Labelled pages laid out at random: an article among the boxes that pages have, which stand around it and in it.
+
+    Boxes are named by their kind, by a word beside it, or not at all; the article stands in an element of its own, in a
+    named or unnamed box, in the body or in nothing.
+    """
+
+    # Words that sites name boxes by.
+    NAMES = {
+        "nav": "nav menu navbar navigation breadcrumb breadcrumbs main-nav topnav toc-links pagination pager".split(),
+        "header": "header site-header masthead topbar page-header branding logo".split(),
+        "ad": "ad ads advert advertisement ad-slot adsbox banner sponsored sponsor promo promoted promotion dfp partner-content".split(),
+        "side": "sidebar side widget rail secondary right-column aside-box".split(),
+        "related": "related related-posts recommended recommendations more-stories see-also also-like read-next trending popular most-read recirc".split(),
+        "notice": "notice cookie-banner cookie alert cookies consent gdpr popup modal overlay toast disclaimer announcement paywall breaking".split(),
+        "form": "newsletter signup sign-up subscribe subscription login search mailing-list optin contact-form poll survey".split(),
+        "share": "share social share-buttons social-links tags tag-list follow follow-us toolbar".split(),
+        "comments": "comments comment-list commentlist reader-comments discussion responses replies disqus comment-section feedback".split(),
+        "footer": "footer site-footer bottom copyright legal page-footer colophon".split(),
+    }
+    SAYS = {
+        "ad": ("Advertisement", "Sponsored", "Promoted", "Advert"),
+        "related": ("Related", "Read more", "You may also like", "More stories", "Trending", "Most read"),
+        "notice": ("We use cookies.", "Cookie notice:", "Notice:", "This site uses cookies.", "Important:"),
+        "form": ("Subscribe", "Sign up", "Newsletter", "Log in", "Join us"),
+        "share": ("Share", "Follow us", "Tags"),
+        "comments": ("Comments", "Discussion", "Replies", "Leave a reply"),
+        "side": ("About", "Archive", "Popular"),
+    }
+    BOXES = ("div", "div", "div", "section", "aside")
+    CONTAINERS = (
+        "article", "article", "article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"',
+        'div class="article-body"', 'section class="story"', 'div id="main"', 'div class="text"', "div", "section", 'div class="wrap"', "", "",
+    )
+    SYLLABLES = ("th", "en", "er", "on", "re", "st", "an", "ou", "le", "ch", "ung", "ción", "ment", "é")
+    #: Words that junk says often and articles may say too.
+    ALSO = ("comments", "subscribe", "cookies", "share", "related", "newsletter", "privacy", "says", "advertisement", "read more")
+
+    def __init__(self, seed: int):
+        self.r, self.main = random.Random(seed), []
+
+    def word(self) -> str:
+        return "".join(self.r.choice(self.SYLLABLES) for _ in range(self.r.randint(1, 4)))
+
+    def say(self, a: int, b: int) -> str:
+        return " ".join(self.word() for _ in range(self.r.randint(a, b)))
+
+    def sentence(self, a: int = 6, b: int = 30) -> str:
+        return self.say(a, b).capitalize() + self.r.choice((".", ".", ".", ".", "!", "?", "", ",", " |"))
+
+    def items(self, tag: str = "li") -> str:
+        return "".join(f'<{tag}><a href="/{self.word()}">{self.say(1, 3)}</a></{tag}>' for _ in range(self.r.randint(1, 8)))
+
+    def keep(self, text: str) -> str:
+        if self.r.random() < 0.06:
+            text += " " + self.r.choice(self.ALSO)
+        self.main.append(text)
+        return text
+
+    def inside(self, kind: str) -> str:
+        """What a box of a kind holds."""
+        r = self.r
+        title = r.choice(self.SAYS.get(kind, ("",))) if r.random() < 0.5 else ""
+        heading = f"<{h}>{title or self.say(1, 4)}</{h}>" if (h := r.choice(("", "", "h2", "h3", "h4", "p", "b", "strong"))) else title + " " * bool(title)
+        prose = f"<p>{self.sentence(5, r.choice((12, 40, 90)))}</p>" if r.random() < 0.7 else self.sentence(5, 40)
+        if kind in ("nav", "share"):
+            return r.choice((f"<ul>{self.items()}</ul>", self.items("span"), self.items("b"), heading + self.items("span")))
+        if kind in ("related", "side"):
+            return heading + r.choice((prose, f"<ul>{self.items()}</ul>", prose + f"<ul>{self.items()}</ul>", self.items("p")))
+        if kind == "form":
+            form = f'<input name="q"><button>{r.choice(("Subscribe", "Send", self.say(1, 2)))}</button>'
+            return r.choice((heading + prose, heading + prose + form, f'<form action="/s"><label>{self.say(1, 3)}</label>{form}</form>', f"{heading}<form>{prose}{form}</form>"))
+        if kind == "comments":
+            one = lambda: r.choice(('<div class="comment"><b>{0}</b><p>{1}</p></div>', "<li><p>{1}</p></li>", "<p>{0}: {1}</p>", "<div>{0} says: {1}</div>", "<p>{1}</p>")).format(self.word(), self.sentence(4, 60))
+            return heading + "".join(one() for _ in range(r.randint(1, 5)))
+        if kind == "footer":
+            return r.choice((f"&copy; {self.word()}.example &middot; {self.sentence()}", f"<p>&copy; 20{r.randint(10, 29)} {self.say(1, 4)}</p><ul>{self.items()}</ul>", f"<p>{self.sentence()}</p><ul>{self.items()}</ul>", f"<p>{self.sentence()}</p>"))
+        if kind == "header":
+            return r.choice((f"<h2>{self.say(1, 4)}</h2><p>{self.sentence(2, 8)}</p>", f'{self.say(2, 6)} <a href="/">{self.say(1, 2)}</a>', f"<h1>{self.say(1, 3)}</h1>"))
+        return r.choice((prose, heading + prose, heading + prose + f"<button>{self.say(1, 2)}</button>", self.sentence()))
+
+    def box(self, kind: str) -> str:
+        """A box of a kind, by its own element or by a name, alone or among others."""
+        r, own = self.r, {"nav": "nav", "header": "header", "footer": "footer", "side": "aside"}
+        if kind in own and r.random() < 0.5:
+            return f"<{own[kind]}>{self.inside(kind)}</{own[kind]}>"
+        name = r.choice(self.NAMES[kind])
+        if r.random() < 0.25:
+            name = r.choice((f"{name}-{self.word()}", f"{self.word()}-{name}", f"{name} {self.word()}", f"box {name}", f"{name}-box", f"widget {name}"))
+        tag, body = r.choice(self.BOXES), self.inside(kind)
+        if kind in ("comments", "nav", "share", "related") and r.random() < 0.2:
+            tag, item = r.choice((("ul", "li"), ("ol", "li"), ("dl", "dd")))
+            body = "".join(f"<{item}>{self.sentence(2, 30)}</{item}>" for _ in range(r.randint(1, 4)))
+        if kind == "form" and r.random() < 0.3:
+            tag = "form"
+            if r.random() < 0.6:
+                return f'<form action="/{self.word()}">{body}</form>'
         if r.random() < 0.2:
-            body = f"<main>{body}</main>"
-        if r.random() < 0.1:  # a bare page
-            out.append((r.choice(("", "<html><body>")) + body, main))
-            continue
-        top = [junk[k]() for k in ("nav", "header", "ad", "notice", "form", "side") if r.random() < (0.8 if k == "nav" else 0.4)]
-        end = [junk[k]() for k in ("side", "ad", "share", "comments", "form", "nav", "footer", "notice") if r.random() < (0.9 if k == "footer" else 0.35)]
-        name = f"<title>{say(2, 8)}</title>" if r.random() < 0.8 else ""
-        out.append((f"<!DOCTYPE html><html><head>{name}<style>p{{margin:0}}</style><script>x('</p>')</script></head><body>{''.join(top)}{body}{''.join(end)}</body></html>", main))
-    return out
+            body = f"<div>{body}</div>"
+        return f'<{tag} {r.choice(("class", "class", "id"))}="{name}">{body}</{tag}>'
+
+    def part(self) -> str:
+        """A part of an article."""
+        r, x = self.r, self.r.random()
+        if x < 0.66:
+            text = self.keep(self.sentence(1, 2) if r.random() < 0.2 else self.sentence(3, 90 if r.random() < 0.85 else 400))
+            return f"<p>{text}" + ("</p>" if r.random() < 0.85 else "")
+        if x < 0.76:
+            level = r.randint(2, 4)
+            return f"<h{level}>{self.keep(self.say(2, 8))}</h{level}>"
+        if x < 0.82:
+            return "<ul>" + "".join(f"<li>{self.keep(self.sentence(2, 14))}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
+        if x < 0.86:
+            return f"<blockquote>{self.keep(self.sentence())}</blockquote>"
+        if x < 0.89:
+            return f"<p><b>{self.keep(self.sentence(1, 30))}<br>"
+        if x < 0.92:
+            return f"<table><tr><td>{self.keep(self.say(1, 5))}</td><td>{self.keep(self.say(1, 5))}</td></tr></table>"
+        if x < 0.94:
+            return f'<figure><img src="x.png"><figcaption>{self.keep(self.sentence(3, 15))}</figcaption></figure>'
+        return f"<div>{self.keep(self.sentence(3, 60))}</div>"
+
+    def page(self) -> tuple[str, list[str]]:
+        """(html, texts of the article's blocks in order)."""
+        r, self.main = self.r, []
+        if r.random() < 0.03:  # text alone
+            return self.keep(self.sentence(2, 60)), self.main
+        body = ""
+        if r.random() < 0.75:
+            level = 1 if r.random() < 0.88 else 2
+            body = f"<h{level}>{self.keep(self.say(2, 10))}</h{level}>"
+        boxes = r.choice((0.0, 0.15, 0.4))
+        for _ in range(r.randint(1, 12)):
+            if r.random() < boxes:
+                body += self.box(r.choice(tuple(self.NAMES)))
+            body += self.part()
+        container = r.choice(self.CONTAINERS)
+        if container:
+            body = f"<{container}>{body}</{container.split()[0]}>"
+            if r.random() < 0.2:
+                body = f"<main>{body}</main>"
+        if r.random() < 0.15:  # a bare page
+            return r.choice(("", "<html><body>")) + body, self.main
+        top = [self.box(k) for k in ("nav", "header", "ad", "notice", "form", "side") if r.random() < (0.8 if k == "nav" else 0.4)]
+        end = [self.box(k) for k in ("related", "side", "ad", "share", "comments", "form", "nav", "footer", "notice") if r.random() < (0.9 if k == "footer" else 0.35)]
+        name = f"<title>{self.say(2, 8)}</title>" if r.random() < 0.8 else ""
+        head = f"{name}<style>p{{margin:0}}</style><script>x('</p>')</script>"
+        return f"<!DOCTYPE html><html><head>{head}</head><body>{''.join(top)}{body}{''.join(end)}</body></html>", self.main
+
+
+def labelled_pages(n: int = 1500, seed: int = 9) -> list[tuple[str, list[str]]]:
+    """(html, texts of the article's blocks in order) of pages laid out from a seed."""
+    made = Layouts(seed)
+    return [made.page() for _ in range(n)]
 
 
 def labels(found, main: list[str]) -> list[int]:

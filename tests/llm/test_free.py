@@ -188,7 +188,7 @@ def test_html(spark, sf_dir):
         assert sum(y) == len(main)
         v = f.viterbi(f.emissions(htmltext.features(b)))
         ok, n = ok + sum(x == z for x, z in zip(y, v)), n + len(y)
-    assert ok > 0.985 * n
+    assert ok > 0.995 * n
     e = f.emissions(htmltext.features(htmltext.blocks(htmltext.labelled_pages(1, seed=5)[0][0])))[:9]
     path = lambda y: f.s[y[0]] + sum(e[i, y[i]] for i in range(len(y))) + sum(f.t[a, b] for a, b in zip(y, y[1:]))
     every = [[k >> i & 1 for i in range(len(e))] for k in range(1 << len(e))]
@@ -202,6 +202,52 @@ def test_html(spark, sf_dir):
         assert r.text == " ".join(html.unescape(re.sub("<[^>]*>", " ", inside)).split()) and r.n_chars == len(r.text)
 
 
+# Layouts written apart from those that the field is trained on: a box of each kind between an article's paragraphs.
+TOWN = "The harbour town woke slowly as fishing boats returned with the morning catch while gulls circled above market stalls and merchants argued over prices of salt rope and fresh bread near an old stone bridge".split()
+INSETS = {
+    "ad": [f'<div class="{c}">{{}}</div>' for c in ("ad", "ads", "advert", "sponsored", "promo", "advertisement", "ad-container", "banner-ad")],
+    "newsletter": [f'<div class="{c}"><p>{{}}</p></div>' for c in ("newsletter", "newsletter-signup", "subscribe-box", "signup")] + ['<form class="newsletter"><p>{}</p><input type="email"><button>Go</button></form>'],
+    "related": [f'<div class="{c}"><p>{{}}</p></div>' for c in ("related", "related-articles", "related-links", "recommended")] + ['<aside class="related"><h3>Related</h3><ul><li><a href="/x">{}</a></li></ul></aside>'],
+    "notice": [f'<div class="{c}">{{}}</div>' for c in ("notice", "cookie-banner", "cookie-notice", "alert", "consent")] + ['<div id="cookie-banner"><p>{}</p></div>'],
+    "comments": [f'<div class="{c}"><p>{{}}</p></div>' for c in ("comments", "comment-list", "reader-comments")] + ['<section id="comments"><h2>Comments</h2><p>{}</p></section>', '<ul class="comments"><li>{}</li></ul>'],
+    "form": ["<form><label>{}</label><input></form>", '<form action="/go"><p>{}</p><button>Send</button></form>'],
+    "menu": ['<nav><a href="/a">{}</a></nav>', '<ul class="menu"><li><a href="/a">{}</a></li></ul>'],
+    "share": ['<div class="share"><a href="#">{}</a></div>'],
+    "sidebar": ["<aside><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>'],
+    "footer": ["<footer><p>{}</p></footer>", '<div class="footer">{}</div>'],
+}
+HOLDERS = ["<article>{}</article>", '<div class="content">{}</div>', "<main>{}</main>", '<div id="article">{}</div>', '<div class="post-body">{}</div>', "{}"]
+SHELLS = [
+    "<html><head><title>T</title></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>{}<footer><p>Copyright 2024 Acme</p></footer></body></html>",
+    "<body>{}</body>",
+    "<html><body><header><h1>Site</h1></header>{}</body></html>",
+]
+
+
+@pytest.mark.parametrize("kind", INSETS)
+def test_html_boxes_inside_articles_go(kind):
+    r, f, leaks, lost, of = random.Random(kind), htmltext.field(), 0, 0, 0
+    say = lambda: " ".join(r.choice(TOWN) for _ in range(r.randint(8, 40))).capitalize() + "."
+    for _ in range(150):
+        parts, junk = [say() for _ in range(r.randint(2, 8))], say()
+        body = [f"<p>{x}</p>" for x in parts]
+        body.insert(r.randint(1, len(body) - 1), r.choice(INSETS[kind]).format(junk))
+        out = htmltext.main_text(r.choice(SHELLS).format(r.choice(HOLDERS).format("\n".join(body))), f)
+        leaks, lost, of = leaks + (junk in out), lost + sum(x not in out for x in parts), of + len(parts)
+    assert leaks <= 0.02 * 150 and lost <= 0.01 * of
+
+
+@pytest.mark.parametrize("page", ["<p>One plain paragraph.</p>", "no tags at all", "<html><body><p>Hello world, it is me.</p></body></html>", "<div>Some text in a div.</div>", "<body>Text in a body.</body>", "<h1>Head.</h1><p>Body.</p>"])
+def test_html_pages_without_boxes_stay(page):
+    assert htmltext.main_text(page, htmltext.field()) == " ".join(re.sub("<[^>]*>", " ", page).split())
+
+
+def test_html_empty_table_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>Kept as it is.</p>", "x", 2)], "page_id long, url string, html string, text string, n_chars int")
+    assert htmltext.extracted(rows).collect()[0].text == "Kept as it is."
+    assert htmltext.extracted(rows.where("false")).count() == 0 and htmltext.extracted(rows.withColumn("page_id", rows.page_id.cast("string"))).count() == 1
+
+
 def test_html_edges(spark):
     odd = [(1, "u", None), (2, None, ""), (None, "u", "<p"), (4, "u", "<article><p>A &amp; <b>b</b>c\n d<p>Second one here.</p></article><script>if (a<b) x('</p>')</script><footer>&copy; x</footer>"), (4, "u", "no tags at all"), (5, "u", "<div>" * 20_000), (6, "u", '<a href="x>' + "y" * 1000)]
     got = htmltext.extracted(spark.createDataFrame(odd, "page_id long, url string, html string")).collect()
