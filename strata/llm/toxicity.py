@@ -1,18 +1,20 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
 A text is lower-cased and split into words at white space and punctuation. A word's input is the embedding of its
-hash beside the element-wise maximum of the embeddings of its character 5-grams (with the space before it). Windows of
-48 words, 32 apart, cover every text to its end; two gated recurrent chains read each window in both directions,
-attention pools their states and inputs, and a logistic unit scores the window. A document's score is the calibrated
-score of its highest window.
+hash beside the element-wise maxima of the embeddings of its character grams of two sizes (with the space before it).
+Windows of 96 words, 64 apart, cover every text to its end; two gated recurrent chains read each window in both
+directions, attention over the words and one empty step pools their states and inputs, and a logistic unit scores the
+window. A document's score is the calibrated score of its highest window.
 
 Training runs on the driver on at most `toxic` + `clean` labelled documents (defaults 1,500 and 2,500, those of the
-smallest id hash), whole texts of any length, held-out ids left out; its memory grows with the sample's characters.
-The first component of both embeddings starts from smoothed log odds. Labels are of documents, so training goes in two rounds: a toxic document
-is represented by its highest window, by log odds, then by the network; a clean one by its highest and another.
+smallest id hash; one row an id, the least text), whole texts of any length, held-out ids left out; its memory grows
+with the sample's characters. The first component of the embeddings is smoothed log odds; while the network is fitted and
+calibrated, those of a text come from the other folds' labels alone. Labels are of documents, so training goes in two rounds:
+a toxic document is represented by its highest window, by log odds, then by the network; a clean one by its highest and another.
 
 Nulls and edges: a null or wordless text is one empty window and gets a score like any other; labels that are null or
-not 0 or 1, or of a null id, don't count; without labels every score is 0.
+not 0 or 1, or of a null id, don't count; without labels of both kinds all scores are alike, below 1e-17 or, if all are
+toxic, near 1; repeated rows give repeated results; a doc_id of any type is hashed as text.
 """
 
 from __future__ import annotations
@@ -24,12 +26,23 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import picked, slices
 
-WINDOW, STRIDE, GRAM = 48, 32, 5
-WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 17, 6, 4, 8
-INPUT = WORD_DIM + GRAM_DIM
+WINDOW, STRIDE = 96, 64
+#: Sizes of character grams in bytes, the space before a word included.
+GRAMS = (6, 9)
+WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN = 16, 18, 4, 4, 8
+#: Where the components of the word's and each gram size's embeddings lie in a word's input.
+PARTS = [slice(0, WORD_DIM), *(slice(WORD_DIM + i * GRAM_DIM, WORD_DIM + (i + 1) * GRAM_DIM) for i in range(len(GRAMS)))]
+INPUT = PARTS[-1].stop
+FIRST = [p.start for p in PARTS]
 TOXIC, CLEAN = 1_500, 2_500
 #: Documents' worth of evidence that log odds are shrunk by: copies of one document shouldn't make its words telling.
-SHRINK = 12
+SHRINK = 5
+#: Documents in which a word or gram must occur to be learned; rarer ones stay at zero, as unknown ones are.
+LEAST = 5
+#: Folds of the labelled texts; step of the embeddings against that of the other parameters.
+FOLDS, EMBED = 5, 0.5
+#: Log odds are cut to this range; a window's first estimate is the sum of its MOST highest.
+ODDS, MOST = (-1, 7), 4
 #: Bytes of text handled at once.
 CHUNK = 1 << 19
 _MARKS = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
@@ -42,39 +55,46 @@ def mixed(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: their hashes, the hashes of their 5-grams, and where each text's words lie."""
+    """The words of some texts: their hashes, those of their grams, and where each text's words lie.
+
+    `grams` has a pair for each gram size: the hashes of all words' grams, and where each word's begin. A word too short
+    for a gram of a size has the gram 0, which stands for nothing.
+    """
 
     def __init__(self, texts: list[str | None]):
         parts = [(t or "").lower().encode("utf-8", "surrogatepass").translate(_MARKS) for t in texts]
-        raw = np.frombuffer(b" " + b" ".join(parts) + b" " * GRAM, dtype=np.uint8)
+        raw = np.frombuffer(b" " + b" ".join(parts) + b" " * max(GRAMS), dtype=np.uint8)
         solid = raw != 0x20
         starts = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
-        ends = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
+        lengths = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1 - starts
         at = np.cumsum([0] + [len(p) + 1 for p in parts])
         self.first = np.searchsorted(starts, at + 1)  # first word of each text, and the end
-        b, lengths = raw.astype(np.uint32), ends - starts
-        if len(starts):
-            place = np.arange(len(raw)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(raw)]))))
-            h = np.where(solid, (b + np.uint32(1)) * _POWERS[place & 63], np.uint32(0))
-            self.word = mixed(np.add.reduceat(h, starts, dtype=np.uint32), 15)
-            g = np.zeros(len(raw) - GRAM, dtype=np.uint32)
-            for i in range(GRAM):
-                g = g * np.uint32(0x01000193) + b[i : len(raw) - GRAM + i]
-            # Grams start at the space before a word; a shorter word has the one gram that begins there.
-            count = np.maximum(1, lengths + 2 - GRAM)
-            self.gram_first = np.concatenate(([0], np.cumsum(count)))
-            spots = np.repeat(starts - 1, count) + (np.arange(self.gram_first[-1]) - np.repeat(self.gram_first[:-1], count))
-            self.gram = mixed(g[spots], 17)
-        else:
-            self.word, self.gram, self.gram_first = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        b = raw.astype(np.uint32)
+        self.word, self.grams = np.zeros(0, np.int32), [(np.zeros(0, np.int32), np.zeros(1, np.int64)) for _ in GRAMS]
+        if not len(starts):
+            return
+        place = np.arange(len(raw)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(raw)]))))
+        h = np.where(solid, (b + np.uint32(1)) * _POWERS[place & 63], np.uint32(0))
+        self.word = mixed(np.add.reduceat(h, starts, dtype=np.uint32), WORD_BITS)
+        self.grams = [self._grams(b, starts, lengths, size) for size in GRAMS]
+
+    @staticmethod
+    def _grams(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        g = np.zeros(len(b) - size, dtype=np.uint32)
+        for i in range(size):
+            g = g * np.uint32(0x01000193) + b[i : len(b) - size + i]
+        count = np.maximum(1, lengths + 2 - size)
+        first = np.concatenate(([0], np.cumsum(count)))
+        spots = np.repeat(starts - 1, count) + (np.arange(first[-1]) - np.repeat(first[:-1], count))
+        return np.where(np.repeat(lengths + 1 < size, count), 0, np.maximum(1, mixed(g[spots], GRAM_BITS))), first
 
     @classmethod
     def of(cls, texts: list[str]) -> Words:
         """The same for many texts, read in runs of about CHUNK characters: building takes many times a run's size."""
         parts = [cls(texts[i:j]) for i, j in runs(texts)] or [cls([])]
-        out, shift = cls([]), lambda key: np.concatenate([[0], *(getattr(p, key)[1:] + at for p, at in zip(parts, np.cumsum([0] + [getattr(p, key)[-1] for p in parts])))]).astype(np.int64)
-        out.first, out.gram_first = shift("first"), shift("gram_first")
-        out.word, out.gram = np.concatenate([p.word for p in parts]), np.concatenate([p.gram for p in parts])
+        out = cls([])
+        out.word, out.first = np.concatenate([p.word for p in parts]), joined([p.first for p in parts])
+        out.grams = [(np.concatenate([p.grams[k][0] for p in parts]), joined([p.grams[k][1] for p in parts])) for k in range(len(GRAMS))]
         return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +119,12 @@ def runs(texts: list[str | None]):
         i = j
 
 
+def joined(firsts: list[np.ndarray]) -> np.ndarray:
+    """Places in consecutive parts, each from 0 to its size, as places in the whole."""
+    at = np.cumsum([0, *(f[-1] for f in firsts)])
+    return np.concatenate([[0], *(f[1:] + a for f, a in zip(firsts, at))]).astype(np.int64)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -109,21 +135,23 @@ class Network:
     def __init__(self, seed: int = 3):
         r = np.random.default_rng(seed)
         n = lambda s, *shape: r.normal(0, s, shape).astype(np.float32)
-        self.word, self.gram = n(0.05, WORD_ROWS, WORD_DIM), n(0.05, GRAM_ROWS, GRAM_DIM)
-        self.p = {"a": n(0.3, 2 * HIDDEN, HIDDEN), "ab": np.zeros(HIDDEN, np.float32), "v": n(0.3, HIDDEN), "vx": np.zeros(INPUT, np.float32), "o": n(0.3, 2 * HIDDEN + INPUT), "c": np.zeros(1, np.float32)}
+        #: Embeddings of words, then of grams of each size.
+        self.tables = [n(0.05, 1 << WORD_BITS, WORD_DIM), *(n(0.05, 1 << GRAM_BITS, GRAM_DIM) for _ in GRAMS)]
+        self.p = {"a": n(0.3, 2 * HIDDEN, HIDDEN), "ab": np.zeros(HIDDEN, np.float32), "v": n(0.3, HIDDEN), "vx": np.zeros(INPUT, np.float32), "e0": np.full(1, np.log(2 * WINDOW), np.float32), "o": n(0.3, 2 * HIDDEN + INPUT), "c": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": n(0.3, INPUT, 3 * HIDDEN), f"u{d}": n(0.3, HIDDEN, 3 * HIDDEN), f"i{d}": np.zeros(3 * HIDDEN, np.float32)}
-        self.p["vx"][[0, WORD_DIM]] = 0.5
-        self.p["o"][[2 * HIDDEN, 2 * HIDDEN + WORD_DIM]] = 0.5
+        self.p["vx"][FIRST] = 0.5
+        self.p["o"][[2 * HIDDEN + i for i in FIRST]] = 0.5
         self.scale = (1.0, 0.0)
 
     def inputs(self, words: Words) -> np.ndarray:
         """One row a word, and a row of zeros at the end."""
         x = np.zeros((len(words.word) + 1, INPUT), np.float32)
         if len(words.word):
-            x[:-1, :WORD_DIM] = self.word[words.word]
-            for d in range(GRAM_DIM):
-                x[:-1, WORD_DIM + d] = np.maximum.reduceat(self.gram[words.gram, d], words.gram_first[:-1])
+            x[:-1, PARTS[0]] = self.tables[0][words.word]
+            for table, part, (ids, first) in zip(self.tables[1:], PARTS[1:], words.grams):
+                for d in range(GRAM_DIM):
+                    x[:-1, part.start + d] = np.maximum.reduceat(table[ids, d], first[:-1])
         return x
 
     def chain(self, x, mask, d: str, keep: bool):
@@ -149,9 +177,11 @@ class Network:
         b, kb = self.chain(x, mask, "b", keep)
         s = np.concatenate([f, b], axis=2)
         q = np.tanh(s @ self.p["a"] + self.p["ab"])
+        # Beside the words stands an empty step that attention may rest on: so its mass on telling words counts them.
         e = q @ self.p["v"] + x @ self.p["vx"] + (mask - 1) * 1e4
-        e = np.exp(e - e.max(axis=1, keepdims=True))
-        al = e / e.sum(axis=1, keepdims=True)
+        top = np.maximum(e.max(axis=1, keepdims=True), self.p["e0"])
+        e = np.exp(e - top)
+        al = e / (e.sum(axis=1, keepdims=True) + np.exp(self.p["e0"] - top))
         sx = np.concatenate([s, x], axis=2)
         pool = np.einsum("nt,ntd->nd", al, sx)
         return pool @ self.p["o"] + self.p["c"][0], (kf, kb, s, q, al, sx, pool)
@@ -165,7 +195,9 @@ class Network:
         dpool = d[:, None] * p["o"]
         dal = np.einsum("nd,ntd->nt", dpool, sx)
         dsx = al[:, :, None] * dpool[:, None, :]
-        de = al * (dal - (al * dal).sum(axis=1, keepdims=True))
+        mean = (al * dal).sum(axis=1, keepdims=True)
+        de = al * (dal - mean)
+        g["e0"] = np.array([((al.sum(axis=1, keepdims=True) - 1) * mean).sum()], np.float32)
         g["v"], g["vx"] = np.einsum("nt,nth->h", de, q), np.einsum("nt,ntd->d", de, x)
         dq = de[:, :, None] * p["v"] * (1 - q * q)
         g["a"], g["ab"] = np.einsum("nts,nth->sh", s, dq), dq.sum(axis=(0, 1))
@@ -187,10 +219,12 @@ class Network:
             dx += dgates @ p[f"w{k}"].T
         return g, dx * mask[:, :, None]
 
-    def scores(self, words: Words, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """(text, logit) of every window."""
+    def scores(self, words: Words, odds: np.ndarray | None = None, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """(text, logit) of every window; with other log odds for the words if they are given."""
         text, start, n = words.windows()
         x = self.inputs(words)
+        if odds is not None:
+            x[:, FIRST] = odds
         out = np.zeros(len(text), np.float32)
         steps = np.arange(WINDOW)
         for i in range(0, len(text), most):
@@ -206,27 +240,44 @@ def best_window(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return order[np.searchsorted(text[order], np.arange(n))]
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 4, batch: int = 64, rate: float = 0.01) -> Network:
-    """The network fitted to labelled texts, as the module says."""
-    net, words, r = Network(seed), Words.of(texts), np.random.default_rng(seed)
-    if not len(y) or y.min() == y.max():
-        net.scale = (0.0, -40.0 if not len(y) or y.max() == 0 else 40.0)
-        return net
+def log_odds(net: Network, words: Words, y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Set the first component of the embeddings to smoothed log odds of the labels.
+
+    Returns which rows of each table are known, and for each word (and a row of zeros) the log odds that the other folds' texts
+    give it: a text's own label must not stand in its input.
+    """
     of = np.repeat(np.arange(len(y)), np.diff(words.first))
-    gram_of = np.repeat(of, np.diff(words.gram_first))
-    for table, ids, docs, rows in ((net.word, words.word, of, WORD_ROWS), (net.gram, words.gram, gram_of, GRAM_ROWS)):
-        pairs = np.unique(docs * rows + ids.astype(np.int64))
-        count = [np.bincount(pairs[y[pairs // rows] == c] % rows, minlength=rows) for c in (0, 1)]
-        odds = np.log((count[1] + 0.1) / (y.sum() + 1)) - np.log((count[0] + 0.5) / ((1 - y).sum() + 1))
-        seen = count[0] + count[1]
-        table[:, 0] = np.where(seen > 2, np.clip(odds, -1, 4) * seen / (seen + SHRINK), 0)
+    fold, known, out = np.arange(len(y)) % FOLDS, [], np.zeros((len(of) + 1, len(net.tables)), np.float32)
+    for i, table in enumerate(net.tables):
+        ids, first = (words.word, np.arange(len(of) + 1)) if i == 0 else words.grams[i - 1]
+        rows, owner = len(table), np.repeat(of, np.diff(first))
+        pairs = np.unique(owner * rows + ids.astype(np.int64))
+        text, row = pairs // rows, pairs % rows
+        count = np.bincount((y[text] * FOLDS + fold[text]) * rows + row, minlength=2 * FOLDS * rows).reshape(2, FOLDS, rows)
+        known.append((count.sum(axis=(0, 1)) >= LEAST) & ((np.arange(rows) > 0) | (i == 0)))
+
+        def odds(seen: np.ndarray, texts: np.ndarray, known: np.ndarray = known[-1]) -> np.ndarray:
+            raw = np.log((seen[1] + 0.1) / (texts[1] + 1)) - np.log((seen[0] + 0.5) / (texts[0] + 1))
+            return np.where(known, np.clip(raw, *ODDS) * seen.sum(axis=0) / (seen.sum(axis=0) + SHRINK), 0)
+
+        texts = np.bincount(y * FOLDS + fold, minlength=2 * FOLDS).reshape(2, FOLDS)
+        table[~known[-1]] = 0
+        table[:, 0] = odds(count.sum(axis=1), texts.sum(axis=1))
+        others = np.stack([odds(count.sum(axis=1) - count[:, k], texts.sum(axis=1) - texts[:, k]) for k in range(FOLDS)])
+        if len(of):
+            out[:-1, i] = np.maximum.reduceat(others[fold[owner], ids], first[:-1])
+    return known, out
+
+
+def fitted(words: Words, y: np.ndarray, seed: int, epochs: int, batch: int, rate: float) -> Network:
+    """The network fitted to the words of labelled texts, and calibrated."""
+    net, r = Network(seed), np.random.default_rng(seed)
+    known, odds = log_odds(net, words, y)
     text, start, n = words.windows()
     steps = np.arange(WINDOW)
-    x = net.inputs(words)
-    odds = np.append(np.maximum(x[:-1, 0], x[:-1, WORD_DIM]), 0)
     inside = steps < n[:, None]
     spots = np.where(inside, start[:, None] + steps, len(words.word))
-    high = np.sort(np.where(inside, odds[spots], 0), axis=1)[:, -3:].sum(axis=1)
+    high = np.sort(np.where(inside, odds.max(axis=1)[spots], 0), axis=1)[:, -MOST:].sum(axis=1)
     m, v, t = {}, {}, 0
     for round_ in range(2):
         top = best_window(high, text, len(y))
@@ -241,39 +292,50 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 4, batch
                 # Only the words of the batch are embedded anew.
                 used, where = np.unique(at, return_inverse=True)
                 used = used[used < len(words.word)]
-                rows, grams, argmax = embed(net, words, used)
-                xb = np.vstack([rows, np.zeros((1, INPUT), np.float32)])[np.minimum(where.reshape(at.shape), len(used))]
-                g, dx = net.gradients(xb, mask, label[b], weight[b])
+                where = np.minimum(where.reshape(at.shape), len(used))
+                x, sources = embed(net, words, used)
+                x[:, FIRST] = odds[used]
+                g, dx = net.gradients(np.vstack([x, np.zeros((1, INPUT), np.float32)])[where], mask, label[b], weight[b])
                 for k in g:
                     m[k], v[k] = 0.9 * m.get(k, 0) + 0.1 * g[k], 0.99 * v.get(k, 0) + 0.01 * g[k] ** 2
                     net.p[k] = (net.p[k] - rate / (1 + round_) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
                 back = np.zeros((len(used) + 1, INPUT), np.float32)
-                np.add.at(back, np.minimum(where.reshape(-1), len(used)), dx.reshape(-1, INPUT))
-                np.add.at(net.word, words.word[used], -2.0 * rate * back[:-1, :WORD_DIM])
-                for d in range(GRAM_DIM):
-                    np.add.at(net.gram[:, d], grams[argmax[:, d]], -2.0 * rate * back[:-1, WORD_DIM + d])
-        text, high = net.scores(words)
+                np.add.at(back, where.reshape(-1), dx.reshape(-1, INPUT))
+                for table, ok, part, ids in zip(net.tables, known, PARTS, sources):
+                    for d in range(1, table.shape[1]):
+                        np.add.at(table[:, d], ids[:, d], -EMBED * rate * back[:-1, part.start + d] * ok[ids[:, d]])
+        text, high = net.scores(words, odds)
     net.scale = platt(high[best_window(high, text, len(y))].astype(float), y)
     return net
 
 
-def embed(net: Network, words: Words, used: np.ndarray):
-    """Inputs of some words, their grams, and which gram was the maximum in each dimension."""
-    count = words.gram_first[used + 1] - words.gram_first[used]
-    first = np.concatenate(([0], np.cumsum(count)))
-    at = np.repeat(words.gram_first[used], count) + np.arange(first[-1]) - np.repeat(first[:-1], count)
-    grams = words.gram[at]
-    x, argmax = np.zeros((len(used), INPUT), np.float32), np.zeros((len(used), GRAM_DIM), np.int64)
-    if not len(used):
-        return x, grams, argmax
-    x[:, :WORD_DIM] = net.word[words.word[used]]
-    owner = np.repeat(np.arange(len(used)), count)
-    for d in range(GRAM_DIM):
-        val = net.gram[grams, d]
-        x[:, WORD_DIM + d] = top = np.maximum.reduceat(val, first[:-1])
-        hit = np.flatnonzero(val == top[owner])
-        argmax[owner[hit][::-1], d] = hit[::-1]
-    return x, grams, argmax
+def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 8, batch: int = 256, rate: float = 0.02) -> Network:
+    """The network fitted to labelled texts, as the module says."""
+    if not len(y) or y.min() == y.max():
+        net = Network(seed)
+        net.scale = (0.0, -40.0 if not len(y) or y.max() == 0 else 40.0)
+        return net
+    return fitted(Words.of(texts), y, seed, epochs, batch, rate)
+
+
+def embed(net: Network, words: Words, used: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Inputs of some words, and for each table the row that each component came from."""
+    x, sources = np.zeros((len(used), INPUT), np.float32), [np.repeat(words.word[used][:, None], WORD_DIM, axis=1)]
+    x[:, PARTS[0]] = net.tables[0][words.word[used]]
+    for table, part, (ids, first) in zip(net.tables[1:], PARTS[1:], words.grams):
+        source = np.zeros((len(used), GRAM_DIM), np.int64)
+        if len(used):
+            count = first[used + 1] - first[used]
+            begin = np.cumsum(count) - count
+            grams = ids[np.repeat(first[used] - begin, count) + np.arange(count.sum())]
+            owner = np.repeat(np.arange(len(used)), count)
+            for d in range(GRAM_DIM):
+                val = table[grams, d]
+                x[:, part.start + d] = best = np.maximum.reduceat(val, begin)
+                hit = np.flatnonzero(val == best[owner])
+                source[owner[hit][::-1], d] = grams[hit][::-1]  # the first of equals
+        sources.append(source)
+    return x, sources
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -312,7 +374,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
     ids = [known.where(f"toxic = {c}").orderBy("order", "doc_id").limit(n) for c, n in ((1, toxic), (0, clean))]
     sample = ids[0].unionByName(ids[1])  # at most toxic + clean rows: broadcast, so that texts stay where they are
     whole = picked(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
-    rows = sorted(whole.select("order", "doc_id", "text", "toxic").collect())
+    one = whole.groupBy("order", "doc_id", "toxic").agg(F.min("text").alias("text"))  # repeated ids don't swell the sample
+    rows = sorted(one.select("order", "doc_id", "text", "toxic").collect())
     return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64))
 
 
@@ -320,7 +383,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int
     """(doc_id, held_out, score, predicted) for each document."""
     rows = picked(docs, "doc_id", "text")
     net = fit(docs, labels, toxic, clean)
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # parameters of fixed size, 3 MB
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # parameters of fixed size, 9 MB
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -162,6 +162,43 @@ def test_toxicity_learns(spark, hard, none, labels):
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(hard, labels.where("false")).where("predicted = 0").count() == hard.count()
 
 
+def test_toxicity_on_held_out_labels():
+    """The labels of the tables: recall and precision on held-out ids."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    read = lambda n: pq.read_table(f"/root/testdata/sf0.1/{n}.parquet").to_pylist()
+    mark = {r["doc_id"]: r["toxic"] for r in read("labels") if r["toxic"] in (0, 1)}
+    rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["text"], mark[r["doc_id"]]) for r in read("documents") if r["doc_id"] in mark and r["text"] is not None)
+    fit, held = ([r for r in rows if (r[0] % 5 == 0) == out] for out in (False, True))
+    net, y = toxicity.train([r[1] for r in fit], np.array([r[2] for r in fit])), np.array([r[2] for r in held])
+
+    hit = np.array(toxicity.document_scores([r[1] for r in held], net)) >= 0.5
+    assert hit[y == 1].mean() > 0.87 and y[hit].mean() > 0.9
+
+
+def test_toxicity_reads_the_order_of_words():
+    """Two words in either order: the recurrent states tell it, words alone can't."""
+    r, plain, rows = random.Random(2), ("th", "er", "on", "an", "re", "en", "st", "ou"), []
+    for i in range(1600):
+        words = ["".join(r.choice(plain) for _ in range(r.randint(1, 2))) for _ in range(r.randint(8, 20))]
+        k = r.randrange(len(words))
+        words[k:k] = ["grumbo", "snarfix"] if i % 2 else ["snarfix", "grumbo"]
+        rows.append(" ".join(words))
+    y = np.arange(1600) % 2
+    net = toxicity.train(rows[:1200], y[:1200], epochs=20)
+    right = lambda: np.mean((np.array(toxicity.document_scores(rows[1200:], net)) >= 0.5) == (y[1200:] == 1))
+    assert right() > 0.95
+    net.p["o"][: 2 * toxicity.HIDDEN], net.p["a"][:] = 0, 0
+    assert right() < 0.7
+
+
+def test_toxicity_repeated_ids_are_one_row(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(texts))
+    docs = spark.createDataFrame([(str(i % 7), f"text {i}") for i in range(70)], "doc_id string, text string")
+    toxicity.fit(docs, spark.createDataFrame([(str(i), i % 2) for i in range(7)], "doc_id string, toxic int"))
+    assert len(seen[0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(7))
+
+
 def test_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(hamming, "ENTRIES", 150)
     monkeypatch.setattr(hamming, "QUERIES", 7)
