@@ -1,15 +1,18 @@
-"""Secret scans: fixed patterns, and a character convolutional network over every other candidate and its context.
-
-Candidates are runs of 16 or more token characters with a letter and a digit. The network (embedding, one convolution,
-max pooling, a dense layer; numpy) reads each candidate with the text before and after it; long candidates are read
-whole, in overlapping windows, the greatest score counting. It is trained on the driver on labelled findings made from
-a seed, all windows of each: keys of known shapes and assigned values against identifiers, paths, versions, numbers,
-words, addresses. The greatest scores of a held-out third are calibrated by Platt scaling, and the threshold is the
-highest that keeps the required recall there. A candidate that base spans cover is not scored; one that reaches beyond
-them is scored and reported whole, but it ends where an assignment (password=...) begins. Runs of under 16 characters,
-of letters only or without a letter are not scored.
-
-Nulls and edges: a null text is empty; spans are code points, end exclusive; repeated rows give repeated results.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate and its context.
+
+Candidates are the spans of the fixed patterns and all other runs of 16 or more of [A-Za-z0-9+/_=-] with a letter and
+either a digit or a capital after a small letter; runs joined by dots are candidates each by itself. The network
+(embedding, one convolution, max pooling, a dense layer; numpy) reads each candidate with the text before and after it; long
+candidates are read whole, in overlapping windows, the greatest score counting. It is trained on the driver on labelled
+findings made from a seed, all windows of each: strings of all usual alphabets behind made-up prefixes and assigned values
+against identifiers, paths, versions, numbers, words, addresses, placeholders. The greatest scores of findings of other
+shapes, keys as well-known services issue them, are calibrated by Platt scaling, and the threshold is the highest that
+keeps the required recall there. A run that reaches beyond the base spans it touches is reported whole, but ends
+where an assignment (password=...) begins; base spans stay whatever their score is, which `scores` tells. Not scored
+are runs of under 16 characters, and those of digits or of small letters alone, that no pattern matches.
+
+Nulls and edges: a null text is empty; an empty one has no spans; texts of any length are read whole; spans are code points,
+end exclusive; repeated rows give repeated results; a doc_id of any type is passed through.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ NAMES = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 BEFORE, BODY, AFTER = 24, 48, 8
 WIDTH = BEFORE + BODY + AFTER
-RECALL = 0.98
+RECALL = 0.99
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -52,8 +55,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text) if mixed(m[0])]
 
 
+DIGIT, LETTER, CAMEL = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("[a-z][A-Z]")
+
+
 def mixed(run: str) -> bool:
-    return not run.isalpha() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+    return bool(DIGIT.search(run) and LETTER.search(run) or CAMEL.search(run))
 
 
 def open_candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -91,39 +97,46 @@ def codes(windows: list[str]) -> np.ndarray:
 
 
 class CharCnn:
-    """Embedding of characters and their zone, a convolution over five of them, max pooling, a dense layer."""
+    """Embedding of characters and their zone, a convolution over six of them, max and mean pooling, a dense layer."""
 
-    SPAN, SIZE, FILTERS = 5, 8, 24
+    SPAN, SIZE, FILTERS = 6, 8, 32
+    STEPS = WIDTH - SPAN + 1
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.p = {"e": r.normal(0, 0.3, (130, self.SIZE)), "z": r.normal(0, 0.3, (WIDTH, self.SIZE)), "w": r.normal(0, 0.2, (self.SPAN * self.SIZE, self.FILTERS)), "b": np.zeros(self.FILTERS), "o": r.normal(0, 0.3, self.FILTERS), "c": np.zeros(1)}
+        shapes = {"e": (130, self.SIZE), "z": (WIDTH, self.SIZE), "w": (self.SPAN * self.SIZE, self.FILTERS), "o": (2 * self.FILTERS,)}
+        self.p = {k: r.normal(0, 0.2 if k == "w" else 0.3, shape).astype(np.float32) for k, shape in shapes.items()}
+        self.p |= {"b": np.zeros(self.FILTERS, np.float32), "c": np.zeros(1, np.float32)}
         self.platt, self.threshold = (1.0, 0.0), 0.5
 
     def forward(self, x: np.ndarray):
+        """(inputs of each step, filters' outputs, place of each filter's maximum, pooled outputs, logit)."""
         p = self.p
         v = p["e"][x] + p["z"]
-        cols = np.concatenate([v[:, i : WIDTH - self.SPAN + 1 + i] for i in range(self.SPAN)], axis=2)
-        h = cols @ p["w"] + p["b"]
+        cols = np.concatenate([v[:, i : self.STEPS + i] for i in range(self.SPAN)], axis=2)
+        h = np.maximum(cols @ p["w"] + p["b"], 0)
         top = h.argmax(axis=1)
-        pooled = np.maximum(np.take_along_axis(h, top[:, None], 1)[:, 0], 0)
-        return cols, top, pooled, pooled @ p["o"] + p["c"][0]
+        pooled = np.concatenate((np.take_along_axis(h, top[:, None], 1)[:, 0], h.mean(axis=1)), axis=1)
+        return cols, h, top, pooled, pooled @ p["o"] + p["c"][0]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        cols, top, pooled, logit = self.forward(x)
-        d = (1 / (1 + np.exp(-logit)) - y) / len(y)
-        dh = d[:, None] * p["o"] * (pooled > 0)
-        rows = np.arange(len(x))[:, None]
-        taken = cols[rows, top]  # rows, filters, inputs
-        g = {"o": pooled.T @ d, "c": np.array([d.sum()]), "b": dh.sum(0), "w": np.einsum("nf,nfk->kf", dh, taken), "e": np.zeros_like(p["e"]), "z": np.zeros_like(p["z"])}
-        dv = (dh[:, :, None] * p["w"].T).reshape(len(x), self.FILTERS, self.SPAN, self.SIZE)
-        spots = top[:, :, None] + np.arange(self.SPAN)
-        np.add.at(g["z"], spots, dv)
-        np.add.at(g["e"], x[rows[:, :, None], spots], dv)
+        p, n = self.p, len(x)
+        cols, h, top, pooled, logit = self.forward(x)
+        d = ((1 / (1 + np.exp(-logit)) - y) / n).astype(np.float32)
+        most, mean = d[:, None] * p["o"][: self.FILTERS], d[:, None] * p["o"][self.FILTERS :]
+        dh = np.repeat(mean[:, None] / self.STEPS, self.STEPS, axis=1)
+        dh[np.arange(n)[:, None], top, np.arange(self.FILTERS)] += most
+        dh *= h > 0
+        flat = dh.reshape(-1, self.FILTERS)
+        g = {"o": pooled.T @ d, "c": np.array([d.sum()]), "b": flat.sum(axis=0), "w": cols.reshape(len(flat), -1).T @ flat}
+        dcols, dv = (flat @ p["w"].T).reshape(n, self.STEPS, -1), np.zeros((n, WIDTH, self.SIZE), np.float32)
+        for i in range(self.SPAN):
+            dv[:, i : self.STEPS + i] += dcols[:, :, i * self.SIZE : (i + 1) * self.SIZE]
+        g["z"], g["e"] = dv.sum(axis=0), np.zeros_like(p["e"])
+        np.add.at(g["e"], x, dv)
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 4e-3, seed: int = 11) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 4e-3, seed: int = 11) -> None:
         """Adam over shuffled batches."""
         r, m, s, t = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         for _ in range(epochs):
@@ -140,7 +153,7 @@ class CharCnn:
         `first` has the first window of each finding (None: a window each); the highest of a finding counts, as in scan().
         """
         first = np.arange(len(x)) if first is None else first
-        z, (a, b) = np.maximum.reduceat(self.forward(x)[3], first), (1.0, 0.0)
+        z, (a, b) = np.maximum.reduceat(self.forward(x)[-1].astype(float), first), (1.0, 0.0)
         for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             w = q * (1 - q) + 1e-9
@@ -153,40 +166,132 @@ class CharCnn:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         a, b = self.platt
-        return 1 / (1 + np.exp(-np.clip(a * self.forward(x)[3] + b, -30, 30)))
-
-
-def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int, int]]:
+        return 1 / (1 + np.exp(-np.clip(a * self.forward(x)[-1].astype(float) + b, -30, 30)))
+
+
+class Findings:
+    """Made-up findings with context. `kinds` picks the secrets: generic shapes to train on, or shapes as services issue
+    them, none of which the generic ones copy."""
+
+    LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    SYLLABLES = ("th", "en", "er", "on", "re", "st", "an", "ou", "le", "ch", "ción", "de", "ing", "ach", "ment", "ia")
+    # Words that identifiers and paths are made of.
+    WORDS = (
+        "get set list item name value type class method file path index page user admin login account order invoice report summary final draft version release build "
+        "test sample example data table column row key map string number count total average first last next previous start end begin stop open close read write "
+        "create update delete insert select query filter group sort search find match replace convert parse format print load save send receive request response "
+        "service server client host port address network module package library project system config setting option default custom global local public private static "
+        "image photo video audio document folder archive backup temp cache log error warning message event handler listener manager factory builder controller model view "
+        "the of and for with from into this that very long new old main home world news city house water green blue black white summer winter history science health"
+    ).split()
+    NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "Password", "SECRET")
+    PLACEHOLDERS = ("changeme", "undefined", "your_token_here", "xxxxxxxx", "example", "placeholder", "os.environ", "REPLACE_ME", "getpass", "<none>")
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def pick(self, chars: str, k: int) -> str:
+        return "".join(self.r.choice(chars) for _ in range(k))
+
+    def word(self, most: int = 5) -> str:
+        return "".join(self.r.choice(self.SYLLABLES) for _ in range(self.r.randint(1, most)))
+
+    def stem(self, k: int) -> str:
+        """A word of ASCII letters, of a language or made up."""
+        if self.r.random() < 0.6:
+            return self.r.choice(self.WORDS)
+        out = "".join(c for c in self.word(6) if c.isascii())
+        return out[:k] if len(out) >= 2 else "data"
+
+    def generic(self) -> str:
+        """A random string of a usual alphabet, often behind a short prefix."""
+        r, mixed = self.r, self.LOWER + self.UPPER + self.DIGITS
+        alphabets = (mixed, mixed, mixed + "+/", mixed + "-_", self.LOWER + self.DIGITS, self.LOWER + "234567", self.UPPER + self.DIGITS, self.UPPER + "234567", self.DIGITS + "ABCDEF")
+        while True:
+            alphabet = r.choice(alphabets)
+            body = self.pick(alphabet, r.choice((r.randint(20, 44), r.randint(18, 64), 32, 40)))
+            if r.random() < 0.1:
+                body += "=" * r.randint(1, 2)
+            if r.random() < 0.15:
+                body = body[: len(body) // 2] + r.choice("-_") + body[len(body) // 2 :]
+            if r.random() < 0.5:
+                prefix = r.choice((self.pick(self.LOWER, r.randint(2, 5)), self.pick(self.UPPER, r.randint(2, 4)), self.stem(6), f"{self.stem(4)}_{self.stem(4)}"))
+                body = prefix + r.choice("_-_-") + body
+            if mixed_enough(body):
+                return body
+
+    def issued(self) -> str:
+        """A key as a well-known service issues it."""
+        mixed = self.LOWER + self.UPPER + self.DIGITS
+        shapes = (
+            lambda: "ghp_" + self.pick(mixed, 36),
+            lambda: "sk_live_" + self.pick(mixed, 24),
+            lambda: self.pick(mixed + "+/", 40),
+            lambda: "xoxb-" + self.pick(self.DIGITS, 11) + "-" + self.pick(mixed, 24),
+            lambda: "eyJ" + self.pick(mixed + "-_", self.r.randint(40, 90)),
+            lambda: "AIza" + self.pick(mixed + "-_", 35),
+            lambda: "npm_" + self.pick(mixed, 36),
+            lambda: self.pick(self.LOWER + "234567", 32),
+            lambda: "SK" + self.pick(self.DIGITS + "abcdef", 32),
+        )
+        return self.r.choice(shapes)()
+
+    def plain(self) -> str:
+        """A string that a scan meets and that is no secret."""
+        r, stem = self.r, self.stem
+        shapes = (
+            lambda: "_".join(stem(8) for _ in range(r.randint(2, 5))) + self.pick(self.DIGITS, r.randint(1, 3)),
+            lambda: "-".join(stem(9) for _ in range(r.randint(3, 6))) + "-" + self.pick(self.DIGITS, r.randint(1, 8)),
+            lambda: "/" + "/".join(stem(8) for _ in range(r.randint(3, 5))) + self.pick(self.DIGITS, 2),
+            lambda: self.pick(self.DIGITS, r.randint(8, 14)) + self.pick(self.LOWER, 1) + "-" + self.pick(self.DIGITS, 6),
+            lambda: "-".join(self.pick(self.DIGITS + "abcdef", k) for k in (8, 4, 4, 4, 12)),
+            lambda: stem(9) + stem(9) + stem(9) + self.pick(self.DIGITS, r.randint(1, 4)),
+            lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-{r.randint(10, 59)}Z",
+            lambda: "=" * r.randint(10, 20) + stem(6) + self.pick(self.DIGITS, 2) + "=" * 8,
+            lambda: self.pick(self.LOWER, 1) * r.randint(14, 30) + self.pick(self.DIGITS, 3),
+            lambda: "".join(stem(7).capitalize() for _ in range(r.randint(3, 6))) + r.choice(("", self.pick(self.DIGITS, r.randint(1, 3)))),
+            lambda: stem(6) + "".join(stem(7).capitalize() for _ in range(r.randint(3, 5))),
+            lambda: r.choice(("IMG", "DSC", "scan", "report", "backup")) + f"_{r.randint(2000, 2030)}{r.randint(10, 12)}{r.randint(10, 28)}_{self.pick(self.DIGITS, 6)}",
+            lambda: stem(7) + "-v" + "-".join(self.pick(self.DIGITS, r.randint(1, 2)) for _ in range(3)) + "-" + r.choice(("linux", "x86_64", "amd64", "beta1")) + "-" + stem(7),
+            # Longer than a window: without them, windows inside a candidate would all be secrets' windows.
+            lambda: "-".join(stem(9) for _ in range(r.randint(9, 12))) + "-" + self.pick(self.DIGITS, 2),
+            lambda: "/srv/" + "/".join(stem(9) for _ in range(r.randint(8, 12))) + self.pick(self.DIGITS, 2),
+            lambda: "_".join(stem(9) + self.pick(self.DIGITS, r.randint(0, 2)) for _ in range(r.randint(8, 12))) + "1",
+        )
+        return r.choice(shapes)()
+
+    def assigned(self, secret: bool) -> str:
+        """An assignment as the fixed pattern finds it, of a value or of a placeholder."""
+        r = self.r
+        value = self.pick(self.LOWER + self.UPPER + self.DIGITS, r.randint(8, 24)) if r.random() < 0.6 else self.stem(8) + self.pick(self.DIGITS, r.randint(1, 4)) + r.choice(("", "-", "_")) + self.stem(6)
+        return r.choice(self.NAMES) + r.choice(("=", ": ", '="', " = ", ":")) + (value if secret else r.choice(self.PLACEHOLDERS))
+
+    def make(self, n: int, kinds: str = "generic") -> list[tuple[str, int, int, int]]:
+        """(text, start, end, label): half of them secrets."""
+        r, out = self.r, []
+        lead = ("key: ", "secret=", 'token "', "Authorization: Bearer ", "export KEY=", "use ", "is ", "")
+        while len(out) < n:
+            y = len(out) % 2
+            if kinds == "generic" and r.random() < 0.12:
+                body, before = self.assigned(bool(y)), ""
+            else:
+                body = getattr(self, kinds)() if y else self.plain()
+                before = r.choice(lead) if y and r.random() < 0.5 or r.random() < 0.1 else ""
+            before = " ".join(self.word() for _ in range(r.randint(0, 6))) + r.choice((" ", " ", "\n", "(", '"')) + before
+            text = before + body + r.choice((" ", ".", '"', ", ", "\n")) + " ".join(self.word() for _ in range(3))
+            if candidates(body) or base_spans(body):
+                out.append((text, len(before), len(before) + len(body), y))
+        return out
+
+
+def mixed_enough(run: str) -> bool:
+    """Whether a run is a candidate at all."""
+    return len(run) >= 16 and mixed(run)
+
+
+def labelled_findings(n: int = 6000, seed: int = 5, kinds: str = "generic") -> list[tuple[str, int, int, int]]:
     """(text, start, end, label): made-up findings with context, half of them secrets."""
-    r = random.Random(seed)
-    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
-    word = lambda: "".join(r.choice(("th", "en", "er", "on", "re", "st", "an", "ou", "le", "ch", "ción", "de")) for _ in range(r.randint(1, 5)))
-    mixed = lower + upper + digits
-    secret = (
-        lambda: "ghp_" + pick(mixed, 36), lambda: "sk_live_" + pick(mixed, 24), lambda: pick(mixed + "+/", 40), lambda: pick(mixed + "+/", r.randint(20, 60)) + "==",
-        lambda: "xoxb-" + pick(digits, 11) + "-" + pick(mixed, 24), lambda: "eyJ" + pick(mixed + "-_", r.randint(40, 90)), lambda: pick(upper + digits, r.randint(20, 32)), lambda: "AIza" + pick(mixed + "-_", 35),
-        lambda: pick(mixed, r.randint(20, 44)),
-    )
-    plain = (
-        lambda: "_".join(pick(lower, r.randint(3, 8)) for _ in range(3)) + pick(digits, r.randint(1, 3)), lambda: "-".join(word() for _ in range(4)) + "-" + pick(digits, 4),
-        lambda: "/usr/" + "/".join(pick(lower, r.randint(3, 8)) for _ in range(3)) + pick(digits, 2), lambda: pick(digits, r.randint(8, 14)) + pick(lower, 1) + "-" + pick(digits, 6),
-        lambda: "-".join(pick(digits + "abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: word() + word() + word() + word() + pick(digits, 2), lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-{r.randint(10, 59)}Z",
-        lambda: "=" * r.randint(10, 20) + pick(lower, 4) + pick(digits, 2) + "=" * 8, lambda: pick(lower, 1) * r.randint(14, 30) + pick(digits, 3), lambda: word().capitalize() + word() + "Of" + word().capitalize() + word() + pick(digits, r.randint(1, 3)),
-        # Longer than a window: without them, windows inside a candidate would all be secrets' windows.
-        lambda: "-".join(pick(lower, r.randint(2, 9)) for _ in range(r.randint(9, 12))) + "-" + pick(digits, 2), lambda: "/srv/" + "/".join(pick(lower, r.randint(3, 9)) for _ in range(r.randint(8, 12))) + pick(digits, 2),
-        lambda: "_".join(pick(lower, r.randint(3, 9)) + pick(digits, r.randint(0, 2)) for _ in range(r.randint(8, 12))) + "1",
-    )
-    lead = ("key: ", "secret=", 'token "', "Authorization: Bearer ", "export KEY=", "")
-    out = []
-    while len(out) < n:
-        y = len(out) % 2
-        body = r.choice(secret if y else plain)()
-        before = " ".join(word() for _ in range(r.randint(0, 6))) + " " + (r.choice(lead) if y or r.random() < 0.1 else "")
-        text = before + body + r.choice((" ", ".", '"', ", ", "\n")) + " ".join(word() for _ in range(3))
-        if candidates(text[len(before) : len(before) + len(body)]):
-            out.append((text, len(before), len(before) + len(body), y))
-    return out
+    return Findings(seed).make(n, kinds)
 
 
 def windowed(found: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,37 +305,47 @@ _MODELS: dict[float, CharCnn] = {}
 
 
 def model(recall: float = RECALL) -> CharCnn:
-    """The network, trained once a process on two thirds of the findings and calibrated on the rest."""
+    """The network, trained once a process on generic findings and calibrated on those of issued shapes."""
     if recall not in _MODELS:
-        found = labelled_findings()
-        held = [f for i, f in enumerate(found) if i % 6 >= 4]
         net = CharCnn()
-        x, first, y = windowed([f for i, f in enumerate(found) if i % 6 < 4])
+        x, first, y = windowed(labelled_findings())
         net.fit(x, np.repeat(y, np.diff(np.append(first, len(x)))))
-        x, first, y = windowed(held)
+        x, first, y = windowed(labelled_findings(2000, 6, "issued"))
         net.calibrate(x, y, recall, first)
         _MODELS[recall] = net
     return _MODELS[recall]
 
 
-def scan(texts: list[str], net: CharCnn) -> list[list[tuple[int, int, str]]]:
-    """All spans of each text, by start, then kind; the candidates of a block of texts are scored together."""
-    spans = [base_spans(t) for t in texts]
+ORDER = (*KINDS, "cnn")
+
+
+def scored(texts: list[str], net: CharCnn) -> list[list[tuple[int, int, str, float]]]:
+    """(start, end, kind, score) of all candidates of each text, by start, then kind; those of a block of texts are scored together."""
     where, windows = [], []
     for i, t in enumerate(texts):
-        for a, b in open_candidates(t, spans[i]):
+        base = base_spans(t)
+        for a, b, kind in base + [(a, b, "cnn") for a, b in open_candidates(t, base)]:
             v = views(t, a, b)
-            where += [(i, a, b)] * len(v)
+            where += [(i, a, b, kind)] * len(v)
             windows += v
-    best: dict[tuple[int, int, int], float] = {}
+    best: dict[tuple[int, int, int, str], float] = {}
     for k in range(0, len(windows), 512):
         for w, s in zip(where[k : k + 512], net.score(codes(windows[k : k + 512])).tolist()):
             best[w] = max(best.get(w, 0.0), s)
-    for (i, a, b), s in best.items():
-        if s >= net.threshold:
-            spans[i] = [*spans[i], (a, b, "cnn")]
-    order = (*KINDS, "cnn")
-    return [sorted(s, key=lambda x: (x[0], order.index(x[2]))) for s in spans]
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    for (i, a, b, kind), s in best.items():
+        out[i].append((a, b, kind, s))
+    return [sorted(x, key=lambda c: (c[0], ORDER.index(c[2]))) for x in out]
+
+
+def found(candidates: list[tuple[int, int, str, float]], net: CharCnn) -> list[tuple[int, int, str]]:
+    """The spans among candidates: all base ones, and the others that reach the threshold."""
+    return [(a, b, kind) for a, b, kind, s in candidates if kind != "cnn" or s >= net.threshold]
+
+
+def scan(texts: list[str], net: CharCnn) -> list[list[tuple[int, int, str]]]:
+    """All spans of each text, by start, then kind."""
+    return [found(c, net) for c in scored(texts, net)]
 
 
 def blocks(texts: list[str | None], most: int = 1 << 20):
@@ -252,19 +367,32 @@ def joined(spans) -> str:
 
 
 def secret_spans(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_cnn) for each document."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_cnn, n_scored, n_flagged, scores) for each document.
+
+    n_scored counts the candidates that the network scored, n_flagged those that reach its threshold, base spans
+    included; scores has kind:start:end:score of all of them.
+    """
     rows, net = picked(docs, "doc_id", "text"), model(recall)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_cnn"]
+    counts = [f"n_{k}" for k in KINDS]
+    names = ["doc_id", *counts, "base_sha256", "spans", "n_cnn", "n_scored", "n_flagged", "scores"]
 
     def run(batches):
         for b in slices(batches):
-            found = [s for part in blocks(b.column(1).to_pylist()) for s in scan(part, net)]
-            count = lambda k: pa.array([sum(x[2] == k for x in s) for s in found], pa.int64())
-            base = pa.array([sha256(joined(x for x in s if x[2] != "cnn").encode()).hexdigest() for s in found], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(count, KINDS), base, pa.array([joined(s) for s in found], pa.string()), count("cnn")], names=names)
-
-    return rows.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_cnn long")
+            every = [c for part in blocks(b.column(1).to_pylist()) for c in scored(part, net)]
+            spans = [found(c, net) for c in every]
+            number = lambda k: pa.array([sum(x[2] == k for x in s) for s in spans], pa.int64())
+            base = [sha256(joined(x for x in s if x[2] != "cnn").encode()).hexdigest() for s in spans]
+            flagged = [sum(x[3] >= net.threshold for x in c) for c in every]
+            told = [",".join(f"{k}:{x}:{y}:{s:.4f}" for x, y, k, s in c) for c in every]
+            columns = [
+                b.column(0), *map(number, KINDS), pa.array(base, pa.string()), pa.array([joined(s) for s in spans], pa.string()),
+                number("cnn"), pa.array(map(len, every), pa.int64()), pa.array(flagged, pa.int64()), pa.array(told, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    numbers = ", ".join(f"{n} long" for n in counts)
+    return rows.mapInArrow(run, f"doc_id {kind}, {numbers}, base_sha256 string, spans string, n_cnn long, n_scored long, n_flagged long, scores string")
 
 
 def redact(text: str, spans, mark: str = "[SECRET]") -> str:
