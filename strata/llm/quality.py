@@ -1,12 +1,17 @@
 """Quality rules: a learned decision list over text statistics, emitted as ordered Spark conditions.
 
 Main path: built-in functions only. The list is fitted on the driver from statistics of at most `limit` labelled
-documents (default 4,000, those of the smallest id hash), by sequential covering: a rule is grown, condition by
-condition, on two thirds of the rows, pruned on the rest, and its rows removed before the next.
+documents (default 4,000, those of the smallest id hash; one row an id, the least text), by sequential covering: a rule
+is grown, condition by condition, on two thirds of the rows, pruned on the rest, and its rows removed before the next. A list has
+at most RULES rules of CONDITIONS conditions; a condition is looked for among THRESHOLDS thresholds of a feature. These
+bound the model, not the documents that it judges.
+
+Repeated windows are found exactly: where all hashes of a text's windows differ, none repeats; otherwise windows are
+sorted by hash and words, and equal neighbours compared.
 
 Nulls and edges: a null or empty text has no words and fails the base; labels that are null or not 0 or 1 don't count;
-without labels, or without a precise rule, only the base decides. Equal 64-bit hashes stand for equal word windows
-inside one text.
+without labels, or without a precise rule, only the base decides; an empty table gives an empty result; rows that tie or
+repeat are judged alike; a doc_id may be of any type that hashes.
 """
 
 from __future__ import annotations
@@ -17,11 +22,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACE, SPACES, let, packed, picked, unpacked
+from strata.llm.common import SPACE, WORD, let, packed, picked, unpacked
 
 LABELLED = 4_000
+RULES, CONDITIONS, THRESHOLDS = 12, 4, 64
 MIN_WORDS, MAX_REPEAT = 50, 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, DIGITS, MARKS, CAPITALS = "#*$%&|<>", "0123456789", ".,;:!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: All that no count is taken of but by words and lines.
+PLAIN = r"[^#*$%&|<>0-9.,;:!?A-Z]+"
 FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_lines", "repeat_share", "digit_share", "mark_share", "upper_share")
 
 
@@ -39,17 +47,23 @@ class Condition:
 
 
 def repeated(words: Column) -> Column:
-    """How many words lie in windows of three words that occur twice or more: sorted window hashes meet their equals as neighbours."""
-    def starts(w: Column) -> Column:
-        window = lambda i: F.struct(F.xxhash64(w[i - 1], w[i], w[i + 1]).alias("h"), i.alias("p"))
-        return F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(1), F.size(w) - 2), window)))
+    """How many words lie in windows of three words that occur twice or more."""
+    places = lambda w: F.sequence(F.lit(1), F.size(w) - 2)
+    hashed = lambda w, i: F.xxhash64(w[i - 1], w[i], w[i + 1])
 
     def spread(seen: Column) -> Column:
-        same = lambda x, i: F.coalesce((i > 0) & (F.get(seen, i - 1)["h"] == x["h"]), F.lit(False)) | F.coalesce(F.get(seen, i + 1)["h"] == x["h"], F.lit(False))
+        """The words in windows that equal a neighbour in (hash, words, place) order."""
+        equal = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+        same = lambda x, i: equal(x, F.get(seen, i + 1)) | ((i > 0) & equal(x, F.get(seen, i - 1)))
         inside = F.transform(F.filter(seen, same), lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2))
-        return F.coalesce(F.size(F.array_distinct(F.flatten(inside))), F.lit(0))
+        return F.size(F.array_distinct(F.flatten(inside)))
+
+    def count(w: Column) -> Column:
+        window = lambda i: F.struct(hashed(w, i).alias("h"), w[i - 1].alias("a"), w[i].alias("b"), w[i + 1].alias("c"), i.alias("p"))
+        apart = let(F.transform(places(w), lambda i: hashed(w, i)), lambda h: F.size(F.array_distinct(h)) == F.size(h))
+        return F.when((F.size(w) < 4) | apart, F.lit(0)).otherwise(let(F.sort_array(F.transform(places(w), window)), spread))
 
-    return let(let(words, starts), spread).cast("long")
+    return let(words, count).cast("long")
 
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -58,20 +72,20 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 def with_statistics(rows: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the raw counts of the features to rows with `text`."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    without = lambda chars: F.length(F.translate(t, chars, ""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     words = F.array_remove(F.split(t, SPACE + "+"), "")
-    pair = lambda x, f: F.struct(F.size(x).cast("long").alias("n"), f(x).alias("more"))
-    out = rows.withColumns({
-        "q_words": let(words, lambda w: pair(w, repeated)), "q_lines": let(lines, lambda x: pair(x, lambda y: F.size(F.array_distinct(y)))),
-        "word_chars": without(SPACES).cast("long"), "n_symbols": (F.length(t) - without(SYMBOLS)).cast("long"),
-        "q_digits": F.length(t) - without("0123456789"), "q_marks": F.length(t) - without(".,;:!?"), "q_upper": F.length(t) - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    })
-    n, again = F.col("q_words.n"), F.col("q_words.more")
-    failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT * n)
+    of_words = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated(w).alias("again"))
+    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("kinds"))
+    # One pass drops all other characters; what is left is short.
+    among = lambda few, chars: (F.length(few) - F.length(F.translate(few, chars, ""))).cast("long")
+    of_chars = lambda few: F.struct(among(few, SYMBOLS).alias("symbols"), among(few, DIGITS).alias("digits"), among(few, MARKS).alias("marks"), among(few, CAPITALS).alias("upper"))
+    out = rows.withColumns({"q_words": let(words, of_words), "q_lines": let(lines, of_lines), "q_chars": let(F.regexp_replace(t, PLAIN, ""), of_chars)})
+    n, again = F.col("q_words.n"), F.col("q_words.again")
     stats = F.struct(
-        n.alias("n_words"), "word_chars", "n_symbols", (F.col("q_lines.n") - F.col("q_lines.more")).alias("n_dup_lines"), again.alias("n_repeat_words"),
-        failed.alias("base_failed"), F.col("q_lines.n").alias("q_n_lines"), "q_digits", "q_marks", "q_upper",
+        n.alias("n_words"), F.col("q_words.chars").alias("word_chars"), F.col("q_chars.symbols").alias("n_symbols"),
+        (F.col("q_lines.n") - F.col("q_lines.kinds")).alias("n_dup_lines"), again.alias("n_repeat_words"),
+        ((n < MIN_WORDS) | (100 * again > MAX_REPEAT * n)).alias("base_failed"),
+        F.col("q_lines.n").alias("q_n_lines"), F.col("q_chars.digits").alias("q_digits"), F.col("q_chars.marks").alias("q_marks"), F.col("q_chars.upper").alias("q_upper"),
     )
     # The generator keeps later filters above it: pushed down, they would compute all this twice.
     return out.select(*rows.columns, F.inline(F.array(stats)))
@@ -88,7 +102,7 @@ def features() -> dict[str, Column]:
     }
 
 
-def thresholds(values: list[float], most: int = 64) -> list[float]:
+def thresholds(values: list[float], most: int = THRESHOLDS) -> list[float]:
     """Midpoints between neighbouring distinct values, thinned to `most` evenly spaced ones."""
     v = sorted(set(values))
     mid = [(a + b) / 2 for a, b in zip(v, v[1:])]
@@ -104,7 +118,7 @@ def grow(rows: list[dict]) -> list[Condition]:
     rule: list[Condition] = []
     while True:
         p, n = sum(r["bad"] for r in rows), sum(not r["bad"] for r in rows)
-        if not n or not p or len(rule) == 4:
+        if not n or not p or len(rule) == CONDITIONS:
             return rule
         best, gain = None, 1e-9
         now = math.log2(p / (p + n))
@@ -133,7 +147,7 @@ def prune(rule: list[Condition], rows: list[dict]) -> list[Condition]:
 def learn_list(rows: list[dict], precision: float = 0.97, least: int = 3) -> list[list[Condition]]:
     """Rules in order, each of at least `precision` over the rows that it covers and with `least` bad rows; none if no rule is that good."""
     left, rules = rows, []
-    while len(rules) < 12 and sum(r["bad"] for r in left) >= least:
+    while len(rules) < RULES and sum(r["bad"] for r in left) >= least:
         held = [r for i, r in enumerate(left) if i % 3 == 2]
         rule = prune(grow([r for i, r in enumerate(left) if i % 3 != 2]), held)
         hit = covered(rule, left) if rule else []
@@ -150,14 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> list[list[
     known = picked(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = picked(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
-    stats = with_statistics(rows).where("not base_failed")
-    got = stats.select("doc_id", (F.col("quality") == 0).alias("bad"), *[c.alias(n) for n, c in features().items()]).collect()
-    return learn_list([r.asDict() for r in sorted(got, key=lambda r: (hash_order(r["doc_id"]), r["n_words"]))])
-
-
-def hash_order(doc_id: int) -> int:
-    """A fixed shuffle of ids, so that the split into grown and held-back rows doesn't follow them."""
-    return (doc_id * 0x9E3779B97F4A7C15) % (1 << 64)
+    one = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # repeated ids don't swell the sample
+    # Another hash than the one that picks the sample shuffles it, so that the split doesn't follow the ids.
+    stats = with_statistics(one.select("doc_id", "quality", "text", F.xxhash64("doc_id", F.lit(1)).alias("place"))).where("not base_failed")
+    got = stats.select("place", (F.col("quality") == 0).alias("bad"), *[c.alias(n) for n, c in features().items()]).collect()
+    return learn_list(sorted((r.asDict() for r in got), key=lambda r: tuple(r.values())))
 
 
 def verdict(rules: list[list[Condition]]) -> Column:

@@ -46,6 +46,56 @@ def test_decision_list():
     assert quality.learn_list([]) == [] and quality.learn_list([x | {"bad": False} for x in rows]) == []
 
 
+def judged(t, rules):
+    """Whether a text is kept, from the statistics counted here."""
+    words, chars, symbols, dups, again = statistics(t)
+    if words < 50 or 100 * again > 50 * words:
+        return False
+    t, n, c, lines = t or "", max(words, 1), max(chars, 1), max(1, sum(bool(WORD.search(x)) for x in (t or "").split("\n")))
+    among = lambda p: len(re.findall(p, t))
+    row = {
+        "n_words": float(words), "mean_word": chars / n, "symbols_per_word": symbols / n, "dup_lines": dups / lines, "repeat_share": again / n,
+        "digit_share": among("[0-9]") / c, "mark_share": among("[.,;:!?]") / c, "upper_share": among("[A-Z]") / c,
+    }
+    return not any(all(x.holds(row) for x in rule) for rule in rules)
+
+
+def test_quality_verdicts(spark, docs, hard):
+    rule = lambda *c: [quality.Condition(*x) for x in c]
+    rules = [rule(("symbols_per_word", True, 0.175)), rule(("mean_word", True, 6.4), ("upper_share", False, 0.02)), rule(("dup_lines", True, 0.3)), rule(("digit_share", True, 0.05), ("mark_share", True, 0.01)), rule(("n_words", False, 60.0))]
+    rows = docs.select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
+    got = quality.judge(rows, rules).select("doc_id", "text", "kept").collect()
+    assert len({r.kept for r in got}) == 2 and all(r.kept == judged(r.text, rules) for r in got)
+
+
+def test_quality_labels_held_out(spark):
+    """The list fitted without a fifth of the labels tells those of that fifth."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rules = quality.fit(docs, labels.where("crc32(cast(doc_id as string)) % 5 <> 0"))
+    held = labels.where("crc32(cast(doc_id as string)) % 5 = 0 and quality in (0, 1)").select("doc_id", "quality")
+    got = quality.judge(docs.join(held, "doc_id"), rules).groupBy("quality", "kept").count().collect()
+    count = {(r.quality, r.kept): r["count"] for r in got}
+    assert rules and count[1, True] > 0.95 * (count[1, True] + count.get((1, False), 0))
+    assert count[0, False] > 0.8 * (count[0, False] + count.get((0, True), 0))
+
+
+def test_quality_ids_of_any_type(spark, hard):
+    text = hard.selectExpr("cast(doc_id as string) as doc_id", "text")
+    marks = spark.createDataFrame([("1", 0), ("5", 1), (None, 1)], "doc_id string, quality int")
+    assert quality.quality_report(text, marks).count() == text.count()
+
+
+def test_equal_hashes_are_no_equal_windows(spark, monkeypatch):
+    """With a hash of few values, windows that only share it don't count as repeated."""
+    real = quality.F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: real(*c) % 3)
+    r = random.Random(5)
+    texts = [" ".join(r.choice("ab cd ef gh ij kl mn".split()) for _ in range(n)) for n in (3, 4, 9, 40, 200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.n_repeat_words for x in quality.with_statistics(rows).collect()}
+    assert got == {i: statistics(t)[4] for i, t in enumerate(texts)}
+
+
 def test_quality_keeps_columns_and_empty_table(hard, none, labels):
     kept = quality.keep_good(hard, labels)
     assert kept.columns == hard.columns and kept.count() == quality.quality_report(hard, labels).where("kept").count()
