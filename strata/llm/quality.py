@@ -28,8 +28,8 @@ LABELLED = 4_000
 RULES, CONDITIONS, THRESHOLDS = 12, 4, 64
 MIN_WORDS, MAX_REPEAT = 50, 50
 SYMBOLS, DIGITS, MARKS, CAPITALS = "#*$%&|<>", "0123456789", ".,;:!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: All that no count is taken of but by words and lines.
-PLAIN = r"[^#*$%&|<>0-9.,;:!?A-Z]+"
+#: Most of what no count of characters is taken of, as a class that is quick to match.
+PLAIN = r"[a-z\x20]+"
 FEATURES = ("n_words", "mean_word", "symbols_per_word", "dup_lines", "repeat_share", "digit_share", "mark_share", "upper_share")
 
 
@@ -76,7 +76,7 @@ def with_statistics(rows: DataFrame) -> DataFrame:
     words = F.array_remove(F.split(t, SPACE + "+"), "")
     of_words = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated(w).alias("again"))
     of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("kinds"))
-    # One pass drops all other characters; what is left is short.
+    # One pass drops most other characters; what is left is short, and translate() is slow.
     among = lambda few, chars: (F.length(few) - F.length(F.translate(few, chars, ""))).cast("long")
     of_chars = lambda few: F.struct(among(few, SYMBOLS).alias("symbols"), among(few, DIGITS).alias("digits"), among(few, MARKS).alias("marks"), among(few, CAPITALS).alias("upper"))
     out = rows.withColumns({"q_words": let(words, of_words), "q_lines": let(lines, of_lines), "q_chars": let(F.regexp_replace(t, PLAIN, ""), of_chars)})
