@@ -3,14 +3,16 @@
 A fingerprint has 8 bytes. Two that differ in at most 4 bits share at least 4 bytes at their positions. Posting lists
 of one byte each would hold a 256th of all fingerprints, so the index is keyed by sets of byte positions instead: a
 family of 20 sets of three positions of which every four positions contain one (or all 70 sets of four, where there
-are more than 2^26 fingerprints), so a pair sharing four bytes meets in a list of 1 / 2^24 (or 2^32) of them. Within a
-list the shared positional bytes of a pair are tallied, pairs with at least 4 are kept, and their bits are compared.
-Equal fingerprints are one entry. A list is searched as a graph: each fingerprint reached is compared with those not
-reached yet, and only the edge that reaches one is emitted, so a list of near copies costs about its length in edges
-and no pair list is made; no list is cut.
+are more than `wide_from` fingerprints, by default 2^26; both find the same links), so a pair sharing four bytes meets in a
+list of 1 / 2^24 (or 2^32) of them. Within a list the shared positional bytes of a pair are tallied, pairs with at least 4 are
+kept, and their bits are compared. Equal fingerprints are one entry. A list is searched as a graph: each fingerprint
+reached is compared with those not reached yet, and only the edge that reaches one is emitted, so a list of near
+copies costs about its length in edges and no pair list is made. A list of more than `longest` entries isn't held by one
+task: it is dealt into blocks, and every two of its blocks meet in a task of their own; no list is cut.
 
 Components come from alternating large-star and small-star rounds over distinct fingerprints, each written by
-checkpoint(), until nothing changes; nothing is collected but two numbers a round.
+checkpoint(), until nothing changes; nothing is collected but two numbers a round. Least ids reach the fingerprints of a
+component over salted keys; rows of one fingerprint meet it in a join that adaptive execution may split.
 
 Nulls and edges: a null text is empty; texts without words have fingerprint zero and link like any other; texts of
 fewer than four words are one shingle; a null doc_id takes its component but names none; repeated rows stay.
@@ -31,6 +33,9 @@ WORDS, SEED, MOST_BITS, BYTES = 4, 42, 4, 8
 LEAST_SHARED = BYTES - MOST_BITS
 #: Distinct fingerprints beyond which lists are keyed by four bytes instead of three.
 WIDE_FROM = 1 << 26
+#: Entries of a posting list that one task holds, and salts of a component's key.
+LONGEST, SALTS = 1 << 16, 16
+EDGE, ENTRY, END = 0, 1, 2
 
 
 def position_sets(width: int) -> list[tuple[int, ...]]:
@@ -113,45 +118,95 @@ def search_list(fps: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def search_lists(batches):
-    """Edges of consecutive posting lists, from batches (key, fp) sorted by both; a list may span batches."""
-    key0, held = None, []
+def linked(fps: np.ndarray) -> np.ndarray:
+    """The edges of a list of fingerprints, given signed and perhaps repeated, as two columns."""
+    edges = search_list(np.unique(fps).view(np.uint64)) if len(fps) > 1 else []
+    return np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
 
-    def done(parts: list[np.ndarray]):
-        return search_list(np.unique(np.concatenate(parts)).view(np.uint64)) if parts and sum(map(len, parts)) > 1 else []
-
-    def batch(edges):
-        a = np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, 0])), pa.array(np.ascontiguousarray(a[:, 1]))], names=["u", "v"])
 
+def parts_of(batches, names: tuple[str, ...]):
+    """(first, key, columns) of the runs of equal keys in batches sorted by the first of `names`; a run that spans batches
+    comes in parts, of which only the first says so."""
+    last = None
     for b in batches:
         if not b.num_rows:
             continue
-        keys, fps = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("key", "fp"))
+        columns = [b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+        keys = columns[0]
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        ends = np.append(cuts[1:], len(keys))
-        edges = []
-        if keys[0] != key0:
-            edges += done(held)
+        for i, j in zip(cuts, np.append(cuts[1:], len(keys))):
+            yield keys[i] != last, int(keys[i]), [c[i:j] for c in columns[1:]]
+            last = keys[i]
+
+
+def rows_of(kind: int, u, v) -> pa.RecordBatch:
+    u, v = (np.ascontiguousarray(x, dtype=np.int64) for x in (u, v))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v)], names=["kind", "u", "v"])
+
+
+def search_lists(longest: int):
+    """From batches (key, fp) sorted by both: EDGE rows (u, v) of each posting list; of a list longer than `longest`
+    instead its ENTRY rows (key, fp) as they come, and an END row (key, entries)."""
+    def run(batches):
+        key, held, size = None, [], 0
+        edges: list[np.ndarray] = []
+
+        def finish():
+            if size > longest:
+                return rows_of(END, [key], [size])
+            if size > 1:
+                edges.append(linked(np.concatenate(held)))
+            return None
+
+        for first, k, (fps,) in parts_of(batches, ("key", "fp")):
+            if first:
+                if (end := finish()) is not None:
+                    yield end
+                key, held, size = k, [], 0
+            size += len(fps)
+            held.append(fps)
+            if size > longest:
+                yield from (rows_of(ENTRY, np.full(len(h), key), h) for h in held)
+                held = []
+            if sum(map(len, edges)) > 10_000:
+                yield rows_of(EDGE, *np.concatenate(edges).T)
+                edges = []
+        if key is not None and (end := finish()) is not None:
+            yield end
+        if edges:
+            yield rows_of(EDGE, *np.concatenate(edges).T)
+
+    return run
+
+
+def search_blocks(batches):
+    """EDGE rows of each pair of blocks, from batches (pair, fp) sorted by pair."""
+    held: list[np.ndarray] = []
+    for first, _, (fps,) in parts_of(batches, ("pair", "fp")):
+        if first and held:
+            yield rows_of(EDGE, *linked(np.concatenate(held)).T)
             held = []
-        else:
-            held.append(fps[: ends[0]])
-            cuts, ends = cuts[1:], ends[1:]
-        if len(cuts):
-            edges += done(held)
-            for i in np.flatnonzero(ends[:-1] - cuts[:-1] > 1):
-                edges += done([fps[cuts[i] : ends[i]]])
-            key0, held = keys[cuts[-1]], [fps[cuts[-1] :]]
-        yield batch(edges)
-    yield batch(done(held))
-
-
-def links(prints: DataFrame, count: int) -> DataFrame:
+        held.append(fps)
+    if held:
+        yield rows_of(EDGE, *linked(np.concatenate(held)).T)
+
+
+def links(prints: DataFrame, count: int, longest: int = LONGEST, wide_from: int = WIDE_FROM) -> DataFrame:
     """Distinct edges (u, v) that join linked fingerprints, from rows (fp) without repeats."""
-    width = 3 if count <= WIDE_FROM else LEAST_SHARED
+    checkpoints(prints.sparkSession)
+    width, schema = 3 if count <= wide_from else LEAST_SHARED, "kind int, u long, v long"
     lists = prints.select(F.explode(list_keys(F.col("fp"), width)).alias("key"), "fp")
-    sorted_lists = lists.repartition("key").sortWithinPartitions("key", "fp")
-    return sorted_lists.mapInArrow(search_lists, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    found = lists.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(search_lists(longest), schema).checkpoint()
+    # One row a list of more than `longest` entries: at most their number / longest, so it may be broadcast.
+    ends = found.where(F.col("kind") == END).select(F.col("u").alias("key"), F.ceil(F.col("v") / (longest / 2)).cast("int").alias("blocks"))
+    entries = found.where(F.col("kind") == ENTRY).select(F.col("u").alias("key"), F.col("v").alias("fp"))
+    dealt = entries.join(F.broadcast(ends), "key").withColumn("mine", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int"))
+    other = dealt.select("key", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # A hash names the pair of blocks; pairs that share one by chance are searched as one, which loses nothing.
+    pairs = other.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), "fp")
+    more = pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(search_blocks, schema)
+    edges = found.where(F.col("kind") == EDGE).unionByName(more)
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,24 +230,29 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def grouped(rows: DataFrame) -> DataFrame:
+def grouped(rows: DataFrame, longest: int = LONGEST, wide_from: int = WIDE_FROM) -> DataFrame:
     """Add `fp` and `component_id`, the least doc_id of the rows linked, to rows (doc_id, text, ...); the text goes."""
     checkpoints(rows.sparkSession)
     marked = with_fingerprint(rows).checkpoint()  # narrow: texts stay behind
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
-    roots = components(links(prints.select("fp"), prints.count()))
-    whole = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = whole.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(whole.join(least, "root").select("fp", "root", "component_id"), "fp")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    roots = components(links(prints.select("fp"), prints.count(), longest, wide_from))
+    # Only linked fingerprints have a root; many may share one, so they meet their component's least id over salts.
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    linked = prints.join(roots, prints["fp"] == roots["node"]).select("fp", "first", "root").withColumn("salt", salt)
+    least = linked.groupBy("root", "salt").agg(F.min("first").alias("least")).groupBy("root").agg(F.min("least").alias("least"))
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = linked.join(spread, ["root", "salt"]).select("fp", "root", "least")
+    whole = prints.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return marked.join(whole, "fp")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each document."""
-    out = grouped(picked(docs, "doc_id", "text"))
+    out = grouped(picked(docs, "doc_id", "text"), **options)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, that of the least doc_id (a null id only where there is no other), with its own columns.
 
     Survivors are chosen among narrow rows, named by a digest of id and text; the documents meet them by that digest
@@ -200,7 +260,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     name = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
     first = Window.partitionBy("root").orderBy(F.asc_nulls_last("doc_id"), "name")
-    narrow = grouped(picked(docs, "doc_id", "text").withColumn("name", name))
+    narrow = grouped(picked(docs, "doc_id", "text").withColumn("name", name), **options)
     chosen = narrow.withColumn("rank", F.row_number().over(first)).where("rank = 1").select("name")
     rows = packed(docs, "doc_id", "text").select("row", name.alias("name")).join(chosen, "name")
     one = Window.partitionBy("name").orderBy(F.lit(1))

@@ -56,17 +56,25 @@ def test_near_duplicates(request, which):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(least[c] for c in set(cls.values()))
 
 
+def test_long_lists_are_dealt_into_blocks():
+    batch = lambda **c: neardup.pa.RecordBatch.from_arrays([neardup.pa.array(v) for v in c.values()], names=list(c))
+    fps = [1, 2, 3, 4, 5, 1, 2, 9]
+    out = neardup.pa.Table.from_batches(neardup.search_lists(3)([batch(key=[7] * 3, fp=fps[:3]), batch(key=[7] * 2 + [8] * 3, fp=fps[3:])])).to_pylist()
+    assert [(r["u"], r["v"]) for r in out if r["kind"] == neardup.ENTRY] == [(7, f) for f in fps[:5]]
+    assert [(r["u"], r["v"]) for r in out if r["kind"] == neardup.END] == [(7, 5)]
+    assert {r["u"] for r in out if r["kind"] == neardup.EDGE} | {r["v"] for r in out if r["kind"] == neardup.EDGE} == {1, 2, 9}
+
+
 def test_near_duplicates_empty(none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.keep_first(none).count() == 0
 
 
-@pytest.mark.parametrize("width", [3, 4])
-def test_index_finds_all_links(spark, width, monkeypatch):
+@pytest.mark.parametrize("width, longest", [(3, 1 << 16), (4, 1 << 16), (3, 4)])
+def test_index_finds_all_links(spark, width, longest):
     from itertools import combinations
 
     assert all(any(set(s) <= set(c) for s in neardup.position_sets(width)) for c in combinations(range(8), 4))
     assert len(neardup.position_sets(3)) == 20
-    monkeypatch.setattr(neardup, "WIDE_FROM", 0 if width == 4 else 1 << 26)
     r = random.Random(width)
     fps = set()
     for _ in range(60):
@@ -76,7 +84,7 @@ def test_index_finds_all_links(spark, width, monkeypatch):
             for _ in range(r.randint(1, 4)):
                 x ^= 1 << r.randrange(64)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    edges = neardup.links(spark.createDataFrame(signed, "fp long"), len(fps))
+    edges = neardup.links(spark.createDataFrame(signed, "fp long"), len(fps), longest, 0 if width == 4 else 1 << 26)
     root = {n % (1 << 64): t % (1 << 64) for n, t in neardup.components(edges).collect()}
     cls = classes(fps)
     assert len({(cls[f], root.get(f, f)) for f in fps}) == len(set(cls.values())) == len({root.get(f, f) for f in fps})
