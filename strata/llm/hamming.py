@@ -7,9 +7,12 @@ the latter. In a pair of blocks an index by segment is searched with growing rad
 segments up to radius r - 1, and a of them at r, every code within m * r + a - 1 bits has been met. A query ends as soon as
 its k-th verified distance is within that bound, so ties are complete too. The best of all blocks are then merged.
 
+An id may own many codes: a query's own id is left out inside the search, so it asks for no more than k others.
+
 Nulls and edges: rows with a null vector or id are in no result; null components count as zero; shorter vectors are padded with
 zero bits; ties go to the smaller id; rows of one id and one code count once; a row is no neighbour of its own id, and an id of
-several codes is asked and found by each; fewer than k others give fewer rows.
+several codes is asked and found by each; fewer than k others give fewer rows; an empty table gives an empty result; ids may
+be numbers or text, and text that is no whole number asks nothing.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,16 +39,22 @@ MASKS = [np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT),
 def with_codes(rows: DataFrame, bits: int) -> DataFrame:
     """(id, code) from (vec_id, embedding); a code is its segments' little-endian bytes."""
     width = -(-bits // SEGMENT) * SEGMENT
+    schema = rows.select(F.col("vec_id").alias("id"), F.lit(b"").alias("code")).schema
 
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            flat = pc.fill_null(pc.greater(lists.flatten(), 0), False).to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             out = np.zeros((b.num_rows, width), dtype=bool)
-            for i, v in enumerate(b.column(1).to_pylist()):
-                out[i, : len(v)] = [x is not None and x > 0 for x in v]
+            row = np.repeat(np.arange(b.num_rows), size)
+            out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
             packed = np.packbits(out, axis=1, bitorder="little")
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["id", "code"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], names=["id", "code"])
 
-    return rows.mapInArrow(run, "id long, code binary")
+    return rows.mapInArrow(run, schema)
 
 
 class Index:
@@ -98,46 +107,57 @@ class Index:
 
 
 def nearest_ids(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(code, found array<struct<distance, id>>): for each asked code the k nearest ids of (id, code), itself included."""
+    """(asker, code, distance, id): for each asked (id, code) its k nearest rows (id, code) of other ids, and ties in each block."""
     spark = codes.sparkSession
     least = Window.partitionBy("code").orderBy("id")
-    entries = codes.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # A code's k + 1 least ids: without the asker's own, k are left.
+    entries = codes.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = entries.checkpoint()
     blocks = max(1, -(-entries.count() // ENTRIES))
     dealt = entries.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
-    queries = asked.select("code").distinct()
-    parts = max(1, -(-queries.count() // QUERIES))
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(parts)).cast("int"))
+    parts = max(1, -(-asked.count() // QUERIES))
+    queries = asked.withColumn("part", F.pmod(F.xxhash64("id", "code"), F.lit(parts)).cast("int"))
     # Blocks as packed rows, dealt by the entries' block and a lane of queries: a block of entries is copied to each
     # lane, so lanes are as few as keep all cores busy, or as hold 200 blocks of queries.
     lanes = max(-(-parts // 200), min(parts, -(-2 * spark.sparkContext.defaultParallelism // blocks)))
-    shelf = dealt.groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("entries")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    trays = queries.groupBy("part").agg(F.collect_list("code").alias("asked")).select("asked", (F.col("part") % lanes).alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = trays.repartition(lanes * blocks, "block", "lane").join(shelf.repartition(lanes * blocks, "block", "lane").hint("shuffle_hash"), ["block", "lane"])
+    shelf = dealt.groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("entries"))
+    shelf = shelf.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    trays = queries.groupBy("part").agg(F.collect_list(F.struct("id", "code")).alias("asked"))
+    trays = trays.select("asked", (F.col("part") % lanes).alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt_out = lambda df: df.repartition(lanes * blocks, "block", "lane")
+    pairs = dealt_out(trays).join(dealt_out(shelf).hint("shuffle_hash"), ["block", "lane"])
+    schema = asked.select(F.col("id").alias("asker"), "code", F.lit(0).alias("distance"), "id").schema
 
     def search(batches):
         last = None
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                block = row.column(row.schema.get_field_index("block"))[0].as_py()
+                column = lambda n: row.column(row.schema.get_field_index(n))  # noqa: E731, B023
+                block = column("block")[0].as_py()
                 if block != last:
-                    held = row.column(row.schema.get_field_index("entries")).flatten()
-                    raw = held.field("code").to_pylist()
-                    ids = held.field("ids").to_pylist()
+                    held, last = column("entries").flatten(), block
+                    raw, ids = held.field("code").to_pylist(), held.field("ids").to_pylist()
                     index = Index(np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(len(raw), -1))
-                    weight, last = np.array([len(x) for x in ids]), block
-                out = []
-                for code in row.column(row.schema.get_field_index("asked")).flatten().to_pylist():
-                    e, d = index.nearest(np.frombuffer(code, dtype=np.uint16), weight, k)
-                    near = sorted((int(y), int(v)) for x, y in zip(e, d) for v in ids[x])[:k]
-                    out += [(code, y, v) for y, v in near]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["code", "distance", "id"]).astype({"distance": "int32", "id": "int64"}), schema=pa.schema([("code", pa.binary()), ("distance", pa.int32()), ("id", pa.int64())]), preserve_index=False)
-
-    hits = pairs.select("block", "asked", "entries").mapInArrow(search, "code binary, distance int, id long")
-    best = Window.partitionBy("code").orderBy("distance", "id")
-    top = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
-    return top.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("found"))
+                    counts, owned = np.array([len(x) for x in ids]), {}
+                    for e, x in enumerate(ids):
+                        for v in x:
+                            owned.setdefault(v, []).append(e)
+                out: list[tuple] = []
+                for q in column("asked").flatten().to_pylist():
+                    weight = counts
+                    if q["id"] in owned:
+                        weight = counts.copy()
+                        weight[owned[q["id"]]] -= 1
+                    e, d = index.nearest(np.frombuffer(q["code"], dtype=np.uint16), weight, k)
+                    near = sorted((int(y), v) for x, y in zip(e, d) for v in ids[x] if v != q["id"])[:k]
+                    out += [(q["id"], q["code"], y, v) for y, v in near]
+                columns = list(zip(*out)) or [()] * 4
+                kind = held.field("ids").type.value_type
+                arrays = [pa.array(c, t) for c, t in zip(columns, (kind, pa.binary(), pa.int32(), kind))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["asker", "code", "distance", "id"])
+
+    return pairs.select("block", "asked", "entries").mapInArrow(search, schema)
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -146,13 +166,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     rows = picked(vectors, "vec_id", "embedding").where("vec_id is not null and embedding is not null")
     bits = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
     codes = with_codes(rows, bits).distinct().checkpoint()
-    asked = codes.where(F.col("id") % every == 0)
-    own = codes.groupBy("id").count().agg(F.max("count")).first()[0] or 1  # entries that a row's own id can take
-    found = nearest_ids(codes, asked, k + own)
-    near = asked.join(found, "code")
-    others = F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k)
-    out = near.select("id", F.posexplode(others).alias("at", "x"))
-    return out.select(F.col("id").alias("vec_id"), (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.col("x.distance").alias("distance"))
+    asked = codes.where(F.col("id").try_cast("long") % every == 0)
+    best = Window.partitionBy("asker", "code").orderBy("distance", "id")
+    near = nearest_ids(codes, asked, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return near.select(F.col("asker").alias("vec_id"), "rank", F.col("id").alias("neighbour_id"), "distance")
 
 
 ORACLE = """

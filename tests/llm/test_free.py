@@ -290,6 +290,19 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert hamming.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_top_k_ids_of_many_codes_and_of_text(spark):
+    r = random.Random(6)
+    vector = lambda: [r.choice((-1.0, 1.0)) for _ in range(20)]
+    rows = [("20", vector()) for _ in range(40)] + [(str(i), vector()) for i in range(1, 60)] + [("x", vector()), (None, vector())]
+    got = hamming.top_k(spark.createDataFrame([(*x, 1) for x in rows], "vec_id string, embedding array<double>, id int"), k=3)
+    codes = sorted({(i, tuple(x > 0 for x in v)) for i, v in rows if i is not None})
+    want = []
+    for i, c in [x for x in codes if x[0].isdigit() and int(x[0]) % 20 == 0]:
+        near = sorted((sum(a != b for a, b in zip(c, d)), j) for j, d in codes if j != i)[:3]
+        want += [(i, n + 1, j, d) for n, (d, j) in enumerate(near)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_html(spark, sf_dir):
     f, ok, n = htmltext.field(), 0, 0
     for page, main in htmltext.labelled_pages(150, seed=77):
