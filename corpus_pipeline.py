@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import mixing, neardup, quality, secrets, tokens
 from strata.llm.common import checkpoints, table
+from strata.sources.files import HadoopFiles
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +43,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages rows are written to the shared checkpoint folder and read again."""
-    checkpoints(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid4().hex}"
+    """All stages over documents; between stages rows are written to the shared checkpoint folder and read again.
+
+    A stage's rows go once the next stage's are written; the last ones are what the result reads.
+    """
+    base = f"{checkpoints(spark)}/pipeline-{uuid4().hex}"
+    files, before = HadoopFiles(spark, base), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            files.delete(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_sums(df: DataFrame, groups: Sequence[str], bucket: str, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+def prefix_sums(df: DataFrame, groups: Sequence[str], bucket: str, order: Sequence[Column], sums: dict[str, Column], totals_of: DataFrame | None = None) -> DataFrame:
     """Add, for each name in `sums`, the sum of its column over all earlier rows of the group (0 for the first).
 
     The order is (bucket, *order). Buckets must follow it and must not be null, nor the groups. Totals by bucket
     are summed first (pre-aggregated before the shuffle); only those pass through a window over a whole group,
-    so a group of any size is spread over as many tasks as it has buckets.
+    so a group of any size is spread over as many tasks as it has buckets. `totals_of` may have the same columns already
+    added up by bucket, so that `df` is read once.
     """
     keys = [*groups, bucket]
-    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(f"__total_{n}") for n, c in sums.items()])
+    totals = (df if totals_of is None else totals_of).groupBy(*keys).agg(*[F.sum(c).alias(f"__total_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, *[F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__start_{n}") for n in sums])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
