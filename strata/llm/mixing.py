@@ -1,12 +1,13 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Documents get a key from a hash of their id; keys are sorted within each source by ranges of the key; prefix sums
-of word counts say where each document lies in its source; the source's budget cuts that line exactly, after as
-many whole epochs as fit. A hot source is spread over 4,096 key ranges, pre-aggregated before any window.
-
-Nulls and edges: a null source is a source of its own, last in order; a null text has no words; a null id hashes as
-an empty string; rows that tie in key are ordered by size, and rows that tie in that too are interchangeable; an
-empty table gives an empty result; a source without words has target 0.
+Documents get a key from a hash of their id and text; keys are sorted within each source by ranges of the key; prefix
+sums of word counts say where each document lies in its source; the source's budget cuts that line exactly, after as
+many whole epochs as fit. A hot source is spread over 16^RANGE_DIGITS key ranges, pre-aggregated before any window; so
+are rows of a null or repeated id, which their texts tell apart.
+
+Nulls and edges: a null source is a source of its own, last in order; a null text is empty and has no words; a null id
+hashes as an empty string; repeated rows tie in key, and rows that tie are interchangeable; an empty table gives an empty
+result; a source without words has target 0; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import packed, picked, unpacked, word_count
+from strata.llm.common import checkpoints, packed, picked, unpacked, word_count
 from strata.plans.prefix import prefix_sums
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2, "mix-1"
-#: Hex digits of the key that name its range.
+#: Hex digits of the key that name its range: 4,096 ranges a source, each ordered in a task of its own.
 RANGE_DIGITS = 3
 
 
-def hash_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|" + seed)))
+def hash_key(doc_id: Column, text: Column, seed: str) -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))), F.lit(seed)))
 
 
 def source_group(source: Column) -> Column:
@@ -31,14 +32,13 @@ def source_group(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(grp, source_size, target) from rows (grp, source, size), one row a source.
+def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(grp, source_size, target) from rows (grp, source, source_size), one row a source.
 
     Weights repeat over sources in code point order. Targets share `share` of all sizes by weight; a target stops at
     `cap` times its source's size, the excess going to the others. In order of cap / weight, a source is capped just
     if its share would exceed its cap when all before it are capped: prefix sums over the source table give the level.
     """
-    totals = sized.groupBy("grp", "source").agg(F.sum("size").alias("source_size"))
     place = Window.orderBy(F.asc_nulls_last("source"))
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (((F.row_number().over(place) - 1) % len(weights)) + 1).cast("int"))
     weighed = totals.withColumn("w", w.cast("long")).withColumn("most", F.col("source_size") * cap)
@@ -52,24 +52,33 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return levels.select("grp", "source_size", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(cut * F.col("w")).alias("target"))
 
 
-def plan_mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """Add size, source_size, target, epochs (whole passes) and part (words taken beyond them) to rows (doc_id, text, source, ...).
+def sized(rows: DataFrame, seed: str = SEED) -> DataFrame:
+    """Add size, grp, key and range to rows (doc_id, text, source, ...); the text goes."""
+    key = hash_key(F.col("doc_id"), F.col("text"), seed)
+    out = rows.withColumns({"size": word_count(F.col("text")), "grp": source_group(F.col("source")), "key": key}).drop("text")
+    return out.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+
+
+def plan_mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """Add source_size, target, epochs (whole passes) and part (words taken beyond them) to rows of sized().
 
-    The words of a source form one line in key order; its budget is the target rounded down.
+    The words of a source form one line in key order; its budget is the target rounded down. Words are added up by range
+    once, for the targets and for the line.
     """
-    sized = rows.withColumns({"size": word_count(F.col("text")), "grp": source_group(F.col("source")), "key": hash_key(F.col("doc_id"), seed)}).drop("text")
-    sized = sized.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    lines = prefix_sums(sized, ["grp"], "range", [F.col("key"), F.col("size")], {"before": F.col("size")})
-    out = lines.join(source_targets(sized.select("grp", "source", "size"), weights, share, cap), "grp")
+    totals = rows.groupBy("grp", "source", "range").agg(F.sum("size").alias("size")).checkpoint()
+    sizes = totals.groupBy("grp", "source").agg(F.sum("size").alias("source_size"))
+    lines = prefix_sums(rows, ["grp"], "range", [F.col("key"), F.col("size")], {"before": F.col("size")}, totals)
+    out = lines.join(source_targets(sizes, weights, share, cap), "grp")
     budget, whole = F.floor("target").cast("long"), F.greatest("source_size", F.lit(1))
     epochs = F.floor(budget / whole).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("before")))
     return out.withColumns({"epochs": epochs, "part": part.cast("long")}).drop("grp", "key", "range", "before")
 
 
-def mix_counts(docs: DataFrame, **options) -> DataFrame:
+def mix_counts(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken): how many words of each document the mix takes, repeats counted."""
-    plan = plan_mix(picked(docs, "doc_id", "text", "source"), **options)
+    checkpoints(docs.sparkSession)
+    plan = plan_mix(sized(picked(docs, "doc_id", "text", "source"), seed).checkpoint(), **options)  # narrow: words are counted once
     return plan.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
@@ -79,19 +88,20 @@ def leading_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(ends, 1, n.cast("int")), "")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mixed documents: a row for each epoch that takes one whole, and one cut at the budget where it ends inside.
 
     A document without words is kept once.
     """
-    rows = packed(docs, "doc_id", "text", "source").withColumn("body", F.col("text"))
-    plan = plan_mix(rows, **options)
+    checkpoints(docs.sparkSession)
+    plan = plan_mix(sized(packed(docs, "doc_id", "text", "source"), seed).drop("doc_id"), **options)
     whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("part") == F.col("size")).cast("long"))
     partly = (F.col("part") > 0) & (F.col("part") < F.col("size"))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(partly, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
-    taken = plan.withColumn("words", F.explode(copies))
-    text = F.when(F.col("words") < 0, F.col("body")).otherwise(leading_words(F.col("body"), F.col("words")))
-    out = taken.withColumn("body", text)
+    cut = F.when(partly, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>"))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), cut)
+    body = F.col(f"row.c{docs.columns.index('text')}")
+    text = F.when(F.col("words") < 0, body).otherwise(leading_words(body, F.col("words")))
+    out = plan.withColumn("words", F.explode(copies)).withColumn("body", text)
     changed = {"text": F.col("body")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -101,7 +111,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 ORACLE = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-  md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix-1') AS key FROM documents),
+  md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|mix-1') AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, source_size * 2 AS most FROM s),
 l AS (SELECT *, row_number() OVER o AS place, ((SUM(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(SUM(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)

@@ -6,10 +6,12 @@ lists (gazetteer), cues before it (context), and the variety of its characters.
 documents, a few thousand rows at most whatever the corpus, go to the driver; expectation-maximisation estimates each
 labeler's reliability and each kind's rate, and its posteriors train the final span classifier, a logistic function
 of kind and votes that runs as a Spark expression. Candidates scoring `threshold` or more that overlap no base span
-are added.
+are added. Texts are read once: spans and their votes are written by checkpoint(), and counts and results come from those.
 
 Matching finds a pattern's hits and the text between them; a hit starts where the lengths before it end, so positions
-count code points. Nulls and edges: a null text is empty; spans are end exclusive; ties can't occur inside a kind.
+count code points. Nulls and edges: a null or empty text has no spans; spans are end exclusive; ties can't occur inside a
+kind; repeated rows give repeated results; an empty table gives an empty result; texts of any length are read whole; a
+doc_id of any type is passed through.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import let, picked
+from strata.llm.common import checkpoints, let, picked
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("obfuscated", "national", "ssn", "iban", "name")
@@ -132,11 +134,22 @@ def votes(x: Column) -> dict[str, Column]:
     return {"format": form, "gazetteer": lists, "context": cue, "variety": F.when(kinds_of <= 3, -1).when(kinds_of >= 6, 1).otherwise(0)}
 
 
-def pattern_counts(docs: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
-    """(kind, votes, count) over every span of every document: at most 9 * 81 rows."""
+def voted(x: Column) -> Column:
+    """A span with its votes in place of its text."""
+    return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), *[v.cast("byte").alias(n) for n, v in votes(x).items()])
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, more): the spans of the base kinds and of the others in each document, written once."""
+    checkpoints(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = picked(docs, "text").select(F.explode(found(text, BASE + EXTRA)).alias("x"))
-    rows = spans.select(F.col("x.kind").alias("kind"), *[v.alias(n) for n, v in votes(F.col("x")).items()]).groupBy("kind", *LABELERS).count().collect()
+    spans = lambda kinds: F.transform(found(text, kinds), voted)
+    return picked(docs, "doc_id", "text").select("doc_id", spans(BASE).alias("base"), spans(EXTRA).alias("more")).checkpoint()
+
+
+def pattern_counts(spans: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
+    """(kind, votes, count) over every span of every document: at most 9 * 81 rows."""
+    rows = spans.select(F.explode(F.concat("base", "more")).alias("x")).select("x.*").groupBy("kind", *LABELERS).count().collect()
     return sorted((r["kind"], tuple(r[n] for n in LABELERS), r["count"]) for r in rows)
 
 
@@ -191,25 +204,19 @@ def train(counts, rounds: int = 400, rate: float = 0.5) -> dict[str, float]:
 
 
 def score(x: Column, weights: dict[str, float]) -> Column:
-    """The classifier's probability for a span, as an expression."""
+    """The classifier's probability for a span with its votes, as an expression."""
     z = F.element_at(F.create_map(*[F.lit(y) for k in BASE + EXTRA for y in (k, round(weights[k], 9))]), x["kind"])
-    for name, vote in votes(x).items():
-        z = z + vote * F.lit(round(weights[name], 9))
+    for name in LABELERS:
+        z = z + x[name] * F.lit(round(weights[name], 9))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each document."""
-    weights = train(pattern_counts(docs))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = picked(docs, "doc_id", "text").select("doc_id", F.struct(found(text, BASE).alias("base"), found(text, EXTRA).alias("more")).alias("x"))
-
-    def settled(x: Column) -> Column:
-        apart = lambda y: ~F.exists(x["base"], lambda b: (b["start"] < y["stop"]) & (b["stop"] > y["start"]))
-        added = F.filter(x["more"], lambda y: apart(y) & (score(y, weights) >= threshold))
-        return F.struct(x["base"].alias("base"), added.alias("added"))
-
+    rows = candidates(docs)
+    weights = train(pattern_counts(rows))
+    apart = lambda y: ~F.exists("base", lambda b: (b["start"] < y["stop"]) & (b["stop"] > y["start"]))
+    out = rows.select("doc_id", "base", F.filter("more", lambda y: apart(y) & (score(y, weights) >= threshold)).alias("added"))
     named = lambda a: F.array_join(F.transform(a, lambda y: F.concat_ws(":", y["kind"], y["start"], y["stop"])), ",")
-    out = rows.select("doc_id", F.inline(F.array(let(F.col("x"), settled))))
     count = lambda k: F.size(F.filter("base", lambda y: y["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *map(count, BASE), F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

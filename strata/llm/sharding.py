@@ -4,9 +4,11 @@ Rows are shuffled by a seeded hash within each source and ranked; their fraction
 source, interleaves the sources in proportion; cutting that order into equal counts gives each shard the whole
 mixture. Both orders are counted over ranges first, so neither a hot source nor the whole order lies in one task.
 
-Nulls and edges: a null source is a source of its own; a null text has 0 bytes; a null id hashes as an empty string;
-rows that tie are ordered by checksum and size, and those that tie still are interchangeable; an empty table gives an
-empty result; shards beyond the number of rows stay empty.
+Keys hash id and text, so rows of a null or repeated id are spread like others.
+
+Nulls and edges: a null source is a source of its own; a null text is empty and has 0 bytes; a null id hashes as an empty
+string; rows that tie are ordered by checksum and size, and those that tie still, repeated rows, are interchangeable; an
+empty table gives an empty result; shards beyond the number of rows stay empty; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import picked
+from strata.llm.common import checkpoints, picked
 from strata.llm.mixing import hash_key, source_group
 from strata.plans.prefix import prefix_sums
 
@@ -28,9 +30,10 @@ def shards(docs: DataFrame, n: int = SHARDS, seed: str = SEED) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = picked(docs, "doc_id", "text", "source").select(
         "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        source_group(F.col("source")).alias("grp"), hash_key(F.col("doc_id"), seed).alias("key"),
+        source_group(F.col("source")).alias("grp"), hash_key(F.col("doc_id"), F.col("text"), seed).alias("key"),
     )
-    rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    checkpoints(docs.sparkSession)
+    rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS)).checkpoint()  # narrow: texts are read once
     tie = [F.col("key"), F.col("text_crc32"), F.col("size")]
     ranked = prefix_sums(rows, ["grp"], "range", tie, {"rank": F.lit(1)})
     counts = rows.groupBy("grp").agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 import corpus_pipeline
 from strata.llm import mixing, neardup, quality, secrets, tokens
+from strata.llm.common import checkpoints
 from strata.llm.queries import ORACLE, QUERIES
+from strata.sources.files import HadoopFiles
 
 
 def test_stages(spark, sf_dir):
@@ -26,6 +28,29 @@ def test_stages(spark, sf_dir):
     assert sorted(map(tuple, whole.select(*key).collect())) == sorted(map(tuple, tokens.digests(mixed).select(*key).collect()))
 
 
+def test_stages_on_hard_rows(spark, hard, none, sf_dir):
+    """Nulls, empty and long texts, repeated rows, an empty table and clashing names go through all stages."""
+    docs = hard
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, sf_dir)
+        rows = docs.count()
+        assert name == "bpe" or docs.columns == hard.columns
+        assert rows <= before.count() or name == "mixing"
+    assert rows > 0
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.count() == 0
+
+
+def test_run_leaves_only_what_the_result_reads(spark, sf_dir):
+    files = HadoopFiles(spark, checkpoints(spark))
+    stages = lambda: {tuple(n.split("/")[:2]) for n in files.list("") if n.startswith("pipeline-")}
+    before = stages()
+    corpus_pipeline.run(spark, sf_dir)
+    assert [n for _, n in stages() - before] == ["mixing"]
+
+
 def test_every_operator_is_registered():
     assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 11)) and set(ORACLE) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "secret_scan", "mixing", "bpe"]
