@@ -126,7 +126,7 @@ def linked(fps: np.ndarray) -> np.ndarray:
 
 def parts_of(batches, names: tuple[str, ...]):
     """(first, key, columns) of the runs of equal keys in batches sorted by the first of `names`; a run that spans batches
-    comes in parts, of which only the first says so."""
+    comes in parts, of which only the first says so. Runs of one row inside a batch, most of all, are left out."""
     last = None
     for b in batches:
         if not b.num_rows:
@@ -134,9 +134,12 @@ def parts_of(batches, names: tuple[str, ...]):
         columns = [b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
         keys = columns[0]
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        for i, j in zip(cuts, np.append(cuts[1:], len(keys))):
-            yield keys[i] != last, int(keys[i]), [c[i:j] for c in columns[1:]]
-            last = keys[i]
+        size = np.diff(np.append(cuts, len(keys)))
+        size[[0, -1]] += 1  # these may go on in other batches
+        for r in np.flatnonzero(size > 1):
+            i, j = cuts[r], cuts[r + 1] if r + 1 < len(cuts) else len(keys)
+            yield r > 0 or keys[i] != last, int(keys[i]), [c[i:j] for c in columns[1:]]
+        last = keys[-1]
 
 
 def rows_of(kind: int, u, v) -> pa.RecordBatch:
@@ -148,14 +151,16 @@ def search_lists(longest: int):
     """From batches (key, fp) sorted by both: EDGE rows (u, v) of each posting list; of a list longer than `longest`
     instead its ENTRY rows (key, fp) as they come, and an END row (key, entries)."""
     def run(batches):
-        key, held, size = None, [], 0
+        key, held, size, ready = None, [], 0, 0
         edges: list[np.ndarray] = []
 
         def finish():
+            nonlocal ready
             if size > longest:
                 return rows_of(END, [key], [size])
             if size > 1:
                 edges.append(linked(np.concatenate(held)))
+                ready += len(edges[-1])
             return None
 
         for first, k, (fps,) in parts_of(batches, ("key", "fp")):
@@ -168,9 +173,10 @@ def search_lists(longest: int):
             if size > longest:
                 yield from (rows_of(ENTRY, np.full(len(h), key), h) for h in held)
                 held = []
-            if sum(map(len, edges)) > 10_000:
+            if ready > 10_000:
                 yield rows_of(EDGE, *np.concatenate(edges).T)
-                edges = []
+                edges.clear()
+                ready = 0
         if key is not None and (end := finish()) is not None:
             yield end
         if edges:
@@ -243,7 +249,7 @@ def grouped(rows: DataFrame, longest: int = LONGEST, wide_from: int = WIDE_FROM)
     spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     known = linked.join(spread, ["root", "salt"]).select("fp", "root", "least")
     whole = prints.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(whole, "fp")
+    return marked.join(whole.checkpoint(), "fp")  # alone in its stage: a join that adaptive execution can split
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
