@@ -117,7 +117,7 @@ def kv_ordered_position(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("kv_ordered_position", kv_ordered_position, f"SELECT key, row_number() OVER (ORDER BY key) AS position FROM ({view()})")
-add("kv_next_key", lambda s, d: reads.neighbours(reads.visible_at(events_log(s, d)), F.substring("key", 1, 14)).select("key", "next_key"), f"SELECT key, lead(key) OVER (PARTITION BY substr(key, 1, 14) ORDER BY key) AS next_key FROM ({view()})")
+add("kv_next_key", lambda s, d: reads.neighbours(reads.visible_at(events_log(s, d)), F.substring("key", 1, 14)).select("key", "next_key"), f"SELECT key, lead(key) OVER (ORDER BY key) AS next_key FROM ({view()})")
 add("kv_reverse_first_n", lambda s, d: reads.visible_at(events_log(s, d)).orderBy(F.desc("key")).limit(5), view() + " ORDER BY key DESC LIMIT 5")
 
 # Version analytics.
