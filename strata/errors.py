@@ -33,6 +33,10 @@ class InvalidValueError(StoreError):
     """A value is longer than the limit."""
 
 
+class InvalidOrdinalError(StoreError):
+    """A frame's ordinal is null or stands twice: the order of its rows isn't given."""
+
+
 class BatchTooLargeError(StoreError):
     """A batch has too many entries or bytes."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.plans.prefix import neighbour_in_order
 from strata.schema import MAX_SEQ, SET
 
 
@@ -88,12 +89,7 @@ def neighbours(view: DataFrame, bucket: Column) -> DataFrame:
     Buckets must follow the key order and not be null. The next key is looked for inside each bucket; the last row of a
     bucket takes the least key of the next one that has rows, from a window over the buckets' least keys alone.
     """
-    rows = view.withColumn("__bucket", bucket)
-    firsts = rows.groupBy("__bucket").agg(F.min("key").alias("__first"))
-    after = firsts.select("__bucket", F.lead("__first").over(Window.orderBy("__bucket")).alias("__after"))
-    inside = Window.partitionBy("__bucket").orderBy("key")
-    out = rows.join(after, "__bucket")
-    return out.withColumn("next_key", F.coalesce(F.lead("key").over(inside), "__after")).drop("__bucket", "__after")
+    return neighbour_in_order(view.withColumn("__bucket", bucket), [], "__bucket", "key", F.col("key"), "next_key").drop("__bucket")
 
 
 def oldest_snapshot(pins: DataFrame) -> DataFrame:

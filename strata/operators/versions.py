@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.reads import latest_versions, visible_at
-from strata.plans.prefix import prefix_sums
+from strata.plans.prefix import neighbour_in_order, prefix_sums
 from strata.schema import DELETE, MAX_SEQ, SET
 
 #: Sequence numbers that share a bucket of a global prefix sum.
 SEQ_BUCKET = 65_536
 
 
+def seq_bucket(width: int = SEQ_BUCKET) -> Column:
+    return F.floor(F.col("seq") / width)
+
+
 def version_history(log: DataFrame) -> DataFrame:
-    """Each version with the half-open interval [seq, next_seq) in which it is the newest; null: still newest."""
-    w = Window.partitionBy("key").orderBy("seq")
-    return log.withColumns({"next_seq": F.lead("seq").over(w), "version": F.row_number().over(w).cast("long")})
+    """Each version with the half-open interval [seq, next_seq) in which it is the newest; null: still newest.
+
+    A key's versions are ordered by ranges of seq, so a key with a third of all rows is spread over tasks.
+    """
+    rows = neighbour_in_order(log.withColumn("__bucket", seq_bucket()), ["key"], "__bucket", "seq", F.col("seq"), "next_seq")
+    out = prefix_sums(rows, ["key"], "__bucket", [F.col("seq")], {"__rank": F.lit(1)})
+    return out.withColumn("version", (F.col("__rank") + 1).cast("long")).select(*log.columns, "next_seq", "version")
 
 
 def snapshot_diff(log: DataFrame, old: int, new: int) -> DataFrame:
@@ -35,10 +43,13 @@ def snapshot_diff(log: DataFrame, old: int, new: int) -> DataFrame:
 
 
 def gc_versions(log: DataFrame, oldest: int = MAX_SEQ) -> DataFrame:
-    """Drop each version whose next-newer version is already visible to the oldest snapshot."""
-    w = Window.partitionBy("key").orderBy(F.col("seq").desc())
-    newer = log.withColumn("__newer", F.lag("seq").over(w))
-    return newer.where(F.col("__newer").isNull() | (F.col("__newer") > oldest)).drop("__newer")
+    """Drop each version whose next-newer version is already visible to the oldest snapshot.
+
+    What stays are all versions after that snapshot and the newest that it sees; those are chosen in each task
+    before the shuffle, so a key with a third of all rows moves no more than others.
+    """
+    seen = latest_versions(log, oldest)
+    return seen if oldest >= MAX_SEQ else log.where(F.col("seq") > F.lit(oldest)).unionByName(seen)
 
 
 def drop_tombstones(kept: DataFrame, oldest: int = MAX_SEQ, deeper: list[tuple] = ()) -> DataFrame:
@@ -108,15 +119,19 @@ def live_keys_over_time(log: DataFrame, bucket_width: int = SEQ_BUCKET) -> DataF
 
     Each mutation adds the change in its own key's liveness; the running sum is a bucketed prefix sum over seq.
     """
-    w = Window.partitionBy("key").orderBy("seq")
     alive = (F.col("kind") == SET).cast("long")
-    delta = log.select("seq", (alive - F.coalesce(F.lag(alive).over(w), F.lit(0))).alias("delta"), F.floor(F.col("seq") / bucket_width).alias("__bucket"))
+    marked = log.select("key", "seq", alive.alias("alive"), seq_bucket(bucket_width).alias("__bucket"))
+    before = neighbour_in_order(marked, ["key"], "__bucket", "seq", F.col("alive"), "was", ahead=False)
+    delta = before.select("seq", (F.col("alive") - F.coalesce("was", F.lit(0))).alias("delta"), "__bucket")
     sums = prefix_sums(delta, [], "__bucket", [F.col("seq")], {"before": F.col("delta")})
     return sums.select("seq", (F.col("before") + F.col("delta")).cast("long").alias("live_keys"))
 
 
 def assign_seq(batch: DataFrame, base: int, ordinal: str = "ordinal", bucket_width: int = SEQ_BUCKET) -> DataFrame:
-    """seq = base + rank of the ordinal: rows are counted by bucket of ordinals, then ranked inside each."""
+    """seq = base + rank of the ordinal: rows are counted by bucket of ordinals, then ranked inside each.
+
+    Ordinals must not be null, nor stand twice: ties would be ranked in any order. write_frame() rejects both.
+    """
     marked = batch.withColumn("__bucket", F.floor(F.col(ordinal) / bucket_width))
     out = prefix_sums(marked, [], "__bucket", [F.col(ordinal)], {"__rank": F.lit(1)})
     return out.withColumn("seq", (F.col("__rank") + F.lit(base)).cast("long")).drop("__rank", "__bucket")

@@ -39,6 +39,6 @@ def inputs(state: State, level: int) -> tuple[list[Run], list[Run]]:
     return mine, [r for r in state.levels[level + 1] if r.overlaps(lo, hi)]
 
 
-def deeper_ranges(state: State, level: int) -> list[tuple[bytes, bytes]]:
-    """Key ranges of the runs below a level: tombstones there still shadow something."""
-    return [(bytes.fromhex(r.lo), bytes.fromhex(r.hi)) for n in range(level + 1, LEVELS) for r in state.levels[n]]
+def deeper_ranges(state: State, level: int, lo: bytes, hi: bytes) -> list[tuple[bytes, bytes]]:
+    """Key ranges of the runs below a level that meet [lo, hi]: tombstones there still shadow something."""
+    return [(bytes.fromhex(r.lo), bytes.fromhex(r.hi)) for n in range(level + 1, LEVELS) for r in state.levels[n] if r.overlaps(lo, hi)]

@@ -29,15 +29,16 @@ SYNC_ALWAYS, SYNC_OFF, SYNC_INTERVAL = 0, 1, 2
 
 @dataclass(frozen=True)
 class Options:
-    """Store options; any number <= 0 means its default."""
+    """Store options; any number <= 0 means its default. Sizes are those of Parquet files and row groups, not of an engine
+    in one process: block_bytes is a row group's, bloom_bits_per_key sets the rate of false positives of the key's filter."""
 
-    memtable_bytes: int = 4 << 20
-    block_bytes: int = 4 << 10
+    memtable_bytes: int = 64 << 20
+    block_bytes: int = 8 << 20
     bloom_bits_per_key: int = 10
     l0_trigger: int = 4
     l0_stall: int = 12
-    base_level_bytes: int = 10 << 20
-    target_file_bytes: int = 4 << 20
+    base_level_bytes: int = 1 << 30
+    target_file_bytes: int = 128 << 20
     sync_interval_ms: int = 100
     sync: int = SYNC_ALWAYS
     auto_compact: bool = True
