@@ -10,13 +10,15 @@ from __future__ import annotations
 import json
 import os
 import socket
+import threading
 import time
 from collections import Counter
+from functools import wraps
 from itertools import count
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata import errors, schema as S
@@ -26,11 +28,23 @@ from strata.plans import compaction, reading
 from strata.sources import manifest as M
 from strata.sources.files import files_for
 
-LOCK, BROKEN, RUNS, PINS = "LOCK", "broken", "runs", "pins"
+LOCK, BROKEN, RUNS, PINS, STAGE = "LOCK", "broken", "runs", "pins", "stage"
+#: A run that is written by many tasks has files of this share of the target size at least.
+LEAST_SHARE = 16
 #: Failures of automatic maintenance in a row that make a store read-only.
 MOST_FAILURES = 3
 
 
+def exclusive(method):
+    """A method of a store that the ticker's thread must not run into."""
+    @wraps(method)
+    def run(self, *args, **options):
+        with self._mutex:
+            return method(self, *args, **options)
+
+    return run
+
+
 class Batch:
     """Mutations committed together; the first invalid entry makes every later call and the commit fail."""
 
@@ -99,7 +113,10 @@ class View:
         return bytes(row["value"])
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        log, plain = self.parts()
+        """A row (key, found, value) for each distinct key; only runs that can hold keys from the least to the greatest are read."""
+        ends = keys.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+        bounds = (None, None) if ends["lo"] is None else (bytes(ends["lo"]), bytes(ends["hi"]) + b"\0")
+        log, plain = self.parts(*bounds)
         return reads.multi_get(log, keys, plain=plain)
 
     def cursor(self, lower: bytes | None = None, upper: bytes | None = None) -> Cursor:
@@ -111,13 +128,18 @@ class Cursor:
 
     def __init__(self, view: View, lower: bytes | None, upper: bytes | None):
         self.view, self.lower, self.upper = View(view.store, view.state, view.seq), lower, upper
-        self.rows, self.row, self.closed = None, None, False
+        self.rows, self.row, self.closed, self.failure = None, None, False, None
         view.store.handles += 1
 
     def _from(self, start: bytes | None) -> bool:
         if self.closed:
             raise errors.ClosedError("cursor")
-        self.rows = self.view.scan(start, self.upper).orderBy("key").toLocalIterator()
+        self.failure = None
+        try:
+            self.rows = self.view.scan(start, self.upper).orderBy("key").toLocalIterator()
+        except Exception as e:
+            self.rows, self.row, self.failure = None, None, e
+            return False
         return self.next()
 
     def first(self) -> bool:
@@ -127,9 +149,17 @@ class Cursor:
         return self._from(max((x for x in (key, self.lower) if x is not None), default=None))
 
     def next(self) -> bool:
-        self.row = next(self.rows, None) if self.rows is not None and not self.closed else None
+        """Step on; False at the end, and after a failure, which error() tells apart."""
+        try:
+            self.row = next(self.rows, None) if self.rows is not None and not self.closed else None
+        except Exception as e:
+            self.rows, self.row, self.failure = None, None, e
         return self.row is not None
 
+    def error(self) -> Exception | None:
+        """What ended the walk before its end; a new first() or seek_ge() starts afresh."""
+        return self.failure
+
     def valid(self) -> bool:
         return self.row is not None
 
@@ -177,15 +207,16 @@ class Store:
                 state = M.install(self.files, M.State())
             for pin in self.files.list(PINS):  # of holders before this one: their snapshots ended with them
                 self.files.delete(pin)
-            there = self.files.list(RUNS)
-            if lost := [r.path for r in state.runs() if not any(n == r.path or n.startswith(r.path + "/") for n in there)]:
+            sizes = sizes_by_path(self.files.list(RUNS))
+            if lost := [r.path for r in state.runs() if r.path not in sizes]:
                 raise errors.CorruptionError(f"missing {lost}")
         except BaseException:
             self.files.delete(LOCK)
             raise
         self.state, self.handles, self.failure, self.closed = state, 0, None, False
         self.counters: Counter = Counter()
-        self._pins = count(1)
+        self.last_error: Exception | None = None  # of automatic maintenance or of the ticker
+        self._pins, self._mutex, self._ticker = count(1), threading.RLock(), None
 
     def _lock(self) -> bool:
         """Take the lease, also from a process of this host that is no more.
@@ -269,13 +300,29 @@ class Store:
         self._writable()
         if not batch.rows:
             return
-        self.pending += batch.rows
-        self.pending_bytes += batch.encoded_bytes()
-        mode = self.options.sync
-        late = mode == S.SYNC_INTERVAL and (self.clock() - self.synced) * 1000 >= self.options.sync_interval_ms
-        if mode == S.SYNC_ALWAYS or late or self.pending_bytes >= self.options.memtable_bytes:
-            self.sync()
-
+        with self._mutex:
+            self.pending += batch.rows
+            self.pending_bytes += batch.encoded_bytes()
+            mode = self.options.sync
+            late = mode == S.SYNC_INTERVAL and (self.clock() - self.synced) * 1000 >= self.options.sync_interval_ms
+            if mode == S.SYNC_ALWAYS or late or self.pending_bytes >= self.options.memtable_bytes:
+                self.sync()
+            elif mode == S.SYNC_INTERVAL and self.clock is time.monotonic and self._ticker is None:
+                self._ticker = threading.Timer(self.options.sync_interval_ms / 1000, self._tick)
+                self._ticker.daemon = True
+                self._ticker.start()
+
+    def _tick(self) -> None:
+        """Commit what is held when the interval has passed, also if nothing else is called."""
+        with self._mutex:
+            self._ticker = None
+            try:
+                if not self.closed:
+                    self.sync()
+            except Exception as e:
+                self.last_error = e  # the store is read-only now, as after any failed commit
+
+    @exclusive
     def sync(self) -> None:
         """Commit the batches held; a store that failed keeps them unseen."""
         if not self.pending or self.failure:
@@ -284,44 +331,78 @@ class Store:
         seqs = range(self.state.last_seq + 1, self.state.last_seq + 1 + len(keys))
         columns = [pa.array(keys, pa.binary()), pa.array(seqs, pa.int64()), pa.array(kinds, pa.int8()), pa.array(values, pa.binary())]
         payload, self.pending, self.pending_bytes = self.pending_bytes, [], 0
-        self._commit(self.spark.createDataFrame(pa.table(columns, names=S.LOG.names)).coalesce(1), payload)
+        user = sum(len(k) + len(v or b"") for k, v in zip(keys, values))
+        self._commit(self.spark.createDataFrame(pa.table(columns, names=S.LOG.names)).coalesce(1), payload, user)
         self.synced = self.clock()
 
+    @exclusive
     def write_frame(self, rows: DataFrame, stream: tuple[str, int] | None = None) -> None:
-        """Commit rows (ordinal, key, kind, value) of any number as one batch, numbered in the order of `ordinal`.
+        """Commit rows (ordinal, key, kind, value) of any number as one batch, numbered in the order of `ordinal`, which must
+        be neither null nor repeated.
 
         With stream = (name, batch id), a batch id that the manifest already names is skipped: replays change nothing.
+        The rows are written to a folder of the store first, so a source that gives other rows each time it is evaluated is
+        evaluated once: what is checked, numbered and committed are the same rows.
         """
         self._writable()
         if stream and stream[1] <= self.state.streams.get(stream[0], -1):
             return
-        bad = rows.agg(F.count_if(~K.valid_key(F.col("key"))).alias("k"), F.count_if(~K.valid_value(F.col("kind"), F.col("value"))).alias("v"), F.count_if(F.coalesce(~F.col("kind").isin(S.SET, S.DELETE), F.lit(True))).alias("kind"), F.count("*").alias("n"), F.sum(K.entry_bytes(F.col("kind"), F.col("key"), F.col("value"))).alias("bytes")).first()
-        if bad["k"]:
-            raise errors.InvalidKeyError(f"{bad['k']} keys")
-        if bad["v"]:
-            raise errors.InvalidValueError(f"{bad['v']} values")
-        if bad["kind"]:
-            raise errors.CorruptionError(f"{bad['kind']} entries of no kind")
-        if not bad["n"]:
+        folder = f"{STAGE}/{uuid4().hex}"
+        try:
+            self._write_staged(rows, folder, stream)
+        finally:
+            self.files.delete(folder)
+
+    def _write_staged(self, rows: DataFrame, folder: str, stream: tuple[str, int] | None) -> None:
+        seen, key, kind, value = Observation(), F.col("key"), F.col("kind"), F.col("value")
+        rows = rows.select("ordinal", "key", "kind", "value").observe(
+            seen,
+            F.count("*").alias("n"),
+            F.count_if(~K.valid_key(key)).alias("keys"),
+            F.count_if(~K.valid_value(kind, value)).alias("values"),
+            F.count_if(F.coalesce(~kind.isin(S.SET, S.DELETE), F.lit(True))).alias("kinds"),
+            F.count_if(F.col("ordinal").isNull()).alias("ordinals"),
+            F.sum(K.entry_bytes(kind, key, value)).alias("bytes"),
+            F.sum(F.octet_length(key) + F.when(kind == S.SET, F.coalesce(F.octet_length(value), F.lit(0))).otherwise(0)).alias("user"),
+        )
+        rows.write.parquet(self.files.path(folder))
+        found = seen.get
+        if found["keys"]:
+            raise errors.InvalidKeyError(f"{found['keys']} keys")
+        if found["values"]:
+            raise errors.InvalidValueError(f"{found['values']} values")
+        if found["kinds"]:
+            raise errors.CorruptionError(f"{found['kinds']} entries of no kind")
+        if found["ordinals"]:
+            raise errors.InvalidOrdinalError(f"{found['ordinals']} null ordinals")
+        if not found["n"]:
             return
+        staged = self.spark.read.schema(rows.schema).parquet(self.files.path(folder))
+        if staged.select("ordinal").distinct().count() != found["n"]:
+            raise errors.InvalidOrdinalError("ordinals stand twice")
         self.sync()
-        numbered = versions.assign_seq(rows, self.state.last_seq + 1)
-        value = F.when(F.col("kind") == S.SET, F.coalesce(F.col("value"), F.lit(b"")))
-        log = numbered.select("key", "seq", F.col("kind").cast("byte").alias("kind"), value.alias("value"))
-        self._commit(log, bad["bytes"] + S.BATCH_HEADER_BYTES, stream)
+        numbered = versions.assign_seq(staged, self.state.last_seq + 1)
+        put = F.when(F.col("kind") == S.SET, F.coalesce(F.col("value"), F.lit(b"")))
+        log = numbered.select("key", "seq", F.col("kind").cast("byte").alias("kind"), put.alias("value"))
+        self._commit(log, found["bytes"] + S.BATCH_HEADER_BYTES, found["user"], stream, bulk=found["bytes"] >= self.options.memtable_bytes)
 
-    def _commit(self, log: DataFrame, payload: int, stream: tuple[str, int] | None = None) -> None:
+    def _commit(self, log: DataFrame, payload: int, user: int, stream: tuple[str, int] | None = None, bulk: bool = False) -> None:
+        """Publish a log as a delta; a bulk one at once as a run of level 0, in files of disjoint keys, which flush() would make of it."""
         if len(self.state.levels[0]) >= self.options.l0_stall and self.options.auto_compact:
             self.counters["stalls"] += 1
             self.compact()
         with self._sticky():
             num, state = self.state.next_num, self.state
-            (run,) = self._write_run(log.sortWithinPartitions("key", F.desc("seq")), num, whole=True)
+            rows = self._clustered(log, self._files(payload)) if bulk else log.sortWithinPartitions("key", F.desc("seq"))
+            (run,) = self._write_run(rows, num, whole=True)
             streams = state.streams | ({stream[0]: stream[1]} if stream else {})
-            self.state = M.install(self.files, state.changed(next_num=num + 1, last_seq=run.max_seq, tail=(*state.tail, run), streams=streams))
+            placed = {"levels": ((*state.levels[0], run), *state.levels[1:])} if bulk else {"tail": (*state.tail, run)}
+            self.state = M.install(self.files, state.changed(next_num=num + 1, last_seq=run.max_seq, streams=streams, **placed))
         self.counters["log_bytes"] += payload
-        held = sum(r.size for r in self.state.tail)
-        if held >= self.options.memtable_bytes:
+        self.counters["user_bytes"] += user
+        if bulk:
+            self.counters["flush_bytes"] += run.size
+        if bulk or sum(r.size for r in self.state.tail) >= self.options.memtable_bytes:
             self._maintain()
 
     def _maintain(self) -> None:
@@ -335,7 +416,8 @@ class Store:
             if self.options.auto_compact and compaction.pick(self.state, self.options) is not None:
                 self.compact()
             self.failures = 0
-        except Exception:
+        except Exception as e:
+            self.last_error = e
             self.failures += 1
             self.counters["failed_maintenance"] += 1
             if self.failures < MOST_FAILURES:
@@ -344,19 +426,36 @@ class Store:
     def _write_run(self, rows: DataFrame, num: int, whole: bool, single: bool = False) -> list[M.Run]:
         """Write rows as Parquet and describe them: as one run, or each file as a run of its own; single: one version a key."""
         folder = f"{RUNS}/{num:06d}-{uuid4().hex[:8]}"  # a number may come again after a failed commit
-        rows.write.option("parquet.bloom.filter.enabled#key", "true").parquet(self.files.path(folder))
-        sizes = {n: s for n, s in self.files.list(folder).items() if n.endswith(".parquet")}
+        stats = [
+            F.count("*").alias("n"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"),
+            F.min("seq").alias("a"), F.max("seq").alias("b"), F.count_if(F.col("kind") != S.SET).alias("dead"),
+        ]
+        seen = Observation()
+        out = rows.observe(seen, *stats) if whole else rows
+        options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        options["parquet.bloom.filter.fpp#key"] = f"{0.6185 ** self.options.bloom_bits_per_key:.6f}"
+        out.write.options(**options).option("parquet.block.size", self.options.block_bytes).parquet(self.files.path(folder))
+        sizes = sizes_by_path(self.files.list(folder))
+        if whole:  # its figures were taken while it was written
+            r = seen.get
+            return [M.Run(num, folder, sizes[folder], r["n"], r["lo"], r["hi"], r["a"], r["b"], single and not r["dead"])] if r["n"] else []
+        # One file a run: narrow columns are read back for each file's figures.
         back = self.spark.read.schema(S.LOG).parquet(self.files.path(folder)).withColumn("file", F.col("_metadata.file_name"))
-        by = [] if whole else ["file"]
-        stats = back.groupBy(*by).agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"), F.min("seq").alias("a"), F.max("seq").alias("b"), F.count_if(F.col("kind") != S.SET).alias("dead")).where("n > 0").collect()
+        found = back.groupBy("file").agg(*stats).where("n > 0").collect()
         out = []
-        for i, r in enumerate(sorted(stats, key=lambda r: bytes.fromhex(r["lo"]))):
-            path = folder if whole else f"{folder}/{r['file']}"
-            out.append(M.Run(num + i, path, sum(s for n, s in sizes.items() if n.startswith(path)), r["n"], r["lo"], r["hi"], r["a"], r["b"], single and not r["dead"]))
+        for i, r in enumerate(sorted(found, key=lambda r: bytes.fromhex(r["lo"]))):
+            path = f"{folder}/{r['file']}"
+            out.append(M.Run(num + i, path, sizes[path], r["n"], r["lo"], r["hi"], r["a"], r["b"], single and not r["dead"]))
         return out
 
+    def _files(self, size: int) -> int:
+        """Files of a run of level 0: of the target size, or smaller ones if that keeps more cores busy."""
+        target = self.options.target_file_bytes
+        return max(1, -(-size // target), min(self.spark.sparkContext.defaultParallelism, size * LEAST_SHARE // target))
+
     # Maintenance.
 
+    @exclusive
     def flush(self) -> None:
         """Make one level-0 run of all deltas."""
         self._writable()
@@ -366,8 +465,7 @@ class Store:
         with self._sticky():
             state, num = self.state, self.state.next_num
             rows = versions.dedupe_replay(self.read(state.tail))
-            files = max(1, -(-sum(r.size for r in state.tail) // self.options.target_file_bytes))
-            (run,) = self._write_run(self._clustered(rows, files), num, whole=True)
+            (run,) = self._write_run(self._clustered(rows, self._files(sum(r.size for r in state.tail))), num, whole=True)
             levels = ((*state.levels[0], run), *state.levels[1:])
             self.state = M.install(self.files, state.changed(next_num=num + 1, tail=(), levels=levels))
             self.counters["flushes"] += 1
@@ -378,12 +476,14 @@ class Store:
         dealt = rows.repartitionByRange(files, "key") if files > 1 else rows.coalesce(1)
         return dealt.sortWithinPartitions("key", F.desc("seq"))
 
+    @exclusive
     def compact(self) -> None:
         """Flush, then rewrite levels until none is due."""
         self.flush()
         while (level := compaction.pick(self.state, self.options)) is not None:
             self.compact_level(level)
 
+    @exclusive
     def compact_level(self, level: int) -> None:
         """Merge a level's chosen runs with those of the next that they overlap, dropping what no snapshot can see."""
         self._writable()
@@ -391,8 +491,16 @@ class Store:
             state, oldest, num = self.state, self.oldest_snapshot(), self.state.next_num
             mine, below = compaction.inputs(state, level)
             used = {r.num for r in (*mine, *below)}
-            kept = versions.gc_versions(versions.dedupe_replay(self.read([*mine, *below])), min(oldest, state.last_seq))
-            kept = versions.drop_tombstones(kept, min(oldest, state.last_seq), compaction.deeper_ranges(state, level + 1))
+            oldest = min(oldest, state.last_seq)
+            log = self.read([*mine, *below])
+            kept = versions.latest_versions(log, oldest)
+            if oldest < state.last_seq:  # some snapshot needs older versions: all that came after it stay
+                kept = versions.dedupe_replay(log.where(F.col("seq") > oldest)).unionByName(kept)
+            deeper = versions.merged_ranges(compaction.deeper_ranges(state, level + 1, *compaction.key_range([*mine, *below])))
+            if deeper:
+                kept = versions.drop_covered_tombstones(kept, oldest, self.spark.createDataFrame(deeper, "lo binary, hi binary"))
+            else:
+                kept = versions.drop_tombstones(kept, oldest)
             files = max(1, -(-sum(r.size for r in (*mine, *below)) // self.options.target_file_bytes))
             made = self._write_run(self._clustered(kept, files), num, whole=False, single=oldest >= state.last_seq)
             levels = [tuple(r for r in x if r.num not in used) for x in state.levels]
@@ -402,6 +510,7 @@ class Store:
             self.counters["compactions"] += 1
             self.counters["compaction_bytes"] += sum(r.size for r in made)
 
+    @exclusive
     def vacuum(self) -> list[str]:
         """Delete runs and manifests that neither the newest manifest nor a pinned one needs; the names that went."""
         self._writable()
@@ -414,19 +523,22 @@ class Store:
         return gone
 
     def unused(self, live: set[str]) -> list[str]:
-        """Run folders that no live path lies in, and single files of the others."""
+        """Run folders that no live path lies in, and single files of the others; what a writer left staged."""
         there = self.files.list(RUNS)
-        folders = {"/".join(n.split("/")[:2]) for n in there}
-        dead = {f for f in folders if not any(p == f or p.startswith(f + "/") for p in live)}
-        return sorted(dead) + [n for n in there if "/".join(n.split("/")[:2]) not in dead and not any(n == p or n.startswith(p + "/") for p in live)]
+        used = {folder_of(p) for p in live}
+        dead = {folder_of(n) for n in there} - used
+        return sorted(dead) + [n for n in there if folder_of(n) in used and n not in live and folder_of(n) not in live]
 
     def close(self) -> None:
         """Give the lease up; deltas stay deltas."""
         self._open()
         if self.handles:
             raise errors.OpenHandlesError(f"{self.handles} open")
-        self.sync()
-        self.closed = True
+        with self._mutex:
+            self.sync()
+            self.closed = True
+            if self._ticker:
+                self._ticker.cancel()
         self.files.delete(LOCK)
 
     # State and checks.
@@ -442,24 +554,59 @@ class Store:
         rows = sorted(self.counters.items()) + [(f"level_{n}_{k}", v) for n, x in enumerate(self.state.levels) for k, v in (("tables", len(x)), ("bytes", sum(r.size for r in x)))]
         return self.spark.createDataFrame(rows, "name string, value long")
 
-    def check(self) -> DataFrame:
-        """Violations (tag, detail) of the store's invariants; none on a sound store."""
+    def amplification(self) -> DataFrame:
+        """(write_amp, space_amp) of this handle: bytes written against the users' bytes, and bytes of runs against those of live rows."""
+        row = self.view().scan().agg(F.sum(F.octet_length("key") + F.octet_length("value")).cast("long").alias("live"))
+        c, size = self.counters, sum(r.size for r in self.state.runs())
+        user, live = F.lit(c["user_bytes"]), F.col("live")
+        out = storage.amplification(user, F.lit(c["log_bytes"]), F.lit(c["flush_bytes"]), F.lit(c["compaction_bytes"]), live)
+        return row.select(F.when(user > 0, out["write_amp"]).alias("write_amp"), (F.lit(size) / live).alias("space_amp"))
+
+    def check(self, strict: bool = True) -> DataFrame:
+        """Violations (tag, detail) of the store's invariants; none on a sound store.
+
+        Without `strict`, what a crash may leave (orphans, staged and temporary files) is no violation.
+        """
         there, state, rows = self.files.list(RUNS), self.state, []
-        size = lambda p: sum(s for n, s in there.items() if (n == p or n.startswith(p + "/")) and n.endswith(".parquet"))
-        rows += [("missing", r.path) for r in state.runs() if size(r.path) != r.size]
-        known = {r.path for r in state.runs()}
-        rows += [("orphan", n) for n in there if not any(n == p or n.startswith(p + "/") for p in known)]
+        sizes, known = sizes_by_path(there), {r.path for r in state.runs()}
+        rows += [("missing", r.path) for r in state.runs() if sizes.get(r.path) != r.size]
+        if strict:
+            rows += [("orphan", n) for n in there if n not in known and folder_of(n) not in known]
+            rows += [("temporary", n) for f in (M.FOLDER, PINS, STAGE) for n in self.files.list(f) if f == STAGE or n.endswith(".tmp")]
         rows += [("number", r.path) for r in state.runs() if r.num >= state.next_num]
         rows += [("last_seq", r.path) for r in state.runs() if r.max_seq > state.last_seq]
+        for level in state.levels[1:]:
+            ordered = sorted(level, key=lambda r: bytes.fromhex(r.lo))
+            rows += [("disjoint", a.path) for a, b in zip(ordered, ordered[1:]) if bytes.fromhex(b.lo) <= bytes.fromhex(a.hi)]
         out = self.spark.createDataFrame(rows, "tag string, detail string")
-        leveled = self.manifest().where("level > 0")
-        out = out.unionByName(storage.disjoint_violations(leveled).select(F.lit("disjoint").alias("tag"), F.col("path").alias("detail")))
-        for r in (r for r in state.runs() if size(r.path)):
-            got = self.read([r]).agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"), F.max("seq").alias("s"), F.count_distinct("key", "seq").alias("d"), F.count_distinct("key").alias("keys"), F.count_if(F.col("kind") == S.SET).alias("sets"))
-            ok = (F.col("n") == r.entries) & (F.col("lo") == r.lo) & (F.col("hi") == r.hi) & (F.col("s") == r.max_seq) & (F.col("d") == F.col("n"))
-            ok = ok & (~F.lit(r.plain) | ((F.col("keys") == F.col("n")) & (F.col("sets") == F.col("n"))))
-            out = out.unionByName(got.where(~F.coalesce(ok, F.lit(False))).select(F.lit("content").alias("tag"), F.lit(r.path).alias("detail")))
-        return out
+        runs = [r for r in state.runs() if r.path in sizes]
+        return out.unionByName(self._content(runs, there)) if runs else out
+
+    def _content(self, runs: list[M.Run], there: dict[str, int]) -> DataFrame:
+        """Violations of what runs hold, by one scan over all: an unreadable file is reported, not raised."""
+        of = {r.path: r for r in runs}
+        files = [(n, p) for n in there for p in (n, folder_of(n)) if p in of and n.endswith(".parquet")]
+        rows = self.spark.read.schema(S.LOG).option("ignoreCorruptFiles", "true").parquet(*[self.files.path(n) for n, _ in files])
+        name = F.regexp_extract(F.col("_metadata.file_path"), f"{RUNS}/[^/]+/[^/]+$", 0)
+        rows = rows.select("key", "seq", "kind", name.alias("file"), F.col("_metadata.row_index").alias("position"))
+        before = Window.partitionBy("file").orderBy("position")  # a file has a bounded size
+        rows = rows.withColumns({"last": F.lag("key").over(before), "last_seq": F.lag("seq").over(before)})
+        same = F.col("last") == F.col("key")
+        stats = rows.groupBy("file").agg(
+            F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("seq").alias("seq"), F.count_if(F.col("kind") != S.SET).alias("dead"),
+            F.count_if((F.col("last") > F.col("key")) | (same & (F.col("last_seq") <= F.col("seq")))).alias("unordered"), F.count_if(same).alias("again"),
+        )
+        held = self.spark.createDataFrame(files, "file string, path string").join(stats, "file", "left")
+        held = held.groupBy("path").agg(
+            F.sum("n").alias("n"), F.hex(F.min("lo")).alias("lo"), F.hex(F.max("hi")).alias("hi"), F.max("seq").alias("seq"),
+            F.sum("dead").alias("dead"), F.sum("unordered").alias("unordered"), F.sum("again").alias("again"),
+        )
+        told = [(r.path, r.entries, r.lo.upper(), r.hi.upper(), r.max_seq, r.plain) for r in runs]
+        both = held.join(self.spark.createDataFrame(told, "path string, entries long, low string, high string, last long, plain boolean"), "path")
+        like = (F.col("n") == F.col("entries")) & (F.col("lo") == F.col("low")) & (F.col("hi") == F.col("high")) & (F.col("seq") == F.col("last"))
+        like = like & ~(F.col("plain") & ((F.col("dead") > 0) | (F.col("again") > 0)))
+        tags = F.array(F.when(~F.coalesce(like, F.lit(False)), "content"), F.when(F.col("unordered") > 0, "order"))
+        return both.select(F.explode(F.array_compact(tags)).alias("tag"), F.col("path").alias("detail"))
 
     def _open(self) -> None:
         if self.closed:
@@ -474,6 +621,21 @@ class Store:
         return _Sticky(self)
 
 
+def folder_of(path: str) -> str:
+    """The run folder that a file below it, or the folder itself, belongs to."""
+    return "/".join(path.split("/")[:2])
+
+
+def sizes_by_path(files: dict[str, int]) -> dict[str, int]:
+    """Bytes of each Parquet file, and of each run folder's together."""
+    out: Counter = Counter()
+    for n, size in files.items():
+        if n.endswith(".parquet"):
+            out[n] += size
+            out[folder_of(n)] += size
+    return out
+
+
 class _Sticky:
     """A failure inside makes the store read-only: whether a commit took place may be unknown until it is opened again."""
 
@@ -492,6 +654,6 @@ class _Sticky:
 def open_store(spark: SparkSession, path: str, options: S.Options | None = None, files=None, clock=time.monotonic) -> Store:
     """Open or create the store below a path. A run that no manifest names was never committed; it is removed."""
     store = Store(spark, path, options, files, clock)
-    for n in store.unused({r.path for r in store.state.runs()}):
+    for n in [*store.unused({r.path for r in store.state.runs()}), STAGE]:
         store.files.delete(n)
     return store
