@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from strata import schema as S
 from strata.functions import keys as K
 from strata.operators import bloom, reads, storage, versions
+from strata.sources.scratch import checkpoints
 from strata.sources.tables import events_log, orders_log
+from strata.store import Store, open_store
+from strata.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,3 +307,128 @@ def kv_bloom_no_false_negatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("kv_bloom_no_false_negatives", kv_bloom_no_false_negatives, "SELECT CAST(0 AS BIGINT) AS false_negatives")
+
+# Binary keys: one or two bytes, of which one key may be the beginning of another.
+def bytes_log(spark: SparkSession, d: str) -> DataFrame:
+    n = F.pmod(F.col("key").cast("long") * 37, F.lit(65536))
+    wide, short = F.lpad(F.hex(n), 4, "0"), F.lpad(F.hex(n % 256), 2, "0")
+    return events_log(spark, d).withColumn("key", F.unhex(F.when(n % 3 == 0, short).otherwise(wide)))
+
+
+BYTES_LOG = f"""{E_LOG}, n AS (SELECT *, CAST(key AS BIGINT) * 37 % 65536 AS n FROM e),
+x AS (SELECT CASE WHEN n % 3 = 0 THEN printf('%02X', n % 256) ELSE printf('%04X', n) END AS key, seq, kind, value FROM n)"""
+BYTES_VIEW = LATEST.format(log="x", where="{where}")
+
+
+def of_bytes(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.hex("key"))
+
+
+add("kv_bytes_latest", lambda s, d: of_bytes(reads.visible_at(bytes_log(s, d))), f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="true"))
+add("kv_bytes_range", lambda s, d: of_bytes(reads.range_scan(bytes_log(s, d), b"\x00\x80", b"\x0f\x00")), f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="key >= '0080' AND key < '0F00'"))
+add("kv_bytes_seek", lambda s, d: of_bytes(reads.seek_ge(bytes_log(s, d), b"\x00\x00")), f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="key >= '0000'") + " ORDER BY key LIMIT 1")
+add("kv_bytes_next", lambda s, d: of_bytes(reads.next_after(bytes_log(s, d), b"\x0a")), f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="key > '0A'") + " ORDER BY key LIMIT 1")
+
+# The persistent store: the events log written, maintained and read again.
+SMALL = S.Options(memtable_bytes=1 << 16, base_level_bytes=1 << 17, target_file_bytes=1 << 16, l0_trigger=2, auto_compact=False)
+
+
+def mutations(spark: SparkSession, d: str) -> DataFrame:
+    """The events log as frames that a store takes: values as text in bytes."""
+    text = lambda c: F.encode(F.col(c).cast("string"), "utf-8").alias(c)
+    return events_log(spark, d).select(F.col("seq").alias("ordinal"), text("key"), "kind", text("value"))
+
+
+def new_store(spark: SparkSession) -> Store:
+    return open_store(spark, f"{checkpoints(spark)}/stores/{uuid4().hex}", SMALL)
+
+
+def filled(spark: SparkSession, d: str, *after: int) -> Store:
+    """A new store with the log in frames cut after the given sequence numbers, flushed behind each."""
+    store, rows = new_store(spark), mutations(spark, d)
+    for lo, hi in zip((0, *after), (*after, S.MAX_SEQ)):
+        store.write_frame(rows.where((F.col("ordinal") > lo) & (F.col("ordinal") <= hi)))
+        store.flush()
+    return store
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.decode("key", "utf-8").alias("key"), F.decode("value", "utf-8").cast("double").alias("value"))
+
+
+def kv_store_ingest_scan(spark: SparkSession, d: str) -> DataFrame:
+    store = filled(spark, d)
+    out = shown(store.scan())
+    store.close()
+    return out
+
+
+def kv_store_compact_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Four flushed frames, compacted down the levels and vacuumed, closed and opened again."""
+    store = filled(spark, d, 2500, 5000, 7500)
+    store.compact()
+    store.vacuum()
+    store.close()
+    again = open_store(spark, store.files.root, SMALL)
+    out = shown(again.scan())
+    again.close()
+    return out
+
+
+def kv_store_snapshot_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot taken in the middle and read after all else was written and compacted."""
+    store, rows = new_store(spark), mutations(spark, d)
+    store.write_frame(rows.where("ordinal <= 5000"))
+    snap = store.snapshot()
+    store.write_frame(rows.where("ordinal > 5000"))
+    store.compact()
+    store.compact_level(0) if store.state.levels[0] else None
+    out = shown(snap.scan())
+    snap.close()
+    store.close()
+    return out
+
+
+def kv_store_range_scan(spark: SparkSession, d: str) -> DataFrame:
+    store = filled(spark, d, 5000)
+    store.compact()
+    out = shown(store.scan(LO.encode(), HI.encode()))
+    store.close()
+    return out
+
+
+def kv_store_multi_get(spark: SparkSession, d: str) -> DataFrame:
+    store = filled(spark, d, 5000)
+    wanted = spark.range(0, 400, 7).select(F.encode(K.padded_key(F.col("id")), "utf-8").alias("key"))
+    out = store.view().multi_get(wanted)
+    store.close()
+    return out.select(F.decode("key", "utf-8").alias("key"), "found", F.decode("value", "utf-8").cast("double").alias("value"))
+
+
+def kv_store_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Entries and sequence numbers of the runs of three frames, before anything is compacted."""
+    store = filled(spark, d, 3000, 6000)
+    out = store.manifest().select("entries", "min_seq", "max_seq", F.decode(F.unhex("lo"), "utf-8").alias("lo"), F.decode(F.unhex("hi"), "utf-8").alias("hi"))
+    store.close()
+    return out
+
+
+def kv_store_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The log by Structured Streaming, one commit a micro-batch."""
+    store, folder = new_store(spark), f"{checkpoints(spark)}/streams/{uuid4().hex}"
+    mutations(spark, d).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("ordinal long, key binary, kind int, value binary").parquet(f"{folder}/in")
+    ingest(store, stream, "events", f"{folder}/progress").awaitTermination()
+    out = shown(store.scan())
+    store.close()
+    return out
+
+
+_STORED = f"SELECT key, value FROM ({view()})"
+add("kv_store_ingest_scan", kv_store_ingest_scan, _STORED)
+add("kv_store_compact_scan", kv_store_compact_scan, _STORED)
+add("kv_store_stream", kv_store_stream, _STORED)
+add("kv_store_snapshot_scan", kv_store_snapshot_scan, f"SELECT key, value FROM ({view('seq <= 5000')})")
+add("kv_store_range_scan", kv_store_range_scan, f"""SELECT key, value FROM ({view(f"key >= '{LO}' AND key < '{HI}'")})""")
+add("kv_store_multi_get", kv_store_multi_get, ORACLE["kv_multi_get"])
+add("kv_store_manifest", kv_store_manifest, f"WITH {E_LOG} SELECT count(*) AS entries, min(seq) AS min_seq, max(seq) AS max_seq, min(key) AS lo, max(key) AS hi FROM e GROUP BY least((seq - 1) // 3000, 2)")

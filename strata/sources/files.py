@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 
 from pyspark.sql import SparkSession
@@ -12,7 +13,7 @@ class LocalFiles:
     """Operations below a local folder; names are relative to it."""
 
     def __init__(self, root: str):
-        self.root = root.removeprefix("file://")
+        self.root = re.sub("^file:(//)?(?=/)", "", root)
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)

@@ -19,6 +19,10 @@ def test_operations(spark, tmp_path, kind):
     assert f.list("a") == {}
 
 
+def test_local_paths():
+    assert {LocalFiles(p).path("a") for p in ("/x/y", "file:/x/y", "file:///x/y")} == {"/x/y/a"}
+
+
 def test_store_through_hadoop(spark, tmp_path):
     path = f"file://{tmp_path}/db"
     assert isinstance(files_for(spark, "hdfs://h/x".replace("hdfs://h", "file://h")), LocalFiles)
