@@ -45,42 +45,49 @@ def exclusive(method):
     return run
 
 
+def varint_size(n: int) -> int:
+    return 1 if n < 128 else (n.bit_length() + 6) // 7
+
+
 class Batch:
     """Mutations committed together; the first invalid entry makes every later call and the commit fail."""
 
+    __slots__ = ("rows", "error", "size", "user")
+
     def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
         self.rows: list[tuple[int, bytes, bytes | None]] = []
         self.error: Exception | None = None
+        self.size, self.user = S.BATCH_HEADER_BYTES, 0
 
     def _add(self, kind: int, key: bytes, value: bytes | None) -> Batch:
-        if self.error is None:
-            if not 1 <= len(key) <= S.MAX_KEY_BYTES:
-                self.error = errors.InvalidKeyError(f"key of {len(key)} bytes")
-            elif len(value or b"") > S.MAX_VALUE_BYTES:
-                self.error = errors.InvalidValueError(f"value of {len(value)} bytes")
-            else:
-                self.rows.append((kind, bytes(key), value if value is None else bytes(value)))
+        if self.error is not None:
+            return self
+        k, v = len(key), len(value) if value else 0
+        if not 1 <= k <= S.MAX_KEY_BYTES:
+            self.error = errors.InvalidKeyError(f"key of {k} bytes")
+        elif v > S.MAX_VALUE_BYTES:
+            self.error = errors.InvalidValueError(f"value of {v} bytes")
+        else:
+            self.rows.append((kind, bytes(key), None if kind == S.DELETE else bytes(value or b"")))
+            self.size += 1 + varint_size(k) + k + (varint_size(v) + v if kind == S.SET else 0)
+            self.user += k + v
         return self
 
     def put(self, key: bytes, value: bytes | None = b"") -> Batch:
-        return self._add(S.SET, key, value or b"")
+        return self._add(S.SET, key, value)
 
     def delete(self, key: bytes) -> Batch:
         return self._add(S.DELETE, key, None)
 
-    def reset(self) -> None:
-        self.rows, self.error = [], None
-
     def __len__(self) -> int:
         return len(self.rows)
 
     def encoded_bytes(self) -> int:
         """Bytes that the batch takes in the log, its header included."""
-        def varint(n: int) -> int:
-            return max(1, -(-n.bit_length() // 7))
-
-        size = lambda k, key, v: 1 + varint(len(key)) + len(key) + (varint(len(v)) + len(v) if k == S.SET else 0)
-        return S.BATCH_HEADER_BYTES + sum(size(*r) for r in self.rows)
+        return self.size
 
 
 class View:
@@ -196,7 +203,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, options: S.Options | None = None, files=None, clock=time.monotonic):
         self.spark, self.files, self.options = spark, files or files_for(spark, path), (options or S.Options()).resolved()
-        self.clock, self.pending, self.pending_bytes, self.synced, self.failures = clock, [], 0, clock(), 0
+        self.clock, self.pending, self.pending_bytes, self.pending_user, self.synced, self.failures = clock, [], 0, 0, clock(), 0
         if not self._lock():
             raise errors.LockedError(path)
         try:
@@ -302,7 +309,8 @@ class Store:
             return
         with self._mutex:
             self.pending += batch.rows
-            self.pending_bytes += batch.encoded_bytes()
+            self.pending_bytes += batch.size
+            self.pending_user += batch.user
             mode = self.options.sync
             late = mode == S.SYNC_INTERVAL and (self.clock() - self.synced) * 1000 >= self.options.sync_interval_ms
             if mode == S.SYNC_ALWAYS or late or self.pending_bytes >= self.options.memtable_bytes:
@@ -330,8 +338,7 @@ class Store:
         kinds, keys, values = zip(*self.pending)
         seqs = range(self.state.last_seq + 1, self.state.last_seq + 1 + len(keys))
         columns = [pa.array(keys, pa.binary()), pa.array(seqs, pa.int64()), pa.array(kinds, pa.int8()), pa.array(values, pa.binary())]
-        payload, self.pending, self.pending_bytes = self.pending_bytes, [], 0
-        user = sum(len(k) + len(v or b"") for k, v in zip(keys, values))
+        payload, user, self.pending, self.pending_bytes, self.pending_user = self.pending_bytes, self.pending_user, [], 0, 0
         self._commit(self.spark.createDataFrame(pa.table(columns, names=S.LOG.names)).coalesce(1), payload, user)
         self.synced = self.clock()
 
