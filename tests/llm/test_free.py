@@ -235,6 +235,60 @@ def test_toxicity_learns(spark, hard, none, labels):
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(hard, labels.where("false")).where("predicted = 0").count() == hard.count()
 
 
+def slow_score(text, net):
+    """The score of a text word by word and step by step, as the module's docstring says it."""
+    low = (text or "").lower().encode()
+    clean = "".join(chr(b) if b >= 0x80 or chr(b).isalnum() else " " for b in low)
+    words = [w.encode("latin-1") for w in clean.split(" ") if w]
+
+    def mixed(h, bits):
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) % (1 << 32)
+        return ((h ^ (h >> 13)) * 0x297A2D39) % (1 << 32) >> (32 - bits)
+
+    def embedded(w):
+        h = sum((b + 1) * pow(0x9E3779B1, (i & 63) + 1, 1 << 32) for i, b in enumerate(w)) % (1 << 32)
+        parts = [net.tables[0][mixed(h, toxicity.WORD_BITS)]]
+        for size, table in zip(toxicity.GRAMS, net.tables[1:]):
+            rows = []
+            for i in range(len(w) + 2 - size):
+                g = 0
+                for b in (b" " + w)[i : i + size]:
+                    g = (g * 0x01000193 + b) % (1 << 32)
+                rows.append(table[max(1, mixed(g, toxicity.GRAM_BITS))])
+            parts.append(np.max(rows, axis=0) if rows else table[0])
+        return np.concatenate(parts).astype(float)
+
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    x, H, best = [embedded(w) for w in words], toxicity.HIDDEN, -np.inf
+    for at in range(0, max(1, len(x) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        window = x[at : at + toxicity.WINDOW]
+        states = {}
+        for d, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+            h = np.zeros(H)
+            for t in order:
+                gates, hu = window[t] @ net.p[f"w{d}"] + net.p[f"i{d}"], h @ net.p[f"u{d}"]
+                z, r = sig(gates[:H] + hu[:H]), sig(gates[H : 2 * H] + hu[H : 2 * H])
+                h = z * h + (1 - z) * np.tanh(gates[2 * H :] + r * hu[2 * H :])
+                states[d, t] = h
+        whole = [np.concatenate((states["f", t], states["b", t], window[t])) for t in range(len(window))]
+        e = [np.exp(np.tanh(s[: 2 * H] @ net.p["a"] + net.p["ab"]) @ net.p["v"] + s[2 * H :] @ net.p["vx"]) for s in whole]
+        pool = sum((w * s for w, s in zip(e, whole)), np.zeros(2 * H + toxicity.INPUT)) / (sum(e) + np.exp(net.p["e0"][0]))
+        best = max(best, pool @ net.p["o"] + net.p["c"][0])
+    return sig(net.scale[0] * best + net.scale[1])
+
+
+def test_toxicity_scores_by_brute_force():
+    r, rows = random.Random(17), []
+    for i in range(240):
+        words = ["".join(r.choice(("th", "er", "on", "an", "é", "st", "ou", "ing")) for _ in range(r.randint(1, 5))) for _ in range(r.randint(5, 130))]
+        words[r.randrange(len(words))] = "grumboish" if i % 3 == 0 else "plainly"
+        rows.append(", ".join(words))
+    net = toxicity.train(rows, np.array([i % 3 == 0 for i in range(240)], dtype=np.int64), epochs=2)
+    texts = [*rows[:30], None, "", " .,! ", "A", "x" * 500, " ".join(rows[:12]), "😀 É grumboish"]
+    got = toxicity.document_scores(texts, net)
+    assert np.allclose(got, [slow_score(t, net) for t in texts], atol=1e-4)
+
+
 def test_toxicity_on_held_out_labels():
     """The labels of the tables: recall and precision on held-out ids."""
     pq = pytest.importorskip("pyarrow.parquet")

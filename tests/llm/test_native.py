@@ -186,6 +186,29 @@ def test_sharding(request, which):
     assert max(sizes) - min(sizes) <= 1
 
 
+@pytest.mark.parametrize("which", ["hard", "docs"])
+def test_sharding_order(request, which):
+    """Shards and slots by sorting all rows here: seeded hash within a source, then fractional rank."""
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    sources, total = defaultdict(list), 0
+    for r in request.getfixturevalue(which).collect():
+        t, i = r["text"] or "", "" if r["doc_id"] is None else str(r["doc_id"])
+        row = (md5(f"{i}|{md5(t)}|shard-1"), zlib.crc32(t.encode()), len(t.encode()) + 16, r["doc_id"])
+        sources["n" if r["source"] is None else "s" + r["source"]].append(row)
+        total += 1
+    line = []
+    for rows in sources.values():
+        rows.sort(key=lambda x: x[:3])
+        line += [((k + 0.5) / len(rows), *x) for k, x in enumerate(rows)]
+    line.sort(key=lambda x: x[:4])
+    want, slots = Counter(), Counter()
+    for at, x in enumerate(line):
+        shard = at * 40 // total
+        want[x[4], x[2], shard, slots[shard]] += 1
+        slots[shard] += 1
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shards(request.getfixturevalue(which)).collect()) == want
+
+
 def test_shards_match_the_mixture(spark):
     docs = spark.createDataFrame([(i, "t", None, "big" if i % 4 else "small") for i in range(4000)], "doc_id long, text string, lang string, source string")
     source = {i: "big" if i % 4 else "small" for i in range(4000)}
