@@ -16,13 +16,14 @@ produce; each beginning of a word has one accepted sequence, so every position g
 
 Words come from the tokenizer file's own normalization and pattern; each distinct word of a run of texts is encoded
 once, and words are kept in a bounded table by worker. Nulls and edges: a null text is empty and has no tokens; white
-space alone has none; texts of any length are read whole, a run of texts at a time; repeated rows give repeated results; a
+space alone has none; texts of any length are read whole, a run of texts or a piece between white space at a time; repeated rows give repeated results; a
 doc_id of any type is passed through.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
@@ -32,13 +33,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from strata.llm.common import picked, text_runs
+from strata.llm.common import SPACE, picked, text_runs
 
 #: Words whose encoding a worker keeps; the table is emptied beyond that.
 KEPT = 600_000
 #: Characters of text handled at once, symbols of words encoded together, positions of a word looked at together.
 RUN, GROUP, BLOCK = 8 << 20, 1 << 18, 1 << 12
 START = -2
+GAP = re.compile(SPACE)
 #: A chunk that lower-casing and the pattern treat in a plain way: Latin letters up to U+024F, but for the dotted capital I.
 MARKS = ".,;:!?"
 SIMPLE = "^[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+[.,;:!?]?$"
@@ -340,6 +342,17 @@ class Codec:
         ends = np.concatenate(([0], np.cumsum(size[index])))
         return all_ids, ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
 
+    def encode_long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one text, read in pieces of about RUN characters that end at white space, where no token goes on."""
+        parts, at = [], 0
+        while at < len(text):
+            gap = GAP.search(text, at + RUN)
+            end = gap.start() if gap else len(text)
+            parts.append(self.encode_texts(pa.array([text[at:end]], pa.string()))[0])
+            at = end
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)])
+
     def joined(self, ids: np.ndarray, ends: np.ndarray, labels: bool = False) -> pa.Array:
         """The decimal ids of each text, or its labels, joined by spaces: without a decoder, that is the decoded text."""
         names = self.label_array if labels else self.decimal_array
@@ -393,7 +406,9 @@ def run(docs: DataFrame, path: str | None, columns: dict[str, tuple[str, object]
     def encode(batches):
         c = codec(path)
         for b in text_runs(batches, 1, RUN):
-            done = c.encode_texts(b.column(1).cast(pa.string()))
+            texts = b.column(1).cast(pa.string())
+            text = texts[0].as_py() if len(texts) == 1 else None
+            done = c.encode_long(text) if text and len(text) > RUN else c.encode_texts(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), *(f(c, *done) for _, f in columns.values())], names=["doc_id", *columns])
 
     return rows.mapInArrow(encode, f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, (t, _) in columns.items()))

@@ -473,6 +473,13 @@ def test_bpe_code_points_and_chunks(library):
         assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_bpe_long_texts_in_pieces(library, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 50)
+    text = "Hello<|endoftext|> World's  \t don't\n" * 40 + "x" * 300 + " end " * 30 + "  "
+    ids, ends = tokens.codec().encode_long(text)
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(ids)]
+
+
 def test_bpe_table_of_words_may_be_emptied(library, monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 3)
     monkeypatch.setattr(tokens, "GROUP", 5)
