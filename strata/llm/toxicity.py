@@ -125,6 +125,11 @@ def joined(firsts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], *(f[1:] + a for f, a in zip(firsts, at))]).astype(np.int64)
 
 
+def both_ways(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    """(steps, 2, windows, width) from two of (windows, steps, width), the second with its steps turned."""
+    return np.stack([forward.transpose(1, 0, 2), backward.transpose(1, 0, 2)[::-1]], axis=1)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -154,28 +159,27 @@ class Network:
                     x[:-1, part.start + d] = np.maximum.reduceat(table[ids, d], first[:-1])
         return x
 
-    def chain(self, x, mask, d: str, keep: bool):
-        """States of one direction; x is (windows, steps, inputs)."""
-        w, u, i = self.p[f"w{d}"], self.p[f"u{d}"], self.p[f"i{d}"]
-        gates = x @ w + i
-        h, H = np.zeros((len(x), HIDDEN), np.float32), HIDDEN
-        out, kept = np.zeros((len(x), x.shape[1], H), np.float32), []
-        for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
+    def chains(self, x, mask, keep: bool):
+        """States of both directions, (windows, steps, 2 * HIDDEN), from (windows, steps, inputs); the backward chain is run
+        beside the forward one, over turned steps."""
+        p, H, steps = self.p, HIDDEN, mask.shape[1]
+        gates = np.empty((steps, 2, len(x), 3 * H), np.float32)
+        gates[:, 0] = (x @ p["wf"] + p["if"]).transpose(1, 0, 2)
+        gates[:, 1] = (x @ p["wb"] + p["ib"]).transpose(1, 0, 2)[::-1]
+        m, u = both_ways(mask[:, :, None], mask[:, :, None]), np.stack([p["uf"], p["ub"]])
+        h, out, kept = np.zeros((2, len(x), H), np.float32), np.empty((steps, 2, len(x), H), np.float32), []
+        for t in range(steps):
             hu = h @ u
-            zr = sigmoid(gates[:, t, : 2 * H] + hu[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(gates[:, t, 2 * H :] + r * hu[:, 2 * H :])
-            m = mask[:, t, None]
-            new = h + m * (1 - z) * (n - h)
+            zr = sigmoid(gates[t, :, :, : 2 * H] + hu[..., : 2 * H])
+            z, r = zr[..., :H], zr[..., H:]
+            n = np.tanh(gates[t, :, :, 2 * H :] + r * hu[..., 2 * H :])
             if keep:
-                kept.append((t, h, z, r, n, hu[:, 2 * H :], m))
-            h = out[:, t] = new
-        return out, kept
+                kept.append((h, z, r, n, hu[..., 2 * H :], m[t]))
+            h = out[t] = h + m[t] * (1 - z) * (n - h)
+        return np.concatenate([out[:, 0], out[::-1, 1]], axis=2).transpose(1, 0, 2), kept
 
     def forward(self, x, mask, keep: bool = False):
-        f, kf = self.chain(x, mask, "f", keep)
-        b, kb = self.chain(x, mask, "b", keep)
-        s = np.concatenate([f, b], axis=2)
+        s, kept = self.chains(x, mask, keep)
         q = np.tanh(s @ self.p["a"] + self.p["ab"])
         # Beside the words stands an empty step that attention may rest on: so its mass on telling words counts them.
         e = q @ self.p["v"] + x @ self.p["vx"] + (mask - 1) * 1e4
@@ -184,11 +188,11 @@ class Network:
         al = e / (e.sum(axis=1, keepdims=True) + np.exp(self.p["e0"] - top))
         sx = np.concatenate([s, x], axis=2)
         pool = np.einsum("nt,ntd->nd", al, sx)
-        return pool @ self.p["o"] + self.p["c"][0], (kf, kb, s, q, al, sx, pool)
+        return pool @ self.p["o"] + self.p["c"][0], (kept, s, q, al, sx, pool)
 
     def gradients(self, x, mask, y, weight):
         """Gradients of the weighted cross entropy for the parameters and the inputs."""
-        logit, (kf, kb, s, q, al, sx, pool) = self.forward(x, mask, True)
+        logit, (kept, s, q, al, sx, pool) = self.forward(x, mask, True)
         p, H = self.p, HIDDEN
         d = (weight * (sigmoid(logit) - y) / len(y)).astype(np.float32)
         g = {"o": pool.T @ d, "c": np.array([d.sum()], np.float32)}
@@ -203,23 +207,25 @@ class Network:
         g["a"], g["ab"] = np.einsum("nts,nth->sh", s, dq), dq.sum(axis=(0, 1))
         ds = dsx[:, :, : 2 * H] + dq @ p["a"].T
         dx = dsx[:, :, 2 * H :] + de[:, :, None] * p["vx"]
-        for k, dd, part in (("f", kf, ds[:, :, :H]), ("b", kb, ds[:, :, H:])):
-            u, du, dgates = p[f"u{k}"], np.zeros_like(p[f"u{k}"]), np.zeros((*x.shape[:2], 3 * H), np.float32)
-            dh = np.zeros((len(x), H), np.float32)
-            for t, h, z, r, n, hn, m in reversed(dd):
-                dh = dh + part[:, t]
-                dn, dz = dh * m * (1 - z) * (1 - n * n), dh * m * (h - n) * z * (1 - z)
-                dr = dn * hn * r * (1 - r)
-                dgates[:, t] = np.concatenate([dz, dr, dn], axis=1)
-                dhu = np.concatenate([dz, dr, dn * r], axis=1)
-                du += h.T @ dhu
-                dh = dh * (1 - m * (1 - z)) + dhu @ u.T
-            g[f"u{k}"], g[f"i{k}"] = du, dgates.sum(axis=(0, 1))
-            g[f"w{k}"] = np.einsum("ntd,ntg->dg", x, dgates)
-            dx += dgates @ p[f"w{k}"].T
+        part, u = both_ways(ds[:, :, :H], ds[:, :, H:]), np.stack([p["uf"], p["ub"]])
+        du, dgates, dh = np.zeros_like(u), np.zeros((*part.shape[:3], 3 * H), np.float32), np.zeros(part.shape[1:], np.float32)
+        for t in range(len(kept) - 1, -1, -1):
+            h, z, r, n, hn, m = kept[t]
+            dh = dh + part[t]
+            dn, dz = dh * m * (1 - z) * (1 - n * n), dh * m * (h - n) * z * (1 - z)
+            dr = dn * hn * r * (1 - r)
+            dgates[t] = np.concatenate([dz, dr, dn], axis=2)
+            dhu = np.concatenate([dz, dr, dn * r], axis=2)
+            du += h.transpose(0, 2, 1) @ dhu
+            dh = dh * (1 - m * (1 - z)) + dhu @ u.transpose(0, 2, 1)
+        for k, i, back in (("f", 0, dgates[:, 0]), ("b", 1, dgates[::-1, 1])):
+            back = np.ascontiguousarray(back.transpose(1, 0, 2))
+            g[f"u{k}"], g[f"i{k}"] = du[i], back.sum(axis=(0, 1))
+            g[f"w{k}"] = x.reshape(-1, x.shape[2]).T @ back.reshape(-1, 3 * H)
+            dx += back @ p[f"w{k}"].T
         return g, dx * mask[:, :, None]
 
-    def scores(self, words: Words, odds: np.ndarray | None = None, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, words: Words, odds: np.ndarray | None = None, most: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """(text, logit) of every window; with other log odds for the words if they are given."""
         text, start, n = words.windows()
         x = self.inputs(words)
