@@ -227,7 +227,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         star = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
-        turned = star.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        to_least = lambda c: F.struct(F.col(c).alias("u"), F.col("m").alias("v"))
+        turned = star.join(low, "u").select(F.explode(F.array(to_least("v"), to_least("u"))).alias("e"))
+        turned = turned.select("e.*").where("u != v").distinct()
         edges, before = turned.checkpoint(), now
         now = mark(edges)
         if now == before:
@@ -248,7 +250,8 @@ def grouped(rows: DataFrame, longest: int = LONGEST, wide_from: int = WIDE_FROM)
     least = linked.groupBy("root", "salt").agg(F.min("first").alias("least")).groupBy("root").agg(F.min("least").alias("least"))
     spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     known = linked.join(spread, ["root", "salt"]).select("fp", "root", "least")
-    whole = prints.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    component = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")
+    whole = prints.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), component)
     return marked.join(whole.checkpoint(), "fp")  # alone in its stage: a join that adaptive execution can split
 
 

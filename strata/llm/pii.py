@@ -54,19 +54,29 @@ def occurrences(text: Column, kind: str) -> Column:
     """array<struct<hit, start, before>> of a pattern's leftmost, non-overlapping hits in a text."""
     pattern = PATTERNS[kind]
 
+    def total(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.lit(0), lambda s, y: s + y)
+
+    def block_of(i: Column) -> Column:
+        return F.floor(i / BLOCK).cast("int")
+
+    def block_sums(numbers: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), block_of(F.size(numbers) - 1)), lambda b: total(F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK))))
+
     def place(x: Column) -> Column:
         hits, gaps = x["hits"], x["gaps"]
         lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
-        # Sums by block keep the work far from the square of the number of hits.
-        total = lambda a: F.aggregate(a, F.lit(0), lambda s, y: s + y)
-        blocks = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(a, b * BLOCK + 1, F.lit(BLOCK))))
 
         def at(y: Column) -> Column:
-            whole, part = y["b"], y["l"]
-            start = lambda i: total(F.slice(whole, F.lit(1), F.floor(i / BLOCK).cast("int"))) + total(F.slice(part, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
-            return F.transform(hits, lambda h, i: F.struct(h.alias("hit"), (start(i) + F.length(F.get(gaps, i))).cast("long").alias("start"), F.substring(F.get(gaps, i), -BEFORE, BEFORE).alias("before")))
+            """Sums by block keep the work far from the square of the number of hits."""
+            def start(i: Column) -> Column:
+                earlier = total(F.slice(y["b"], F.lit(1), block_of(i)))
+                return earlier + total(F.slice(y["l"], block_of(i) * BLOCK + 1, i % BLOCK)) + F.length(F.get(gaps, i))
 
-        return F.when(F.size(hits) > 0, let(lengths, lambda a: let(F.struct(blocks(a).alias("b"), a.alias("l")), at)))
+            before = lambda i: F.substring(F.get(gaps, i), -BEFORE, BEFORE).alias("before")
+            return F.transform(hits, lambda h, i: F.struct(h.alias("hit"), start(i).cast("long").alias("start"), before(i)))
+
+        return F.when(F.size(hits) > 0, let(lengths, lambda a: let(F.struct(block_sums(a).alias("b"), a.alias("l")), at)))
 
     found = let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern).alias("gaps")), place)
     need = NEEDS.get(kind, "[0-9]")
@@ -101,7 +111,9 @@ def found(text: Column, kinds: tuple[str, ...]) -> Column:
     """array<struct<kind, start, stop, hit, before>> of the kinds, in their order, then by start."""
     def one(kind: str) -> Column:
         ok = F.filter(occurrences(text, kind), lambda x: holds(kind, x["hit"]))
-        return F.transform(ok, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("stop"), x["hit"].alias("hit"), x["before"].alias("before")))
+        stop = lambda x: (x["start"] + F.length(x["hit"])).alias("stop")
+        named = lambda x: [x[n].alias(n) for n in ("hit", "before")]
+        return F.transform(ok, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), stop(x), *named(x)))
 
     return F.concat(*[one(k) for k in kinds])
 
@@ -219,4 +231,7 @@ def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     out = rows.select("doc_id", "base", F.filter("more", lambda y: apart(y) & (score(y, weights) >= threshold)).alias("added"))
     named = lambda a: F.array_join(F.transform(a, lambda y: F.concat_ws(":", y["kind"], y["start"], y["stop"])), ",")
     count = lambda k: F.size(F.filter("base", lambda y: y["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *map(count, BASE), F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return out.select(
+        "doc_id", *map(count, BASE), F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        named(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )

@@ -86,8 +86,11 @@ def open_candidates(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[
 
 def views(text: str, start: int, end: int) -> list[str]:
     """Windows over a candidate, each with the text around it; inside the candidate they overlap by half."""
-    at = range(start, max(start + 1, end - BODY // 2), BODY // 2)
-    return [" " * max(0, BEFORE - a) + text[max(0, a - BEFORE) : a] + text[a : min(end, a + BODY)].ljust(BODY, "\0") + text[min(end, a + BODY) : min(end, a + BODY) + AFTER].ljust(AFTER) for a in at]
+    out = []
+    for a in range(start, max(start + 1, end - BODY // 2), BODY // 2):
+        b = min(end, a + BODY)
+        out.append(text[max(0, a - BEFORE) : a].rjust(BEFORE) + text[a:b].ljust(BODY, "\0") + text[b : b + AFTER].ljust(AFTER))
+    return out
 
 
 def codes(windows: list[str]) -> np.ndarray:

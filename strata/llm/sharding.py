@@ -42,7 +42,10 @@ def shards(docs: DataFrame, n: int = SHARDS, seed: str = SEED) -> DataFrame:
     line = prefix_sums(placed, [], "part", [F.col("fraction"), *tie], {"at": F.lit(1)})
     total = counts.agg(F.sum("n").alias("total"))  # one row
     cut = line.join(F.broadcast(total)).withColumn("shard", F.expr(f"at * {n} div total"))
-    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.expr(f"at - (shard * total + {n - 1}) div {n}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return cut.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
+        F.expr(f"at - (shard * total + {n - 1}) div {n}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 #: DuckDB has no crc32, so the checksum's column and its part in ties are left to tests.

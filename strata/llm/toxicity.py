@@ -142,7 +142,11 @@ class Network:
         n = lambda s, *shape: r.normal(0, s, shape).astype(np.float32)
         #: Embeddings of words, then of grams of each size.
         self.tables = [n(0.05, 1 << WORD_BITS, WORD_DIM), *(n(0.05, 1 << GRAM_BITS, GRAM_DIM) for _ in GRAMS)]
-        self.p = {"a": n(0.3, 2 * HIDDEN, HIDDEN), "ab": np.zeros(HIDDEN, np.float32), "v": n(0.3, HIDDEN), "vx": np.zeros(INPUT, np.float32), "e0": np.full(1, np.log(2 * WINDOW), np.float32), "o": n(0.3, 2 * HIDDEN + INPUT), "c": np.zeros(1, np.float32)}
+        #: Attention (a, ab, v over states, vx over inputs, e0 of the empty step), then the output (o, c).
+        self.p = {
+            "a": n(0.3, 2 * HIDDEN, HIDDEN), "ab": np.zeros(HIDDEN, np.float32), "v": n(0.3, HIDDEN), "vx": np.zeros(INPUT, np.float32),
+            "e0": np.full(1, np.log(2 * WINDOW), np.float32), "o": n(0.3, 2 * HIDDEN + INPUT), "c": np.zeros(1, np.float32),
+        }
         for d in "fb":
             self.p |= {f"w{d}": n(0.3, INPUT, 3 * HIDDEN), f"u{d}": n(0.3, HIDDEN, 3 * HIDDEN), f"i{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p["vx"][FIRST] = 0.5
@@ -375,8 +379,8 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Network:
     """The network for labels (doc_id, toxic); ids of the sample, bounded by its two limits, are broadcast."""
-    known = picked(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    known = known.withColumn("order", F.xxhash64("doc_id"))
+    known = picked(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     ids = [known.where(f"toxic = {c}").orderBy("order", "doc_id").limit(n) for c, n in ((1, toxic), (0, clean))]
     sample = ids[0].unionByName(ids[1])  # at most toxic + clean rows: broadcast, so that texts stay where they are
     whole = picked(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
