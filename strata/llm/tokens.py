@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame
 from strata.llm.common import SPACE, picked, text_runs
 
 #: Words whose encoding a worker keeps; the table is emptied beyond that.
-KEPT = 600_000
+KEPT = 300_000
 #: Characters of text handled at once, symbols of words encoded together, positions of a word looked at together.
-RUN, GROUP, BLOCK = 8 << 20, 1 << 18, 1 << 12
+RUN, GROUP, BLOCK = 2 << 20, 1 << 16, 1 << 12
 START = -2
 GAP = re.compile(SPACE)
 #: A chunk that lower-casing and the pattern treat in a plain way: Latin letters up to U+024F, but for the dotted capital I.
@@ -73,7 +73,11 @@ def byte_symbols() -> list[str]:
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers starts[i], starts[i] + 1, ... of which there are counts[i], for each i in turn."""
     total = np.cumsum(counts)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - counts), counts)
+    size = int(total[-1]) if len(total) else 0
+    kind = np.int32 if size + int(starts.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((starts - (total - counts)).astype(kind), counts)
+    out += np.arange(size, dtype=kind)
+    return out
 
 
 class Automaton:
@@ -167,8 +171,8 @@ class Automaton:
         return ok
 
     def _compile_trie(self, end: str) -> None:
-        """Labels as bytes in a trie: rows of successors for nodes that have any, and the label that ends at a node
-        inside a word (`middle`) or at its end (`final`)."""
+        """Labels as bytes in a trie: its edges as sorted numbers, node * 256 + byte, beside the nodes they lead to, and the
+        label that ends at a node inside a word (`middle`) or at its end (`final`)."""
         byte = {s: b for b, s in enumerate(byte_symbols())}
         nodes: list[dict[int, int]] = [{}]
         ends: dict[tuple[int, bool], int] = {}
@@ -180,30 +184,28 @@ class Automaton:
                 if node == len(nodes):
                     nodes.append({})
             ends[node, final] = i
-        order = sorted(range(len(nodes)), key=lambda x: not nodes[x])  # inner nodes first
-        number = {x: i for i, x in enumerate(order)}
-        self.inner = sum(map(bool, nodes))
-        self.next = np.zeros(self.inner * 256, dtype=np.int32)
-        for x in order[: self.inner]:
-            for b, y in nodes[x].items():
-                self.next[number[x] * 256 + b] = number[y]
+        edges = sorted((x * 256 + b, y) for x, row in enumerate(nodes) for b, y in row.items())
+        self.edges, self.ahead = np.array([e for e, _ in edges], np.int32), np.array([y for _, y in edges], np.int32)
         self.middle, self.final = np.full(len(nodes), -1, np.int32), np.full(len(nodes), -1, np.int32)
         for (x, final), i in ends.items():
-            (self.final if final else self.middle)[number[x]] = i
+            (self.final if final else self.middle)[x] = i
 
     def spelled(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index into `start`, stop, label) of all labels spelled from positions `start` of words that end at `end`."""
-        who, node, depth, found = np.arange(len(start)), np.zeros(len(start), np.int64), 0, []
+        who, node, depth, found = np.arange(len(start), dtype=np.int32), np.zeros(len(start), np.int32), 0, []
         while len(who):
             at = start[who] + depth
-            node = self.next[node * 256 + symbols[at]]
+            step = node * np.int32(256) + symbols[at]
+            edge = np.minimum(np.searchsorted(self.edges, step), len(self.edges) - 1)
+            there = np.flatnonzero(self.edges[edge] == step)
+            who, at, node = who[there], at[there], self.ahead[edge[there]]
             last = at + 1 == end[who]
             label = np.where(last, self.final[node], self.middle[node])
-            hit = np.flatnonzero((label >= 0) & (node > 0))
+            hit = np.flatnonzero(label >= 0)
             found.append((who[hit], at[hit] + 1, label[hit]))
-            on = np.flatnonzero((node > 0) & (node < self.inner) & ~last)
-            who, node, depth = who[on], node[on].astype(np.int64), depth + 1
-        parts = list(zip(*found)) or [[np.zeros(0, np.int64)]] * 3
+            on = np.flatnonzero(~last)
+            who, node, depth = who[on], node[on], depth + 1
+        parts = list(zip(*found)) or [[np.zeros(0, np.int32)]] * 3
         return tuple(np.concatenate(p) for p in parts)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,8 +254,7 @@ class Codec:
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: s for s, i in [*model["vocab"].items(), *self.special.items()]}
-        self.label = [names.get(i, "") for i in range(max(names) + 1)]
-        self.label_array = pa.array(self.label, pa.string())
+        self.label_array = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.string())
         kinds = {n["type"]: n for n in spec["normalizer"]["normalizers"]}
         if set(kinds) != {"NFC", "Replace", "Lowercase"} or spec["decoder"] is not None:
             raise ValueError("a tokenizer of another kind")
@@ -265,7 +266,7 @@ class Codec:
         self.pattern = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|[^\s{letters}{numbers}]+")
         self.mark = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.hint = min((s[:2] for s in self.special), default=None)
-        self.decimal_array = pa.array([str(i) for i in range(len(self.label))], pa.string())
+        self.decimal_array = pa.array(range(len(self.label_array)), pa.int32()).cast(pa.string())
         self.forget()
 
     def forget(self) -> None:
@@ -363,7 +364,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Arc labels, joined by spaces as without a decoder."""
-        return " ".join([self.label[i] for i in ids])
+        return " ".join(self.label_array.take(pa.array(ids, pa.int64())).to_pylist())
 
 
 def groups(words: list[str]) -> Iterator[list[str]]:
