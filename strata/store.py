@@ -404,7 +404,7 @@ class Store:
             (run,) = self._write_run(rows, num, whole=True)
             streams = state.streams | ({stream[0]: stream[1]} if stream else {})
             placed = {"levels": ((*state.levels[0], run), *state.levels[1:])} if bulk else {"tail": (*state.tail, run)}
-            self.state = M.install(self.files, state.changed(next_num=num + 1, last_seq=run.max_seq, streams=streams, **placed))
+            self.state = M.install(self.files, state.changed(next_num=num + 1, last_seq=run.max_seq, streams=streams, **placed), state)
         self.counters["log_bytes"] += payload
         self.counters["user_bytes"] += user
         if bulk:
@@ -474,7 +474,7 @@ class Store:
             rows = versions.dedupe_replay(self.read(state.tail))
             (run,) = self._write_run(self._clustered(rows, self._files(sum(r.size for r in state.tail))), num, whole=True)
             levels = ((*state.levels[0], run), *state.levels[1:])
-            self.state = M.install(self.files, state.changed(next_num=num + 1, tail=(), levels=levels))
+            self.state = M.install(self.files, state.changed(next_num=num + 1, tail=(), levels=levels), state)
             self.counters["flushes"] += 1
             self.counters["flush_bytes"] += run.size
 
@@ -513,7 +513,7 @@ class Store:
             levels = [tuple(r for r in x if r.num not in used) for x in state.levels]
             levels[level + 1] = tuple(sorted((*levels[level + 1], *made), key=lambda r: bytes.fromhex(r.lo)))
             cursors = state.cursors | {str(level): compaction.key_range(mine)[0].hex()}
-            self.state = M.install(self.files, state.changed(next_num=num + max(1, len(made)), levels=tuple(levels), cursors=cursors))
+            self.state = M.install(self.files, state.changed(next_num=num + max(1, len(made)), levels=tuple(levels), cursors=cursors), state)
             self.counters["compactions"] += 1
             self.counters["compaction_bytes"] += sum(r.size for r in made)
 
@@ -524,7 +524,8 @@ class Store:
         wanted = {self.state.version, *(p["version"] for p in self.pins())}
         live = {r.path for v in wanted for r in M.load(self.files, v).runs()}
         gone = self.unused(live)
-        gone += [M.name_of(v) for v in M.versions(self.files) if v not in wanted]
+        kept = M.needed(self.files, wanted)
+        gone += [M.name_of(v) for v in M.versions(self.files) if v not in kept]
         for n in gone:
             self.files.delete(n)
         return gone

@@ -178,6 +178,41 @@ def test_manifest_rejects_every_flip_and_prefix():
                 M.decode(bad)
 
 
+def test_manifests_of_changes_lead_to_the_same_states(tmp_path):
+    files, r, number = LocalFiles(str(tmp_path)), random.Random(3), iter(range(1, 10_000))
+    state = M.install(files, M.State())
+    states = {0: state}
+
+    def run():
+        n, lo = next(number), bytes(r.randrange(256) for _ in range(2))
+        return M.Run(n, f"runs/{n}", 10, 2, lo.hex(), (lo + b"z").hex(), n, n + 1)
+
+    for _ in range(3 * M.FULL_EVERY):
+        before, x, levels = state, r.random(), list(state.levels)
+        if x < 0.6:
+            new = {"tail": (*state.tail, run())}
+        elif x < 0.8:
+            levels[0] = (*levels[0], run())
+            new = {"tail": (), "levels": tuple(levels)}
+        else:
+            levels[1] = tuple(sorted((*levels[1][1:], run(), run()), key=lambda r: bytes.fromhex(r.lo)))
+            new = {"levels": ((), *levels[1:]), "cursors": {"0": "61"}, "streams": {"s": 4}}
+        state = M.install(files, before.changed(next_num=10_000, last_seq=20_000, **new), before)
+        states[state.version] = state
+    assert all(M.load(files, v) == s for v, s in states.items()) and M.load(files) == state
+    assert M.needed(files, {95, 40}) == {*range(64, 96), *range(32, 41)}
+    sizes = files.list(M.FOLDER)
+    assert sizes[M.name_of(95)] < sizes[M.name_of(64)]
+    files.delete(M.name_of(70))
+    with pytest.raises(errors.CorruptionError):
+        M.load(files, 95)
+    assert M.load(files, 69) == states[69] and M.load(files) == state
+    text = files.read(M.name_of(90))
+    for i in range(len(text)):
+        with pytest.raises(errors.CorruptionError):
+            M.decode(M.encode(states[89]), text[:i] + chr(ord(text[i]) ^ 1) + text[i + 1 :])
+
+
 def test_damage_is_reported(spark, tmp_path, store):
     store.put(b"a", b"1")
     store.put(b"b", b"2")
