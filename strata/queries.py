@@ -103,11 +103,21 @@ add("kv_range_lower_only", lambda s, d: reads.range_scan(events_log(s, d), key(1
 add("kv_range_upper_only", lambda s, d: reads.range_scan(events_log(s, d), None, key(20)), view(f"key < '{key(20)}'"))
 add("kv_range_between_keys", lambda s, d: reads.range_scan(events_log(s, d), LO + "a", key(30) + "a"), view(f"key >= '{LO}a' AND key < '{key(30)}a'"))
 add("kv_range_as_of", lambda s, d: reads.range_scan(events_log(s, d), LO, HI, 5000), view(f"key >= '{LO}' AND key < '{HI}' AND seq <= 5000"))
-add("kv_range_empty_bounds", lambda s, d: reads.range_scan(events_log(s, d), LO, LO).agg(F.count("*").alias("n")), f"WITH {E_LOG} SELECT count(*) AS n FROM ({LATEST.format(log='e', where=f"key >= '{LO}' AND key < '{LO}'")})")
+add(
+    "kv_range_empty_bounds",
+    lambda s,
+    d: reads.range_scan(events_log(s, d), LO, LO).agg(F.count("*").alias("n")),
+    f"WITH {E_LOG} SELECT count(*) AS n FROM ({LATEST.format(log='e', where=f"key >= '{LO}' AND key < '{LO}'")})",
+)
 add("kv_range_empty_upper", lambda s, d: reads.range_scan(events_log(s, d), None, "").agg(F.count("*").alias("n")), "SELECT CAST(0 AS BIGINT) AS n")
 add("kv_first", lambda s, d: reads.seek_ge(events_log(s, d)), view() + " ORDER BY key LIMIT 1")
 add("kv_seek_ge", lambda s, d: reads.seek_ge(events_log(s, d), key(40) + "x"), view(f"key >= '{key(40)}x'") + " ORDER BY key LIMIT 1")
-add("kv_seek_clamped", lambda s, d: reads.seek_ge(events_log(s, d), key(1), key(60), key(90)), view(f"key >= '{key(60)}' AND key < '{key(90)}'") + " ORDER BY key LIMIT 1")
+add(
+    "kv_seek_clamped",
+    lambda s,
+    d: reads.seek_ge(events_log(s, d), key(1), key(60), key(90)),
+    view(f"key >= '{key(60)}' AND key < '{key(90)}'") + " ORDER BY key LIMIT 1",
+)
 add("kv_next", lambda s, d: reads.next_after(events_log(s, d), key(10)), view(f"key > '{key(10)}'") + " ORDER BY key LIMIT 1")
 add("kv_first_n", lambda s, d: reads.first_n(events_log(s, d), 10), view() + " ORDER BY key LIMIT 10")
 add("kv_key_only_scan", lambda s, d: reads.visible_at(events_log(s, d)).select("key"), f"SELECT key FROM ({view()})")
@@ -121,23 +131,43 @@ def kv_ordered_position(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("kv_ordered_position", kv_ordered_position, f"SELECT key, row_number() OVER (ORDER BY key) AS position FROM ({view()})")
-add("kv_next_key", lambda s, d: reads.neighbours(reads.visible_at(events_log(s, d)), F.substring("key", 1, 14)).select("key", "next_key"), f"SELECT key, lead(key) OVER (ORDER BY key) AS next_key FROM ({view()})")
+add(
+    "kv_next_key",
+    lambda s,
+    d: reads.neighbours(reads.visible_at(events_log(s, d)), F.substring("key", 1, 14)).select("key", "next_key"),
+    f"SELECT key, lead(key) OVER (ORDER BY key) AS next_key FROM ({view()})",
+)
 add("kv_reverse_first_n", lambda s, d: reads.visible_at(events_log(s, d)).orderBy(F.desc("key")).limit(5), view() + " ORDER BY key DESC LIMIT 5")
 
 # Version analytics.
 add("kv_snapshot_diff", lambda s, d: versions.snapshot_diff(events_log(s, d), 2500, 7500), f"""WITH {E_LOG}, a AS ({LATEST.format(log='e', where='seq <= 2500')}), b AS ({LATEST.format(log='e', where='seq <= 7500')})
 SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change, a.value AS old_value, b.value AS new_value
 FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.value IS DISTINCT FROM b.value""")
-add("kv_version_history", lambda s, d: versions.version_history(events_log(s, d)), f"WITH {E_LOG} SELECT *, lead(seq) OVER w AS next_seq, row_number() OVER w AS version FROM e WINDOW w AS (PARTITION BY key ORDER BY seq)")
+add(
+    "kv_version_history",
+    lambda s,
+    d: versions.version_history(events_log(s, d)),
+    f"WITH {E_LOG} SELECT *, lead(seq) OVER w AS next_seq, row_number() OVER w AS version FROM e WINDOW w AS (PARTITION BY key ORDER BY seq)",
+)
 GC = "SELECT key, seq, kind, value FROM (SELECT *, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS newer FROM e) WHERE newer IS NULL OR newer > {oldest}"
 add("kv_gc_no_snapshots", lambda s, d: versions.gc_versions(events_log(s, d)), f"WITH {E_LOG} {GC.format(oldest=S.MAX_SEQ)}")
 add("kv_gc_with_snapshot", lambda s, d: versions.gc_versions(events_log(s, d), 5000), f"WITH {E_LOG} {GC.format(oldest=5000)}")
-add("kv_gc_bottommost", lambda s, d: versions.drop_tombstones(versions.gc_versions(events_log(s, d), 5000), 5000), f"WITH {E_LOG}, g AS ({GC.format(oldest=5000)}) SELECT * FROM g WHERE NOT (kind = 2 AND seq <= 5000)")
+add(
+    "kv_gc_bottommost",
+    lambda s,
+    d: versions.drop_tombstones(versions.gc_versions(events_log(s, d), 5000), 5000),
+    f"WITH {E_LOG}, g AS ({GC.format(oldest=5000)}) SELECT * FROM g WHERE NOT (kind = 2 AND seq <= 5000)",
+)
 DEEPER = [(key(20), key(40)), (key(35), key(60)), (key(100), key(110))]
 DEEPER_SQL = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in DEEPER) + ") t(lo, hi))"
 SHADOW_SQL = f"WITH {E_LOG}, g AS ({GC.format(oldest=7500)}), {DEEPER_SQL} SELECT * FROM g WHERE NOT (kind = 2 AND seq <= 7500 AND NOT EXISTS (SELECT 1 FROM r WHERE g.key BETWEEN r.lo AND r.hi))"
 add("kv_tombstone_shadow", lambda s, d: versions.drop_tombstones(versions.gc_versions(events_log(s, d), 7500), 7500, DEEPER), SHADOW_SQL)
-add("kv_tombstone_shadow_join", lambda s, d: versions.drop_covered_tombstones(versions.gc_versions(events_log(s, d), 7500), 7500, s.createDataFrame(DEEPER, "lo string, hi string")), SHADOW_SQL)
+add(
+    "kv_tombstone_shadow_join",
+    lambda s,
+    d: versions.drop_covered_tombstones(versions.gc_versions(events_log(s, d), 7500), 7500, s.createDataFrame(DEEPER, "lo string, hi string")),
+    SHADOW_SQL,
+)
 
 
 def kv_gc_preserves_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -166,10 +196,20 @@ def kv_prefix_state_size(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("batch_id").agg(F.max_by("live_keys", "seq").alias("live_keys"))
 
 
-add("kv_prefix_state_size", kv_prefix_state_size, f"SELECT batch_id, arg_max(live_keys, seq) AS live_keys FROM (SELECT *, CAST((seq - 1) // 50 AS BIGINT) AS batch_id FROM ({ORACLE['kv_live_keys_over_time']})) GROUP BY batch_id")
+add(
+    "kv_prefix_state_size",
+    kv_prefix_state_size,
+    f"SELECT batch_id, arg_max(live_keys, seq) AS live_keys FROM (SELECT *, CAST((seq - 1) // 50 AS BIGINT) AS batch_id "
+    f"FROM ({ORACLE['kv_live_keys_over_time']})) GROUP BY batch_id",
+)
 
 # Batches.
-add("kv_seq_assignment", lambda s, d: versions.assign_seq(orders_log(s, d).select("key", (F.col("seq") * 3).alias("ordinal")), 1000).select("key", "seq"), f"WITH {O_LOG} SELECT key, 999 + row_number() OVER (ORDER BY seq) AS seq FROM o")
+add(
+    "kv_seq_assignment",
+    lambda s,
+    d: versions.assign_seq(orders_log(s, d).select("key", (F.col("seq") * 3).alias("ordinal")), 1000).select("key", "seq"),
+    f"WITH {O_LOG} SELECT key, 999 + row_number() OVER (ORDER BY seq) AS seq FROM o",
+)
 
 
 def batches(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +219,12 @@ def batches(spark: SparkSession, d: str) -> DataFrame:
 
 TORN = """b AS (SELECT CAST((seq - 1) // 50 AS BIGINT) AS batch_id, max(seq) AS last_seq, count(*) AS entries, 50 AS expected, count(*) = 50 AS complete FROM e WHERE seq <> 4567 GROUP BY 1)"""
 add("kv_batch_frontier", batches, f"WITH {E_LOG}, {TORN} SELECT * FROM b")
-add("kv_atomic_visibility", lambda s, d: reads.visible_at(versions.atomic_prefix(events_log(s, d).where("seq != 4567"), batches(s, d))), f"WITH {E_LOG}, {TORN}, f AS (SELECT max(last_seq) AS s FROM b WHERE batch_id < coalesce((SELECT min(batch_id) FROM b WHERE NOT complete), 9e18)) " + LATEST.format(log="e", where="seq <= (SELECT s FROM f)"))
+add(
+    "kv_atomic_visibility",
+    lambda s,
+    d: reads.visible_at(versions.atomic_prefix(events_log(s, d).where("seq != 4567"), batches(s, d))),
+    f"WITH {E_LOG}, {TORN}, f AS (SELECT max(last_seq) AS s FROM b WHERE batch_id < coalesce((SELECT min(batch_id) FROM b WHERE NOT complete), 9e18)) " + LATEST.format(log="e", where="seq <= (SELECT s FROM f)"),
+)
 
 
 def kv_batch_bytes(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +262,12 @@ add("kv_merge_runs", kv_merge_runs, f"WITH {E_LOG} SELECT * FROM e")
 
 # Storage planning.
 add("kv_run_assignment", lambda s, d: run_log(s, d).select("seq", "run_id"), f"WITH {E_LOG} SELECT seq, CAST((seq - 1) // 500 AS BIGINT) AS run_id FROM e")
-add("kv_run_stats", lambda s, d: storage.run_stats(run_log(s, d)), f"WITH {E_LOG}, {RUN_MANIFEST} SELECT file_num AS run_id, entries, lo, hi, min_seq, max_seq FROM runs")
+add(
+    "kv_run_stats",
+    lambda s,
+    d: storage.run_stats(run_log(s, d)),
+    f"WITH {E_LOG}, {RUN_MANIFEST} SELECT file_num AS run_id, entries, lo, hi, min_seq, max_seq FROM runs",
+)
 
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
@@ -227,15 +277,46 @@ def clustered(spark: SparkSession, d: str) -> DataFrame:
 
 
 CLUSTERED = "c AS (SELECT CAST(CAST(key AS BIGINT) // 100 AS BIGINT) AS file_num, count(*) AS entries, min(key) AS lo, max(key) AS hi, min(seq) AS min_seq, max(seq) AS max_seq FROM o GROUP BY 1)"
-add("kv_file_pruning", lambda s, d: storage.prune_files(clustered(s, d), key(250), key(470)).select("file_num", "lo", "hi"), f"WITH {O_LOG}, {CLUSTERED} SELECT file_num, lo, hi FROM c WHERE hi >= '{key(250)}' AND lo < '{key(470)}'")
-add("kv_file_point_pruning", lambda s, d: storage.covering_files(clustered(s, d), key(333)).select("file_num", "entries"), f"WITH {O_LOG}, {CLUSTERED} SELECT file_num, entries FROM c WHERE '{key(333)}' BETWEEN lo AND hi")
+add(
+    "kv_file_pruning",
+    lambda s,
+    d: storage.prune_files(clustered(s, d), key(250), key(470)).select("file_num", "lo", "hi"),
+    f"WITH {O_LOG}, {CLUSTERED} SELECT file_num, lo, hi FROM c WHERE hi >= '{key(250)}' AND lo < '{key(470)}'",
+)
+add(
+    "kv_file_point_pruning",
+    lambda s,
+    d: storage.covering_files(clustered(s, d), key(333)).select("file_num", "entries"),
+    f"WITH {O_LOG}, {CLUSTERED} SELECT file_num, entries FROM c WHERE '{key(333)}' BETWEEN lo AND hi",
+)
 SCORES = """s AS (SELECT level, count(*) AS tables, CAST(sum(size) AS BIGINT) AS bytes,
 CASE WHEN level = 0 THEN count(*) / 4 ELSE CAST(sum(size) AS DOUBLE) / (20000.0::DOUBLE * pow(10.0::DOUBLE, level - 1)) END AS score FROM m WHERE level < 6 GROUP BY level)"""
 add("kv_level_scores", lambda s, d: storage.level_scores(manifest(s, d), 4, 20_000), f"WITH {E_LOG}, {RUN_MANIFEST}, {SCORES} SELECT * FROM s")
-add("kv_pick_compaction", lambda s, d: storage.pick_level(storage.level_scores(manifest(s, d), 4, 20_000)).select("level", "score"), f"WITH {E_LOG}, {RUN_MANIFEST}, {SCORES} SELECT level, score FROM s WHERE score >= 1 ORDER BY score DESC, level DESC LIMIT 1")
-add("kv_compaction_inputs", lambda s, d: storage.compaction_inputs(manifest(s, d), 1), f"WITH {E_LOG}, {RUN_MANIFEST} SELECT a.file_num AS src, b.file_num AS dst FROM m a LEFT JOIN m b ON b.level = 2 AND a.lo <= b.hi AND a.hi >= b.lo WHERE a.level = 1")
-add("kv_level_overlap", lambda s, d: storage.overlapping(clustered(s, d), key(140), key(260)).select("file_num"), f"WITH {O_LOG}, {CLUSTERED} SELECT file_num FROM c WHERE lo <= '{key(260)}' AND hi >= '{key(140)}'")
-add("kv_level_metrics", lambda s, d: storage.level_metrics(manifest(s, d)), f"WITH {E_LOG}, {RUN_MANIFEST} SELECT level, count(*) AS tables, CAST(sum(size) AS BIGINT) AS bytes FROM m GROUP BY level")
+add(
+    "kv_pick_compaction",
+    lambda s,
+    d: storage.pick_level(storage.level_scores(manifest(s, d), 4, 20_000)).select("level", "score"),
+    f"WITH {E_LOG}, {RUN_MANIFEST}, {SCORES} SELECT level, score FROM s WHERE score >= 1 ORDER BY score DESC, level DESC LIMIT 1",
+)
+add(
+    "kv_compaction_inputs",
+    lambda s,
+    d: storage.compaction_inputs(manifest(s, d), 1),
+    f"WITH {E_LOG}, {RUN_MANIFEST} SELECT a.file_num AS src, b.file_num AS dst FROM m a LEFT JOIN m b ON b.level = 2 AND a.lo <= b.hi "
+    f"AND a.hi >= b.lo WHERE a.level = 1",
+)
+add(
+    "kv_level_overlap",
+    lambda s,
+    d: storage.overlapping(clustered(s, d), key(140), key(260)).select("file_num"),
+    f"WITH {O_LOG}, {CLUSTERED} SELECT file_num FROM c WHERE lo <= '{key(260)}' AND hi >= '{key(140)}'",
+)
+add(
+    "kv_level_metrics",
+    lambda s,
+    d: storage.level_metrics(manifest(s, d)),
+    f"WITH {E_LOG}, {RUN_MANIFEST} SELECT level, count(*) AS tables, CAST(sum(size) AS BIGINT) AS bytes FROM m GROUP BY level",
+)
 
 
 def kv_write_amplification(spark: SparkSession, d: str) -> DataFrame:
@@ -272,7 +353,12 @@ def kv_inv_ascending(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, storage.order_violations(good), storage.order_violations(good.withColumn("position", -F.col("position"))))
 
 
-add("kv_inv_ascending", kv_inv_ascending, f"WITH {O_LOG} SELECT 'sound' AS layout, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'broken', CAST(count(*) - count(DISTINCT CAST(key AS BIGINT) // 100) AS BIGINT) FROM o")
+add(
+    "kv_inv_ascending",
+    kv_inv_ascending,
+    f"WITH {O_LOG} SELECT 'sound' AS layout, CAST(0 AS BIGINT) AS violations UNION ALL "
+    f"SELECT 'broken', CAST(count(*) - count(DISTINCT CAST(key AS BIGINT) // 100) AS BIGINT) FROM o",
+)
 
 
 def kv_inv_lastseq(spark: SparkSession, d: str) -> DataFrame:
@@ -280,7 +366,11 @@ def kv_inv_lastseq(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, storage.seq_violations(log, F.lit(10_000_000)), storage.seq_violations(log, F.lit(900)))
 
 
-add("kv_inv_lastseq", kv_inv_lastseq, f"WITH {E_LOG} SELECT 'sound' AS layout, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'broken', count(*) FROM e WHERE seq > 900")
+add(
+    "kv_inv_lastseq",
+    kv_inv_lastseq,
+    f"WITH {E_LOG} SELECT 'sound' AS layout, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'broken', count(*) FROM e WHERE seq > 900",
+)
 
 
 def kv_inv_orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +378,12 @@ def kv_inv_orphans(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, storage.orphans(m, m), storage.orphans(m, m.where("level > 0")))
 
 
-add("kv_inv_orphans", kv_inv_orphans, f"WITH {E_LOG}, {RUN_MANIFEST} SELECT 'sound' AS layout, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'broken', count(*) FROM m WHERE level = 0")
+add(
+    "kv_inv_orphans",
+    kv_inv_orphans,
+    f"WITH {E_LOG}, {RUN_MANIFEST} SELECT 'sound' AS layout, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'broken', count(*) FROM m "
+    f"WHERE level = 0",
+)
 
 
 def kv_inv_missing(spark: SparkSession, d: str) -> DataFrame:
@@ -297,7 +392,12 @@ def kv_inv_missing(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, storage.missing(m, m), storage.missing(listing, m))
 
 
-add("kv_inv_missing", kv_inv_missing, f"WITH {E_LOG}, {RUN_MANIFEST} SELECT 'sound' AS layout, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'broken', count(*) FROM m WHERE level < 2")
+add(
+    "kv_inv_missing",
+    kv_inv_missing,
+    f"WITH {E_LOG}, {RUN_MANIFEST} SELECT 'sound' AS layout, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'broken', count(*) FROM m "
+    f"WHERE level < 2",
+)
 
 
 def kv_bloom_no_false_negatives(spark: SparkSession, d: str) -> DataFrame:
@@ -325,9 +425,24 @@ def of_bytes(rows: DataFrame) -> DataFrame:
 
 
 add("kv_bytes_latest", lambda s, d: of_bytes(reads.visible_at(bytes_log(s, d))), f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="true"))
-add("kv_bytes_range", lambda s, d: of_bytes(reads.range_scan(bytes_log(s, d), b"\x00\x80", b"\x0f\x00")), f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="key >= '0080' AND key < '0F00'"))
-add("kv_bytes_seek", lambda s, d: of_bytes(reads.seek_ge(bytes_log(s, d), b"\x00\x00")), f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="key >= '0000'") + " ORDER BY key LIMIT 1")
-add("kv_bytes_next", lambda s, d: of_bytes(reads.next_after(bytes_log(s, d), b"\x0a")), f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="key > '0A'") + " ORDER BY key LIMIT 1")
+add(
+    "kv_bytes_range",
+    lambda s,
+    d: of_bytes(reads.range_scan(bytes_log(s, d), b"\x00\x80", b"\x0f\x00")),
+    f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="key >= '0080' AND key < '0F00'"),
+)
+add(
+    "kv_bytes_seek",
+    lambda s,
+    d: of_bytes(reads.seek_ge(bytes_log(s, d), b"\x00\x00")),
+    f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="key >= '0000'") + " ORDER BY key LIMIT 1",
+)
+add(
+    "kv_bytes_next",
+    lambda s,
+    d: of_bytes(reads.next_after(bytes_log(s, d), b"\x0a")),
+    f"WITH {BYTES_LOG} " + BYTES_VIEW.format(where="key > '0A'") + " ORDER BY key LIMIT 1",
+)
 
 # The persistent store: the events log written, maintained and read again.
 SMALL = S.Options(memtable_bytes=1 << 16, base_level_bytes=1 << 17, target_file_bytes=1 << 16, l0_trigger=2, auto_compact=False)
@@ -431,4 +546,9 @@ add("kv_store_stream", kv_store_stream, _STORED)
 add("kv_store_snapshot_scan", kv_store_snapshot_scan, f"SELECT key, value FROM ({view('seq <= 5000')})")
 add("kv_store_range_scan", kv_store_range_scan, f"""SELECT key, value FROM ({view(f"key >= '{LO}' AND key < '{HI}'")})""")
 add("kv_store_multi_get", kv_store_multi_get, ORACLE["kv_multi_get"])
-add("kv_store_manifest", kv_store_manifest, f"WITH {E_LOG} SELECT count(*) AS entries, min(seq) AS min_seq, max(seq) AS max_seq, min(key) AS lo, max(key) AS hi FROM e GROUP BY least((seq - 1) // 3000, 2)")
+add(
+    "kv_store_manifest",
+    kv_store_manifest,
+    f"WITH {E_LOG} SELECT count(*) AS entries, min(seq) AS min_seq, max(seq) AS max_seq, min(key) AS lo, max(key) AS hi FROM e "
+    f"GROUP BY least((seq - 1) // 3000, 2)",
+)
