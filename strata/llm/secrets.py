@@ -2,7 +2,7 @@
 
 Candidates are the spans of the fixed patterns and all other runs of 16 or more of [A-Za-z0-9+/_=-] with a letter and
 either a digit or a capital after a small letter; runs joined by dots are candidates each by itself. The network
-(embedding, one convolution, max pooling, a dense layer; numpy) reads each candidate with the text before and after it; long
+(embedding, one convolution, max and mean pooling, a dense layer; numpy) reads each candidate with the text before and after it; long
 candidates are read whole, in overlapping windows, the greatest score counting. It is trained on the driver on labelled
 findings made from a seed, all windows of each: strings of all usual alphabets behind made-up prefixes and assigned values
 against identifiers, paths, versions, numbers, words, addresses, placeholders. The greatest scores of findings of other
