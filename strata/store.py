@@ -13,6 +13,7 @@ import socket
 import threading
 import time
 from collections import Counter
+from dataclasses import replace
 from functools import wraps
 from itertools import count
 from uuid import uuid4
@@ -31,6 +32,9 @@ from strata.sources.files import files_for
 LOCK, BROKEN, RUNS, PINS, STAGE = "LOCK", "broken", "runs", "pins", "stage"
 #: A run that is written by many tasks has files of this share of the target size at least.
 LEAST_SHARE = 16
+#: Sizes of the key's filter that a file is written with, each half the one before, from Parquet's greatest (1 MiB) down to 32
+#: bytes; the least that has the rate of false positives stays. Of Parquet's own five the least takes 64 KiB, in a file of any size.
+FILTER_SIZES = 16
 #: Failures of automatic maintenance in a row that make a store read-only.
 MOST_FAILURES = 3
 
@@ -440,6 +444,7 @@ class Store:
         seen = Observation()
         out = rows.observe(seen, *stats) if whole else rows
         options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        options["parquet.bloom.filter.candidates.number#key"] = str(FILTER_SIZES)
         options["parquet.bloom.filter.fpp#key"] = f"{0.6185 ** self.options.bloom_bits_per_key:.6f}"
         out.write.options(**options).option("parquet.block.size", self.options.block_bytes).parquet(self.files.path(folder))
         sizes = sizes_by_path(self.files.list(folder))
@@ -492,30 +497,39 @@ class Store:
 
     @exclusive
     def compact_level(self, level: int) -> None:
-        """Merge a level's chosen runs with those of the next that they overlap, dropping what no snapshot can see."""
+        """Merge a level's chosen runs with those of the next that they overlap, dropping what no snapshot can see.
+
+        Plain runs of a level below 0 that overlap none have nothing to drop: they change their level in the manifest alone.
+        """
         self._writable()
         with self._sticky():
-            state, oldest, num = self.state, self.oldest_snapshot(), self.state.next_num
-            mine, below = compaction.inputs(state, level)
+            state, num = self.state, self.state.next_num
+            mine, below = compaction.inputs(state, level, self.options)
             used = {r.num for r in (*mine, *below)}
-            oldest = min(oldest, state.last_seq)
-            log = self.read([*mine, *below])
-            kept = versions.latest_versions(log, oldest)
-            if oldest < state.last_seq:  # some snapshot needs older versions: all that came after it stay
-                kept = versions.dedupe_replay(log.where(F.col("seq") > oldest)).unionByName(kept)
-            deeper = versions.merged_ranges(compaction.deeper_ranges(state, level + 1, *compaction.key_range([*mine, *below])))
-            if deeper:
-                kept = versions.drop_covered_tombstones(kept, oldest, self.spark.createDataFrame(deeper, "lo binary, hi binary"))
-            else:
-                kept = versions.drop_tombstones(kept, oldest)
-            files = max(1, -(-sum(r.size for r in (*mine, *below)) // self.options.target_file_bytes))
-            made = self._write_run(self._clustered(kept, files), num, whole=False, single=oldest >= state.last_seq)
+            moved = level > 0 and not below and all(r.plain for r in mine)
+            made = [replace(r, num=num + i) for i, r in enumerate(mine)] if moved else self._merged(level, mine, below)
             levels = [tuple(r for r in x if r.num not in used) for x in state.levels]
             levels[level + 1] = tuple(sorted((*levels[level + 1], *made), key=lambda r: bytes.fromhex(r.lo)))
-            cursors = state.cursors | {str(level): compaction.key_range(mine)[0].hex()}
+            cursors = state.cursors | {str(level): max(bytes.fromhex(r.lo) for r in mine).hex()}
             self.state = M.install(self.files, state.changed(next_num=num + max(1, len(made)), levels=tuple(levels), cursors=cursors), state)
             self.counters["compactions"] += 1
-            self.counters["compaction_bytes"] += sum(r.size for r in made)
+            self.counters["compaction_bytes"] += 0 if moved else sum(r.size for r in made)
+
+    def _merged(self, level: int, mine: list[M.Run], below: list[M.Run]) -> list[M.Run]:
+        """The runs of the next level that a level's runs and those below them become."""
+        state, runs = self.state, [*mine, *below]
+        oldest = min(self.oldest_snapshot(), state.last_seq)
+        log = self.read(runs)
+        kept = versions.latest_versions(log, oldest)
+        if oldest < state.last_seq:  # some snapshot needs older versions: all that came after it stay
+            kept = versions.dedupe_replay(log.where(F.col("seq") > oldest)).unionByName(kept)
+        deeper = versions.merged_ranges(compaction.deeper_ranges(state, level + 1, *compaction.key_range(runs)))
+        if deeper:
+            kept = versions.drop_covered_tombstones(kept, oldest, self.spark.createDataFrame(deeper, "lo binary, hi binary"))
+        else:
+            kept = versions.drop_tombstones(kept, oldest)
+        files = max(1, -(-sum(r.size for r in runs) // self.options.target_file_bytes))
+        return self._write_run(self._clustered(kept, files), state.next_num, whole=False, single=oldest >= state.last_seq)
 
     @exclusive
     def vacuum(self) -> list[str]:
