@@ -528,7 +528,8 @@ class Store:
             kept = versions.drop_covered_tombstones(kept, oldest, self.spark.createDataFrame(deeper, "lo binary, hi binary"))
         else:
             kept = versions.drop_tombstones(kept, oldest)
-        files = max(1, -(-sum(r.size for r in runs) // self.options.target_file_bytes))
+        size, target = sum(r.size for r in runs), self.options.target_file_bytes
+        files = 1 if size <= target else max(1, -(-min(size, kept_bytes(log, oldest)) // target))
         return self._write_run(self._clustered(kept, files), state.next_num, whole=False, single=oldest >= state.last_seq)
 
     @exclusive
@@ -643,6 +644,14 @@ class Store:
         return _Sticky(self)
 
 
+def kept_bytes(log: DataFrame, oldest: int) -> int:
+    """About the bytes, as they stand before they are encoded, of what a compaction keeps of a log: all that came after the
+    oldest snapshot and one version of each key before. It decides the number of files alone, so keys are counted with HyperLogLog."""
+    late, size = F.col("seq") > oldest, F.octet_length("key") + 9 + F.coalesce(F.octet_length("value"), F.lit(0))
+    told = log.agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.count_if(late).alias("late"), F.approx_count_distinct(F.when(~late, F.col("key"))).alias("keys")).first()
+    return (told["late"] + told["keys"]) * told["bytes"] // told["n"]
+
+
 def folder_of(path: str) -> str:
     """The run folder that a file below it, or the folder itself, belongs to."""
     return "/".join(path.split("/")[:2])

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata import schema as S
 from strata.plans import compaction
@@ -76,3 +77,23 @@ def test_a_large_level_goes_down_in_few_steps(spark, tmp_path, snapshots):
     again = open_store(spark, str(tmp_path / "db"), LOW)
     assert live(again.view()) == want and live(again.view(store.state.last_seq)) == want
     again.close()
+
+
+def test_files_are_as_many_as_what_is_kept_fills(spark, tmp_path):
+    """Twelve versions of each key in runs of many files become one version in few; a small file's key filter is small."""
+    store = open_store(spark, str(tmp_path / "db"), LOW)
+    rows = spark.range(12 * 300).select(
+        F.col("id").alias("ordinal"), F.encode(F.lpad((F.col("id") % 300).cast("string"), 8, "0"), "utf-8").alias("key"),
+        F.lit(S.SET).alias("kind"), F.unhex(F.md5(F.col("id").cast("string"))).alias("value"),
+    )
+    store.write_frame(rows)
+    store.flush()
+    kept = 300 * (8 + 9 + 16)
+    assert store.state.levels[0][0].size > 8 * kept
+    want = live(store.view())
+    store.compact_level(0)
+    made = store.state.levels[1]
+    assert sum(r.entries for r in made) == 300 and 2 <= len(made) <= kept // LOW.target_file_bytes + 2
+    assert max(r.size for r in made) < 2 * LOW.target_file_bytes
+    assert live(store.view()) == want and store.check(strict=False).count() == 0
+    store.close()
