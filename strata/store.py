@@ -499,15 +499,16 @@ class Store:
     def compact_level(self, level: int) -> None:
         """Merge a level's chosen runs with those of the next that they overlap, dropping what no snapshot can see.
 
-        Plain runs of a level below 0 that overlap none have nothing to drop: they change their level in the manifest alone.
+        Runs of a level below 0 that overlap none and have nothing to drop change their level in the manifest alone.
         """
         self._writable()
         with self._sticky():
             state, num = self.state, self.state.next_num
-            mine, below = compaction.inputs(state, level, self.options)
+            oldest = min(self.oldest_snapshot(), state.last_seq)
+            mine, below = compaction.inputs(state, level, self.options, oldest)
             used = {r.num for r in (*mine, *below)}
-            moved = level > 0 and not below and all(r.plain for r in mine)
-            made = [replace(r, num=num + i) for i, r in enumerate(mine)] if moved else self._merged(level, mine, below)
+            moved = level > 0 and not below and all(compaction.nothing_to_drop(mine, oldest))
+            made = [replace(r, num=num + i) for i, r in enumerate(mine)] if moved else self._merged(level, mine, below, oldest)
             levels = [tuple(r for r in x if r.num not in used) for x in state.levels]
             levels[level + 1] = tuple(sorted((*levels[level + 1], *made), key=lambda r: bytes.fromhex(r.lo)))
             cursors = state.cursors | {str(level): max(bytes.fromhex(r.lo) for r in mine).hex()}
@@ -515,10 +516,9 @@ class Store:
             self.counters["compactions"] += 1
             self.counters["compaction_bytes"] += 0 if moved else sum(r.size for r in made)
 
-    def _merged(self, level: int, mine: list[M.Run], below: list[M.Run]) -> list[M.Run]:
+    def _merged(self, level: int, mine: list[M.Run], below: list[M.Run], oldest: int) -> list[M.Run]:
         """The runs of the next level that a level's runs and those below them become."""
         state, runs = self.state, [*mine, *below]
-        oldest = min(self.oldest_snapshot(), state.last_seq)
         log = self.read(runs)
         kept = versions.latest_versions(log, oldest)
         if oldest < state.last_seq:  # some snapshot needs older versions: all that came after it stay
@@ -530,7 +530,8 @@ class Store:
             kept = versions.drop_tombstones(kept, oldest)
         size, target = sum(r.size for r in runs), self.options.target_file_bytes
         files = 1 if size <= target else max(1, -(-min(size, kept_bytes(log, oldest)) // target))
-        return self._write_run(self._clustered(kept, files), state.next_num, whole=False, single=oldest >= state.last_seq)
+        made = self._write_run(self._clustered(kept, files), state.next_num, whole=False, single=oldest >= state.last_seq)
+        return made if deeper else [replace(r, settled=oldest) for r in made]
 
     @exclusive
     def vacuum(self) -> list[str]:

@@ -97,3 +97,37 @@ def test_files_are_as_many_as_what_is_kept_fills(spark, tmp_path):
     assert max(r.size for r in made) < 2 * LOW.target_file_bytes
     assert live(store.view()) == want and store.check(strict=False).count() == 0
     store.close()
+
+
+def test_versions_that_a_snapshot_keeps_are_rewritten_once(spark, tmp_path):
+    """Below level 0 nothing can be dropped until the snapshot ends: runs with many versions go down as they are."""
+    store = open_store(spark, str(tmp_path / "db"), LOW)
+    rows = spark.range(4000).select(
+        F.col("id").alias("ordinal"), F.encode(F.lpad((F.col("id") % 500).cast("string"), 8, "0"), "utf-8").alias("key"),
+        F.when(F.col("id") % 7 == 0, S.DELETE).otherwise(S.SET).alias("kind"), F.unhex(F.md5(F.col("id").cast("string"))).alias("value"),
+    )
+    store.write_frame(rows.where("ordinal < 900"))
+    store.flush()
+    snap = store.snapshot()
+    then = live(snap)
+    store.write_frame(rows.where("ordinal >= 900"))
+    store.flush()
+    now = live(store.view())
+    store.compact_level(0)
+    assert not all(r.plain for r in store.state.levels[1]) and {r.settled for r in store.state.levels[1]} == {900}
+    written = store.counters["compaction_bytes"]
+    store.compact()
+    assert store.counters["compaction_bytes"] == written and len([x for x in store.state.levels if x]) >= 2
+    assert live(snap) == then and live(store.view()) == now and live(store.view(900)) == then
+    snap.close()
+    store.close()
+    store = open_store(spark, str(tmp_path / "db"), LOW)
+    for _ in range(2 * sum(map(len, store.state.levels))):  # asked for until every run has gone by once
+        level = next(n for n, x in enumerate(store.state.levels) if x)
+        if all(r.plain for r in store.state.runs()):
+            break
+        store.compact_level(level)
+    assert all(r.plain for r in store.state.runs()) and sum(r.entries for r in store.state.runs()) == len(now)
+    store.vacuum()
+    assert live(store.view()) == now and store.check().count() == 0
+    store.close()
