@@ -476,16 +476,18 @@ class Store:
             return
         with self._sticky():
             state, num = self.state, self.state.next_num
-            rows = versions.dedupe_replay(self.read(state.tail))
-            (run,) = self._write_run(self._clustered(rows, self._files(sum(r.size for r in state.tail))), num, whole=True)
+            rows = self._clustered(self.read(state.tail), self._files(sum(r.size for r in state.tail)), replayed=True)
+            (run,) = self._write_run(rows, num, whole=True)
             levels = ((*state.levels[0], run), *state.levels[1:])
             self.state = M.install(self.files, state.changed(next_num=num + 1, tail=(), levels=levels), state)
             self.counters["flushes"] += 1
             self.counters["flush_bytes"] += run.size
 
-    def _clustered(self, rows: DataFrame, files: int) -> DataFrame:
-        """Rows in files of disjoint keys: ranges are of the key alone, so all versions of a key lie in one file."""
+    def _clustered(self, rows: DataFrame, files: int, replayed: bool = False) -> DataFrame:
+        """Rows in files of disjoint keys: ranges are of the key alone, so all versions of a key lie in one file, and what was
+        replayed is collapsed there without a shuffle of its own."""
         dealt = rows.repartitionByRange(files, "key") if files > 1 else rows.coalesce(1)
+        dealt = versions.dedupe_replay(dealt) if replayed else dealt
         return dealt.sortWithinPartitions("key", F.desc("seq"))
 
     @exclusive
@@ -522,15 +524,15 @@ class Store:
         log = self.read(runs)
         kept = versions.latest_versions(log, oldest)
         if oldest < state.last_seq:  # some snapshot needs older versions: all that came after it stay
-            kept = versions.dedupe_replay(log.where(F.col("seq") > oldest)).unionByName(kept)
+            kept = log.where(F.col("seq") > oldest).unionByName(kept)
         deeper = versions.merged_ranges(compaction.deeper_ranges(state, level + 1, *compaction.key_range(runs)))
         if deeper:
             kept = versions.drop_covered_tombstones(kept, oldest, self.spark.createDataFrame(deeper, "lo binary, hi binary"))
         else:
             kept = versions.drop_tombstones(kept, oldest)
         size, target = sum(r.size for r in runs), self.options.target_file_bytes
-        files = 1 if size <= target else max(1, -(-min(size, kept_bytes(log, oldest)) // target))
-        made = self._write_run(self._clustered(kept, files), state.next_num, whole=False, single=oldest >= state.last_seq)
+        files = 1 if size <= target else max(2, -(-min(size, kept_bytes(log, oldest)) // target))  # one: read by one task
+        made = self._write_run(self._clustered(kept, files, oldest < state.last_seq), state.next_num, whole=False, single=oldest >= state.last_seq)
         return made if deeper else [replace(r, settled=oldest) for r in made]
 
     @exclusive
